@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import exact_dedup, pieces, token_counts
+from mnemo.llm import exact_dedup, pieces, simhash, token_counts
 from mnemo.llm.common import documents
 
 
@@ -22,11 +22,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
+        "op10_simhash": op10_simhash,
     }
 
 
