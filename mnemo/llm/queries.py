@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import exact_dedup, pieces, simhash, token_counts
-from mnemo.llm.common import documents
+from mnemo.llm import exact_dedup, pieces, simhash, token_counts, toxicity
+from mnemo.llm.common import documents, labels
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -30,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
+        "op4_toxicity": op4_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_simhash": op10_simhash,
     }
