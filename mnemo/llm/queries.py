@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import exact_dedup, pieces, simhash, token_counts, toxicity
+from mnemo.llm import exact_dedup, licenses, pieces, pii, quality, simhash, token_counts, toxicity
 from mnemo.llm.common import documents, labels
 
 
@@ -23,10 +23,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,10 +49,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
         "op4_toxicity": op4_toxicity,
+        "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_pii": op8_pii,
+        "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_licenses": licenses.ORACLE}
