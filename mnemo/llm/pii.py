@@ -153,7 +153,7 @@ def examples(seed: int = 11, n: int = 400) -> list[tuple[str, Span, int]]:
         ("ip", 1): lambda: ":".join(pick(hexes, r.randint(1, 4)) for _ in range(8)),
         ("ip", 0): lambda: ":".join(d(2) for _ in range(r.randint(4, 5))),
         ("secret", 1): lambda: r.choice([pick(hexes, 40), pick(hexes, 32), pick(b64, r.randint(24, 48)), "sk_live_" + pick(b64, 24)]),
-        ("secret", 0): lambda: r.choice([(word() * 9)[: r.randint(17, 30)], "-".join(word() for _ in range(8)), "=" * r.randint(16, 60), d(r.randint(16, 20)), f"{word()}_{word()}_{word()}_{word()}_{word()}_{word()}"]),
+        ("secret", 0): lambda: r.choice([*("".join(word() for _ in range(12))[: r.randint(16, 28)] for _ in range(3)), word().title() + "".join(word() for _ in range(12))[:18], "-".join(word() for _ in range(8)), "=" * r.randint(16, 60), d(r.randint(16, 20)), f"{word()}_{word()}_{word()}_{word()}_{word()}_{word()}"]),
     }
     cue = {"email": "mail: ", "phone": "tel: ", "card": "card ", "ip": "host ", "secret": 'token = "'}
     found = []
