@@ -163,7 +163,7 @@ def examples(seed: int = 11, n: int = 400) -> list[tuple[str, Span, int]]:
             s = f()
             hint = r.random() < (0.75 if kind == "secret" and y else 0.3 if y else 0.05)
             lead = f"{word()} {word()} " + (cue[kind] if hint else "")
-            text = lead + s + ('" ' if hint and kind == "secret" else r.choice([" ", ". ", ", "])) + f"{word()} {word()}"
+            text = lead + s + ('" ' if hint and kind == "secret" else r.choice([" ", ". ", ", "])) + f"{word()} {word()} {d(1)}"
             mine = [p for p in proposals(text) if p[0] == kind and p[1] < len(lead) + len(s) and p[2] > len(lead)]
             exact = [p for p in mine if p[1:] == (len(lead), len(lead) + len(s))]
             if not mine or y and not exact:
