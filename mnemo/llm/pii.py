@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 PROPOSE = {
-    "email": [re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}+\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[\w-]{1,63}+(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{1,63}+){1,4}")],
+    "email": [re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}+(?: ?(?:@|\(at\)|\[at\]) ?| at )[\w-]{1,63}+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[\w-]{1,63}+){1,4}")],
     "phone": [re.compile(r"(?<![\w.])\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?!\w)"), re.compile(r"(?<![\w.+-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}(?!\w)")],
     "card": [re.compile(r"(?<![0-9])[0-9]{4}(?:[ . -]?[0-9]{2,7}){2,4}(?![0-9])")],
     "ip": [re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![\w:])")],
@@ -87,7 +87,7 @@ PROPOSE = {
 }
 #: Tests that are quick on a whole text and that every proposal of the kind passes.
 HINT = {
-    "email": re.compile(r"@|\(at\)|\[at\]|\sat\s[^\n]{1,64}?(?:\.|dot)"),
+    "email": re.compile(r"@|\(at\)|\[at\]| at [^\n]{1,64}?(?:\.|dot)"),
     "phone": re.compile(r"[0-9]{2,4}[ .)-]"),
     "card": re.compile(r"[0-9]{4}"),
     "ip": re.compile(r"[0-9A-Fa-f]:"),
