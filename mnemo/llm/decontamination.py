@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.common import chunks, text_of
 
-Q, PIECE, ERROR = 8, 128, 0.08
+Q, PIECE, ERROR = 8, 128, 0.06
 #: Items with fewer bytes are too short to be told from chance.
 SHORTEST = 40
 BLOCK = 4_000_000
@@ -125,13 +125,12 @@ class Index:
         bands = np.concatenate((low // width * 2, (low + width // 2) // width * 2 + 1))
         key = np.concatenate((piece, piece)) * (2 * (len(data) + 4 * PIECE)) + bands
         # distinct q-grams of the piece in a band
-        pair = np.unique(np.stack((key, np.concatenate((self.place[source],) * 2)), 1), axis=0)
-        regions, count = np.unique(pair[:, 0], return_counts=True)
+        pair = np.unique(key * PIECE + np.concatenate((self.place[source],) * 2))
+        regions, count = np.unique(pair // PIECE, return_counts=True)
+        enough = count >= self.least[regions // (2 * (len(data) + 4 * PIECE))]
         found: dict[int, list[tuple[int, int, int, int, int]]] = {}
-        for r, c in zip(regions.tolist(), count.tolist(), strict=True):
+        for r in regions[enough].tolist():
             p, band = divmod(r, 2 * (len(data) + 4 * PIECE))
-            if c < self.least[p]:
-                continue
             k, w = int(self.budget[p]), 2 * (int(self.budget[p]) + 1)
             d = band // 2 * w - (w // 2 if band % 2 else 0) - k - PIECE  # lowest diagonal of the band
             if hit := align(self.texts[p], data, d - k, d + w + k, k):

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import exact_dedup, licenses, pieces, pii, quality, simhash, token_counts, toxicity
-from mnemo.llm.common import documents, labels
+from mnemo.llm import decontamination, exact_dedup, licenses, pieces, pii, quality, simhash, token_counts, toxicity
+from mnemo.llm.common import benchmark, documents, labels
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_pii": op8_pii,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
