@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import decontamination, exact_dedup, licenses, pieces, pii, quality, simhash, token_counts, toxicity
+from mnemo.llm import decontamination, exact_dedup, licenses, pieces, pii, quality, simhash, suffixes, token_counts, toxicity
 from mnemo.llm.common import benchmark, documents, labels
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.duplicate_bytes(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
+        "op3_suffixes": op3_suffixes,
         "op4_toxicity": op4_toxicity,
         "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,
