@@ -195,9 +195,9 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, model: str | None = None, keep_text: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, model: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Digests of both directions in one pass: n_tokens, ids_sha256, decoded_sha256, spans_sha256 (of the borders of the
-    pieces in original bytes, as decimals joined by commas). keep_text: the decoded text as well."""
+    pieces in original bytes, as decimals joined by commas). keep_ids: the ids as well."""
     blob = read_model(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -213,7 +213,7 @@ def round_trip(docs: DataFrame, model: str | None = None, keep_text: bool = Fals
                 pa.array([sha(",".join([tool.names[i] for i in ids]).encode()) for ids, _ in found]),
                 pa.array([sha(t.encode()) for t in texts]),
                 pa.array([sha(",".join(map(str, spans.tolist())).encode()) for _, spans in found]),
-            ] + [pa.array(texts, pa.string())] * keep_text
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"] + ["decoded"] * keep_text)
+            ] + [pa.array([ids for ids, _ in found], pa.list_(pa.int32()))] * keep_ids
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"] + ["ids"] * keep_ids)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", decoded string" * keep_text)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * keep_ids)

@@ -117,3 +117,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, segments:
     joined = components(links(nodes, scratch, budget, segments, crowd), scratch)
     named = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the smallest id, and rows with a null id."""
+    gone = near_duplicates(docs, width, budget).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
