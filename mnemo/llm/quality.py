@@ -6,7 +6,7 @@ the words (lower case, one and two in a row), and their shapes (case, length cla
 repeats one of the two before; one to three in a row), which say of words never met whether they are junk. n-grams are hashed to
 2**BITS indicators. Margins of rows set aside are scaled to probabilities.
 
-Fitting uses a bounded sample of labelled rows (training.SAMPLE), for the class counts too; scoring is one pass over whole texts
+Fitting uses a bounded sample of labelled rows (SAMPLE), for the class counts too; scoring is one pass over whole texts
 without a shuffle. Defined cases: null and empty texts have no n-grams and score by the constant alone; null ids are scored and not
 held out; repeated rows each get a row; without labels of both classes the score is the class that there is; further columns are left
 aside."""
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mnemo.llm.common import chunks, text_of
-from mnemo.llm.training import SAMPLE, held_out, labelled_sample, platt
+from mnemo.llm.training import held_out, labelled_sample, platt
 
 BITS = 18
 SIZE = 1 << BITS
+#: Labelled rows that the model is fitted on at most.
+SAMPLE = 3000
 #: Share of the fitted weights, the rest being their mean magnitude.
 BETA = 0.25
 COST, ROUNDS = 1.0, 30
@@ -121,9 +123,12 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Linear:
         return Linear(np.zeros(SIZE), 30.0 if len(y) and y[0] else -30.0)
     aside = rng.permutation(len(y)) % 5 == 0
     own = np.flatnonzero(~aside) if 0 < y[~aside].mean() < 1 and 0 < y[aside].mean() < 1 else np.arange(len(y))
-    parts = [indicators([texts[i] for i in part]) for part in np.array_split(own, len(own) // 500 + 1)]
-    first = np.cumsum([0, *(len(p) for p in np.array_split(own, len(own) // 500 + 1))])
-    doc, at = _once(np.concatenate([d + k for (d, _), k in zip(parts, first, strict=False)]), np.concatenate([a for _, a in parts]))
+    docs, ats = [], []
+    for i in range(0, len(own), 200):
+        d, a = _once(*indicators([texts[k] for k in own[i : i + 200]]))
+        docs.append((d + i).astype(np.int32))
+        ats.append(a.astype(np.int32))
+    doc, at = np.concatenate(docs), np.concatenate(ats)
     up = np.bincount(at, y[own][doc], SIZE)
     all_ = np.bincount(at, minlength=SIZE)
     ratio = np.log((up + 1) / (up.sum() + SIZE)) - np.log((all_ - up + 1) / ((all_ - up).sum() + SIZE))

@@ -51,7 +51,7 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for w in words:
             h = MEMO.get(w)
             if h is None:
-                if len(MEMO) > 500_000:
+                if len(MEMO) > 200_000:
                     MEMO.clear()
                 h = MEMO[w] = (zlib.crc32(w.encode()) >> 1) << 31 | zlib.crc32(w[:STEM].encode()) >> 1
             flat.append(h)
@@ -138,7 +138,7 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None
         return Convolutional(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), -30.0)
     aside = rng.permutation(len(y)) % 5 == 0
     own = np.flatnonzero(~aside) if 0 < y[~aside].mean() < 1 and 0 < y[aside].mean() < 1 else np.arange(len(y))
-    flat, sizes = hashed(texts)
+    flat, sizes = (np.concatenate(x) for x in zip(*(hashed(texts[i : i + 200]) for i in range(0, len(texts), 200)), strict=True))
     ends = np.cumsum(sizes)
     mine = np.repeat(np.isin(np.arange(len(y)), own), sizes)
     net = _start(flat[mine], sizes[own], y[own], rng)
