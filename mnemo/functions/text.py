@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATOR = r"[^\p{L}\p{N}]+"
 # Words that carry no meaning in English queries.
@@ -128,7 +129,7 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(toks: pd.Series) -> pd.Series:
     """Stems of tokens without stop words; meant for ingest, so that reads stay in the JVM."""
     memo: dict[str, str] = {}
