@@ -99,7 +99,7 @@ class Normaliser:
             if new:
                 shown = new.replace(b" ", self.space)
                 out += shown
-                source += [at] * len(shown)
+                source += range(at, at + n) if shown == data[at : at + n] else [at] * len(shown)
                 gap = self.squeeze and new.endswith(b" ")
             at += n
         while self.squeeze and out.endswith(self.space):

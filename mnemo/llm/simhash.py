@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = _fingerprints(part.column("text").to_pylist(), width).view("<i8")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
 
 
 def _rotate(value: Column, by: int) -> Column:
@@ -122,4 +122,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, segments:
 def near_dedup(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the smallest id, and rows with a null id."""
     gone = near_duplicates(docs, width, budget).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -18,7 +18,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> pd.DataFrame:
-    """text, lang, y of at most `most` labelled rows outside the held-out fold; null labels and ids are left out."""
+    """doc_id, text, lang, y of at most `most` labelled rows outside the held-out fold, equal texts once; null labels and ids are left out."""
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -28,7 +28,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     # bounded by the limit above, so the sample's ids can be broadcast whatever the size of the tables
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    return rows.toPandas().sort_values("doc_id", ignore_index=True)
+    # a text that many rows copy would pass for evidence on each of its words
+    return rows.toPandas().sort_values("doc_id").drop_duplicates("text", ignore_index=True)
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
