@@ -5,6 +5,8 @@ that every task computes on its own part; only the pool's rows fetch their paylo
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -119,3 +121,11 @@ def recall_at_k(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     best = truth.orderBy("position").limit(k).select("memory_id")
     found = best.join(result.select("memory_id").distinct(), "memory_id", "left_semi")
     return found.agg(F.count("*").alias("found")).crossJoin(best.agg(F.count("*").alias("wanted"))).withColumn("recall", F.when(F.col("wanted") > 0, F.col("found") / F.col("wanted")))
+
+
+def explained(hits: DataFrame) -> str:
+    """The plan of the very DataFrame that a recall returned."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        hits.explain("formatted")
+    return out.getvalue()

@@ -163,17 +163,17 @@ def turns_by_session(s, d):
 
 @query("embedding_state", f"WITH {MEM} SELECT memory_space_id, embedding IS NOT NULL AS embedded, content_hash FROM memories WHERE memory_id = 'm_00000041' AND status = 'active'")
 def embedding_state(s, d):
-    return reads.embedding_state(tables.memories(s, d), "m_00000041")
+    return reads.embedding_state(tables.memories(s, d, vectors=True), "m_00000041")
 
 
 @query("backfill_all", f"WITH {MEM} SELECT memory_space_id, memory_id, content, {at('created_at')} FROM memories WHERE status = 'active' AND (embedding IS NULL OR content_hash IS DISTINCT FROM sha256(content))")
 def backfill_all(s, d):
-    return shown(reads.embedding_backlog(tables.memories(s, d)))
+    return shown(reads.embedding_backlog(tables.memories(s, d, vectors=True)))
 
 
 @query("backfill_one_space", f"WITH {MEM} SELECT memory_space_id, memory_id, content, {at('created_at')} FROM memories WHERE status = 'active' AND memory_space_id = 'space_other' AND (embedding IS NULL OR content_hash IS DISTINCT FROM sha256(content))")
 def backfill_one_space(s, d):
-    return shown(reads.embedding_backlog(tables.memories(s, d), "space_other"))
+    return shown(reads.embedding_backlog(tables.memories(s, d, vectors=True), "space_other"))
 
 
 # ---- recall (K, R, F-4 to F-10)
@@ -206,7 +206,7 @@ for _name, (_target, _where) in TARGETS.items():
 
     @query(f"vec_rank_{_name}", f"WITH {MEM}, {_vec_sql(_where)} SELECT memory_id, vec_rank, distance FROM vec")
     def _(s, d, t=_target):
-        return recall.vec_candidates(tables.memories(s, d), SPACE, t, question(s, d))
+        return recall.vec_candidates(tables.memories(s, d, vectors=True), SPACE, t, question(s, d))
 
 
 def _recall_sql(fts: bool, vec: bool, limit: int, per: int, total: int) -> str:
@@ -227,7 +227,7 @@ SELECT memory_id, coalesce(fts_rank, 0) AS fts_rank, coalesce(vec_rank, 0) AS ve
 
 
 def _recall(s, d, fts, vec, limit=8, per=scoring.PER_MEMORY, total=scoring.TOTAL):
-    found = recall.execute(tables.memories(s, d), SPACE, NamespaceWide(NS), WORDS, question(s, d) if vec else None, RecallPlan(fts, vec, vec), NOW, limit, per, total)
+    found = recall.execute(tables.memories(s, d, vectors=vec), SPACE, NamespaceWide(NS), WORDS, question(s, d) if vec else None, RecallPlan(fts, vec, vec), NOW, limit, per, total)
     return found.select("memory_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fts_rank", "vec_rank")], "content", F.round("score", 6).alias("score"))
 
 
@@ -237,7 +237,7 @@ for _name, _args in {"recall_keyword": (True, False, 8, 2000, 12000), "recall_em
 
 @query("recall_at_k", f"WITH {MEM}, {_vec_sql(BASE)}, {_fts_sql(BASE)}, best AS (SELECT memory_id FROM vec WHERE vec_rank <= 10), c AS (SELECT count(*) AS wanted, count(fts.memory_id) AS found FROM best LEFT JOIN fts USING (memory_id)) SELECT found, wanted, found / wanted::DOUBLE AS recall FROM c")
 def recall_at_k(s, d):
-    m, t = tables.memories(s, d), NamespaceWide(NS)
+    m, t = tables.memories(s, d, vectors=True), NamespaceWide(NS)
     return recall.recall_at_k(recall.fts_candidates(m, SPACE, t, WORDS), recall.vec_candidates(m, SPACE, t, question(s, d)).withColumnRenamed("vec_rank", "position"), 10)
 
 
@@ -697,7 +697,7 @@ def embedding_delivery(s, d):
 @query("embedding_backfill")
 def embedding_backfill(s, d):
     """The backfill with a provider that hashes: counts by outcome."""
-    backlog = reads.embedding_backlog(tables.memories(s, d))
+    backlog = reads.embedding_backlog(tables.memories(s, d, vectors=True))
     return embedding.outcome_counts(embedding.embed_batch(backlog, lambda texts: [[float(len(t)), 1.0] for t in texts]))
 
 

@@ -21,17 +21,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def memories(spark: SparkSession, sf_dir: str, by_tens: bool = False) -> DataFrame:
-    """documents with their labels and embeddings. by_tens: spaces by tens of ids, so supersession stays inside a space."""
+def memories(spark: SparkSession, sf_dir: str, by_tens: bool = False, vectors: bool = False) -> DataFrame:
+    """documents with their labels. by_tens: spaces by tens of ids, so supersession stays inside a space. vectors: with embeddings, which only some
+    reads need."""
     d, n = read(spark, sf_dir, "documents"), F.col("doc_id")
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_l"), "quality")
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
     other = (F.floor(n / 10) % 2 == 1) if by_tens else (n % 5 == 0)
     scoped = n % 4 != 0
+    d = d.join(labels, n == F.col("_l"), "left")
+    if vectors:
+        d = d.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding"), n == F.col("_v"), "left")
     return (
-        d.join(labels, n == F.col("_l"), "left")
-        .join(vectors, n == F.col("_v"), "left")
-        .select(
+        d.select(
             F.when(other, "space_other").otherwise("space_test").alias("memory_space_id"),
             padded("m_", n).alias("memory_id"),
             F.concat(F.lit("agent_"), (n % 7).cast("string")).alias("agent_id"),
@@ -47,7 +48,7 @@ def memories(spark: SparkSession, sf_dir: str, by_tens: bool = False) -> DataFra
             F.when(n % 10 == 7, "archived").when(n % 10 == 8, "superseded").when(n % 10 == 9, "merged").otherwise("active").alias("status"),
             F.when((n % 10).isin(8, 9), padded("m_", n - n % 10)).alias("superseded_by"),
             F.when(n % 10 == 0, padded("m_", n + 8)).alias("supersedes"),
-            "embedding",
+            *["embedding"] * vectors,
             F.when(n % 2 == 0, F.sha2("text", 256)).when(n % 6 == 1, "stale").alias("content_hash"),
             _later(n).alias("created_at"),
             _later(n + 1).alias("updated_at"),
