@@ -15,7 +15,7 @@ contexts, the first of each may share windows with the others: these fetch their
 covers (suffixes at every byte, the whole window as leading token) are sorted and marked in the same way. Tokens and contexts, or
 windows, are compared by 128 bits of hash.
 
-Shuffles: 28 bytes an anchor; the texts twice, to meet their marks; 28 bytes a window near places where copies differ. Every step ends in a
+Shuffles: about 20 bytes an anchor; the texts twice, to meet their marks; as many a window near places where copies differ. Every step ends in a
 table in the shared folder, and its shuffle files go when it ends. A task holds one bucket of fixed-size records.
 
 Defined cases: null and empty texts and those shorter than LENGTH keep all bytes; rows with a null id have no place in the order, keep all
@@ -207,14 +207,20 @@ def mark(records: Records, bucket: int, cuts: Splitters) -> tuple[np.ndarray, np
 
 
 def _blob(records: Records) -> bytes:
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in records)
+    """By column; documents and places as differences, which compress well, tokens (hashes) as they are."""
+    a, c, doc, at = records
+    slim = np.concatenate((np.diff(doc, prepend=0).view(np.uint8), np.diff(at.astype(np.int64), prepend=0).astype("<i4").view(np.uint8)))
+    head = np.array([len(a)], "<i8").tobytes()
+    return b"".join((head, a.tobytes(), c.tobytes(), pa.compress(slim, codec="zstd", asbytes=True)))
 
 
 def _unblob(blobs: list[bytes]) -> Records:
     parts = []
     for b in blobs:
-        n = len(b) // 28
-        parts.append((np.frombuffer(b, "<u8", n), np.frombuffer(b, "<u8", n, 8 * n), np.frombuffer(b, "<i8", n, 16 * n), np.frombuffer(b, "<i4", n, 24 * n)))
+        n = int.from_bytes(b[:8], "little")
+        slim = pa.decompress(b[8 + 16 * n :], decompressed_size=12 * n, codec="zstd", asbytes=True)
+        doc, at = np.cumsum(np.frombuffer(slim, "<i8", n)), np.cumsum(np.frombuffer(slim, "<i4", n, 8 * n).astype(np.int64)).astype(np.int32)
+        parts.append((np.frombuffer(b, "<u8", n, 8), np.frombuffer(b, "<u8", n, 8 + 8 * n), doc, at))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in ("<u8", "<u8", "<i8", "<i4"))
 
 
