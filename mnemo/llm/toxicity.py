@@ -35,7 +35,7 @@ OFTEN = 4
 #: Letters by which rare words are hashed.
 STEM = 4
 #: Thresholds stay in this range: the rows set aside are few, and rejecting a clean text costs more than a doubtful one.
-RANGE = (0.4, 0.8)
+RANGE = (0.4, 0.6)
 #: A language needs so many rows of either class among those set aside for a threshold of its own.
 LEAST = 20
 STEMS, WORDS = (1 << 31) - 1, 1 << 31
@@ -184,8 +184,10 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None
             step(net.embedding, grad[real], 0, at[real])
     test = np.flatnonzero(aside) if len(own) < len(y) else own
     margin = np.concatenate([net.margins([texts[i] for i in part]) for part in np.array_split(test, len(test) // 200 + 1)])
-    net.scale = platt(margin, y[test])
-    a, b = net.scale
+    a, b = platt(margin, y[test])
+    if min(y[test].sum(), len(test) - y[test].sum()) >= LEAST:
+        b = -a * best_threshold(margin, y[test])  # one half is where the rows set aside are told apart best
+    net.scale = a, b
     score = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
     net.thresholds = {None: float(np.clip(best_threshold(score, y[test]), *RANGE))}
     for lang in set(langs or []) - {None}:

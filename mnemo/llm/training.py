@@ -56,7 +56,7 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     last = np.flatnonzero(np.append(s[1:] != s[:-1], True))
     f1 = 2 * hit[last] / (last + 1 + y.sum())
     k = int(f1.argmax())
-    below = s[last[k] + 1] if last[k] + 1 < len(s) else 0.0
+    below = s[last[k] + 1] if last[k] + 1 < len(s) else s[-1]
     return float((s[last[k]] + below) / 2)
 
 
