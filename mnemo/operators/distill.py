@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions import identity
+from mnemo.operators import reads, recall
+from mnemo.operators.predicates import ExactScope, Scope
 
 SCOPE = ("memory_space_id", "namespace", "scope_kind", "scope_ref")
 ATOM_TYPES = ("fact", "pattern", "preference", "constraint", "instruction")
@@ -86,6 +90,18 @@ def decision_problem(action: Column, targets: Column) -> Column:
     return F.when(acts & (F.size(targets) == 0), F.concat(action, F.lit(" requires at least one target"))).when(acts & bad, "a target is no id")
 
 
+def scan_candidates(memories: DataFrame, space: str, scope: Scope, n: int) -> DataFrame:
+    """Merge candidates: the first n active memories of the scope, in the order of reads."""
+    return reads.active_by_scope(memories, space, scope).limit(max(0, n))
+
+
+def recall_candidates(memories: DataFrame, space: str, scope: Scope, atom: str, n: int, now: datetime, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
+    """Merge candidates by relevance to the atom, in exactly this scope; none for n of 0 or less."""
+    if n <= 0:
+        return memories.select(*reads.RECORD_COLUMNS).limit(0)
+    return recall.recall(memories, space, ExactScope(scope), atom, now, limit=min(n, 100), embed=embed)
+
+
 def apply_decisions(decisions: DataFrame, memories: DataFrame) -> DataFrame:
     """decisions: decision_id, memory_space_id, own_id, action, targets. Adds applied (skip, store, merge), live_targets and note: a target that is the
     atom itself goes, with no other left it is skipped; a winner that is there and not active is skipped; missing targets go, with none left it is stored."""
@@ -196,8 +212,6 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
     for a in atoms:
         if not a["content"].strip() or a.get("atom_type", "fact").strip().lower() not in ATOM_TYPES or a.get("confidence", "medium").strip().lower() not in CONFIDENCES:
             raise ValueError(f"invalid atom: {a}")
-    import uuid
-
     for a in atoms:
         content = a["content"].strip()
         own = identity.type_id("memory", uuid.uuid5(identity.ATOMS, f"{session['session_id']}:{content}"))

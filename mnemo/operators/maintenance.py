@@ -75,3 +75,9 @@ def renamed(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
         return df
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return df.withColumn(column, F.coalesce(table[F.col(column)], F.col(column)))
+
+
+def manifest_lines(manifest: DataFrame, files: list[str]) -> DataFrame:
+    """Lines "checksum filename" whose file is among the selected ones."""
+    parts = F.split(F.trim("line"), r"\s+", 2)
+    return manifest.filter((F.size(parts) == 2) & F.try_element_at(parts, F.lit(2)).isin(files))

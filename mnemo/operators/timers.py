@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,14 @@ def apply_outcomes(timers: DataFrame, now: Column) -> DataFrame:
         "new_fire_at": F.when(status == "scheduled", plus(now, wait)).otherwise(F.col("fire_at")),
         "last_error": F.when(status == "dead", F.concat(space, F.coalesce("error", F.lit("")))).otherwise(F.col("error")),
     })
+
+
+def drain(read: Callable[[], DataFrame], fire: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], now: Column, most_rounds: int = 100) -> int:
+    """Fires what is due, all of it together, until nothing is: read gives the timers, fire adds outcome and error, write stores the new state.
+    Retries come due later than `now`, so the rounds end."""
+    for k in range(most_rounds):
+        batch = due(read(), now)
+        if batch.isEmpty():
+            return k
+        write(apply_outcomes(fire(batch), now))
+    return most_rounds

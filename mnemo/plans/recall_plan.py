@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from mnemo.operators.predicates import ExactScope, NamespaceWide, Scope, Target
 
 STRATEGIES = ("keyword", "embedding", "hybrid")
-VECTOR_COLUMNS = ("embedding", "embedding_model", "dimensions", "content_hash")
+VECTOR_COLUMNS = ("embedding", "content_hash")
 
 
 @dataclass(frozen=True)
@@ -21,19 +21,29 @@ class RecallPlan:
     embed: bool
 
 
-def capability(memories: DataFrame, dimensions: int | None = None, sample: Any = None) -> str:
-    """available, or the first problem: no vector type, no vector column, another width."""
-    column = next((f for f in memories.schema if f.name == "embedding"), None)
-    if column is None:
-        return "missing column"
-    if not (isinstance(column.dataType, T.ArrayType) and isinstance(column.dataType.elementType, (T.FloatType, T.DoubleType))):
+def probe(memories: DataFrame) -> dict[str, Any]:
+    """What a table offers for vectors, from its schema: type, missing columns, declared width."""
+    fields = {f.name: f for f in memories.schema}
+    column = fields.get("embedding")
+    typed = column is not None and isinstance(column.dataType, T.ArrayType) and isinstance(column.dataType.elementType, (T.FloatType, T.DoubleType))
+    return {"vector_type": typed or column is None, "missing": [c for c in VECTOR_COLUMNS if c not in fields], "width": column.metadata.get("dimensions") if column is not None else None}
+
+
+def classify(found: dict[str, Any], dimensions: int | None = None) -> str:
+    """available, or the first problem in this order: the type, columns, the width."""
+    if not found["vector_type"]:
         return "no vector type"
-    width = column.metadata.get("dimensions")
-    if dimensions is not None and width is not None and width != dimensions:
-        return f"width {width}, not {dimensions}"
+    if found["missing"]:
+        return "missing columns: " + ", ".join(found["missing"])
+    if dimensions is not None and found["width"] not in (None, dimensions):
+        return f"width {found['width']}, not {dimensions}"
     return "available"
 
 
+def capability(memories: DataFrame, dimensions: int | None = None) -> str:
+    return classify(probe(memories), dimensions)
+
+
 def plan_recall(capable: str, strategy: str) -> RecallPlan:
     if strategy not in STRATEGIES:
         raise ValueError(f"not a strategy: {strategy}")

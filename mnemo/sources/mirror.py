@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
@@ -52,6 +53,10 @@ def plan(old: Path, new: Path) -> list[Move]:
     return moves
 
 
+def counts(moves: Iterable[Move]) -> dict[str, int]:
+    return dict(Counter(m.verdict for m in moves))
+
+
 def apply(moves: Iterable[Move]) -> int:
     """Copies what is ready without ever writing over a file; the number of collisions."""
     clashes = 0

@@ -288,3 +288,51 @@ def test_cli_arguments(capsys, tmp_path):
             p.parse_args(bad)
     mirror.write(tmp_path / "o" / "a.md", "1")
     assert cli.main(["migrate-artifacts", str(tmp_path / "o"), str(tmp_path / "n"), "--apply"]) == 0
+
+
+def test_capability_order(spark):
+    m = memories(spark, memory("1"))
+    assert recall_plan.capability(m) == "available"
+    assert recall_plan.capability(m.drop("content_hash")) == "missing columns: content_hash"
+    assert recall_plan.capability(m.drop("content_hash").withColumn("embedding", F.lit("x"))) == "no vector type"
+    wide = m.withMetadata("embedding", {"dimensions": 3})
+    assert recall_plan.capability(wide, 4) == "width 3, not 4" and recall_plan.capability(wide, 3) == "available"
+
+
+def test_drain_ends_when_nothing_is_due(spark):
+    state = [spark.createDataFrame([("1", "a", 0), ("2", "a", 7), ("3", None, 8)], "timer_id string, memory_space_id string, attempts int").withColumns({"fire_at": F.lit(T0), "status": F.lit("scheduled")})]
+
+    def fire(batch):
+        return batch.withColumns({"outcome": F.when(F.col("timer_id") == "1", "completed").otherwise("retry"), "error": F.lit("e")})
+
+    def write(done):
+        rows = done.select("timer_id", "memory_space_id", F.col("new_attempts").alias("attempts"), F.col("new_fire_at").alias("fire_at"), F.col("new_status").alias("status"))
+        state[0] = spark.createDataFrame(rows.collect(), rows.schema)
+
+    assert timers.drain(lambda: state[0], fire, write, F.lit(T0)) == 1
+    assert {r.timer_id: r.status for r in state[0].collect()} == {"1": "fired", "2": "scheduled", "3": "dead"}
+
+
+def test_preflight():
+    c = access.Context("s", "w", frozenset({"distill"}))
+    give = {"s": c, "t": access.Context("t", "w", frozenset({"read"}))}.get
+    assert access.preflight("s:n/k/r", give, "s") == ("run", None)
+    assert [access.preflight(x, give, r)[0] for x, r in (("s", None), ("x:n", None), ("s:n", "t"), ("t:n", "t"))] == ["dead"] * 4
+
+
+def test_merge_candidates(spark):
+    m = memories(spark, memory("1", priority=2, content="red fox"), memory("2", priority=1, content="blue"), memory("3", kind="k", ref="r", content="red"))
+    assert [r.memory_id for r in distill.scan_candidates(m, "a", Scope("n"), 1).collect()] == ["2"] and distill.scan_candidates(m, "a", Scope("n"), -1).count() == 0
+    assert [r.memory_id for r in distill.recall_candidates(m, "a", Scope("n"), "red", 5, T0).collect()] == ["1"]
+    assert distill.recall_candidates(m, "a", Scope("n"), "red", 0, T0).count() == 0
+
+
+def test_manifest(spark):
+    lines = spark.createDataFrame([("abc 1.sql",), ("def  2.sql",), ("odd",), ("",)], "line string")
+    assert [r.line for r in maintenance.manifest_lines(lines, ["2.sql", "odd"]).collect()] == ["def  2.sql"]
+
+
+def test_explained_is_the_plan_that_runs(spark):
+    m = memories(spark, memory("1", content="red fox", vec=[1.0]))
+    text = recall.explained(recall.recall(m, "a", NamespaceWide("n"), "red", T0, "keyword"))
+    assert "memory_space_id" in text and "TakeOrderedAndProject" in text
