@@ -13,7 +13,8 @@ from mnemo.functions import identity, scoring, text, vectors
 from mnemo.operators import distill, embedding, folds, lineage, maintenance, predicates, reads, recall, timers, verdicts
 from mnemo.operators.predicates import ExactScope, NamespaceWide, Scope
 from mnemo.plans.recall_plan import RecallPlan
-from mnemo.sources import tables
+from mnemo.sources import shared, tables
+from mnemo.streaming import projections
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -295,16 +296,20 @@ def scope_slug(s, d):
     return m.select("memory_id", identity.scope_slug(F.col("ns"), F.col("scope_kind"), F.col("ref")).alias("slug"), identity.space_directory(F.col("memory_space_id")).alias("directory"))
 
 
-@query("uuid5_ids")
+UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr({0}, 17, 1)) - 1) % 4 + 1, 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
+
+
+@query("uuid5_ids", f"""WITH {TURNS}, h AS (SELECT turn_id, sha1(unhex('6b696f6b752d6c31800061746f6d6964') || encode(session_id || ':' || content)) AS a, sha1(unhex('6b696f6b752d6c31800061746f6d6964') || encode('audit:' || session_id || ':' || turn_index || ':' || content)) AS b FROM turns)
+SELECT turn_id, {UUID.format('a')} AS atom_uuid, 'mnemo_consolidation_decision:' || {UUID.format('b')} AS audit_id FROM h""")
 def uuid5_ids(s, d):
     t = tables.turns(s, d)
-    u = identity.atom_uuid(F.col("session_id"), F.col("content"))
-    return t.select("turn_id", u.alias("atom_uuid"), identity.typed("memory", u).alias("memory_id"), identity.audit_id(F.col("session_id"), F.col("turn_index"), F.col("content")).alias("audit_id"))
+    return t.select("turn_id", identity.atom_uuid(F.col("session_id"), F.col("content")).alias("atom_uuid"), identity.audit_id(F.col("session_id"), F.col("turn_index"), F.col("content")).alias("audit_id"))
 
 
 @query("typeid_parse")
 def typeid_parse(s, d):
-    return uuid5_ids(s, d).select("turn_id", identity.untyped(F.col("memory_id"), "memory").alias("strict"), identity.untyped(F.col("memory_id"), "session").alias("wrong_prefix"), identity.untyped(F.col("memory_id")).alias("lenient"))
+    t = uuid5_ids(s, d).select("turn_id", identity.typed("memory", F.col("atom_uuid")).alias("memory_id"))
+    return t.select("turn_id", "memory_id", identity.untyped(F.col("memory_id"), "memory").alias("strict"), identity.untyped(F.col("memory_id"), "session").alias("wrong_prefix"), identity.untyped(F.col("memory_id")).alias("lenient"))
 
 
 @query("opaque_ids", f"""WITH {MEM}, x AS (SELECT memory_id, CASE priority % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 129) WHEN 2 THEN 'a b' WHEN 3 THEN 'a:b' ELSE memory_id END AS v FROM memories)
@@ -332,6 +337,19 @@ def memory_fold(s, d):
     return shown(folds.fold_memories(_log(s, d)))
 
 
+@query("streaming_fold", f"""WITH {LOG}, home AS (SELECT stream_id, memory_space_id AS h FROM log WHERE version = 1), own AS (SELECT log.* FROM log JOIN home USING (stream_id) WHERE memory_space_id = h)
+SELECT memory_space_id, stream_id, coalesce(arg_max(kind, version) FILTER (kind IN ('superseded', 'archived', 'merged')), 'active') AS status, arg_max('m_' || k, version) FILTER (kind IN ('superseded', 'merged')) AS superseded_by,
+ arg_max('t' || k, version) FILTER (kind IN ('recorded', 'tags')) AS tags, arg_max(CASE WHEN k % 2 = 0 THEN 'high' ELSE 'low' END, version) FILTER (kind IN ('recorded', 'confidence')) AS confidence, count(*) AS n_events FROM own GROUP BY memory_space_id, stream_id""")
+def streaming_fold(s, d):
+    """The log written as files and folded by the stateful stream."""
+    root = shared.folder(s, "streaming-fold")
+    log = _log(s, d).select("memory_space_id", "stream_id", "version", "kind", "by", "tags", "confidence", "at")
+    log.repartition(4, "stream_id").write.parquet(f"{root}/log")
+    stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    projections.run_available(projections.memory_projection(stream), projections.upsert_sink(f"{root}/rows", ["stream_id"]), f"{root}/checkpoint")
+    return projections.latest(s, f"{root}/rows", ["stream_id"])
+
+
 SESKIND = "CASE WHEN version = 1 THEN 'started' WHEN event_type = 'signup' THEN 'completed' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'click' THEN 'awaiting' WHEN event_type = 'view' THEN 'resumed' ELSE 'turn' END"
 
 
