@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemo.sources import shared
+
 #: Python handles texts in chunks of about this many bytes, whatever the size of an Arrow batch.
 CHUNK_BYTES = 2_000_000
 
@@ -52,12 +52,7 @@ class Scratch:
     empty (tests in local mode) a temporary folder stands in."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.gettempdir()
-        self.spark, self.root = spark, f"{base}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, shared.folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
