@@ -37,10 +37,12 @@ from mnemo.llm.common import Scratch, chunks, text_of, tidy
 
 LENGTH, K = 100, 40
 SIDE = LENGTH - K
-#: One document in SHARE is read for splitters where the corpus has more than SMALL bytes, and about SAMPLE of its suffixes are kept.
-SHARE, SMALL, SAMPLE = 64, 50_000_000, 100_000
-#: Records that a bucket is meant to hold, and that a task gathers before it deals them out.
-BUCKET, GATHER = 400_000, 1_000_000
+#: One document in SHARE is read for splitters where the corpus has more than SMALL bytes; about SAMPLE of its suffixes are kept, or PER a bucket
+#: if that is more (2 million records at most).
+SHARE, SMALL, SAMPLE, PER = 64, 50_000_000, 100_000, 10
+#: Records that a bucket is meant to hold, and that a task gathers before it deals them out; buckets at most. Up to 80 billion records (2.5 TB of text)
+#: the first holds, beyond that buckets grow: at 100 TB to 16 million records of 28 bytes. Splitters, 28 bytes each, stay below 6 MB.
+BUCKET, GATHER, MOST = 400_000, 1_000_000, 200_000
 #: Long texts are hashed in stretches of so many bytes, each with what windows need around it.
 STRETCH = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -312,9 +314,11 @@ def _result(docs: DataFrame, keep: bool) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     share = SHARE if total > SMALL else 1
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of = lambda n: max(least, -(-n // BUCKET))
+    of = lambda n: max(least, min(MOST, -(-n // BUCKET)))
 
-    thin = [max(1, int(total / share * x / SAMPLE)) for x in (2 / (SIDE + 2), 1)]
+    anchors_there = int(total * 2 / (SIDE + 2))
+    wanted = max(SAMPLE, PER * of(anchors_there))
+    thin = [max(1, int(x / share / wanted)) for x in (anchors_there, total)]
 
     def sample(batches):
         for doc, data, _ in _documents(batches):
@@ -324,14 +328,14 @@ def _result(docs: DataFrame, keep: bool) -> DataFrame:
                 pick = ((place + doc * 7919).astype(np.uint64) * MIX >> np.uint64(20)) % np.uint64(thin[level]) == 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(pick.sum(), level), pa.int32()), *(pa.array(t[pick].view(np.int64)) for t in tokens), pa.array(np.full(pick.sum(), doc), pa.int64()), pa.array(place[pick], pa.int32())], ["level", "a", "c", "doc", "at"])
 
-    # about SAMPLE records of either kind, whatever the size of the corpus
+    # about `wanted` records of either kind, whatever the size of the corpus
     drawn = able.filter(F.crc32(F.col("doc_id").cast("string")) % share == 0).mapInArrow(sample, "level int, a bigint, c bigint, doc bigint, at int").toPandas()
     samples = []
     for level in (0, 1):
         s = drawn[drawn.level == level]
         samples.append((s.a.to_numpy().view(np.uint64), s.c.to_numpy().view(np.uint64), s.doc.to_numpy(), s["at"].to_numpy()))
 
-    cuts = Splitters.choose(samples[0], of(int(total * 2 / (SIDE + 2))))
+    cuts = Splitters.choose(samples[0], of(anchors_there))
 
     def deal(batches):
         def source():
