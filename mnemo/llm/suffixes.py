@@ -37,7 +37,7 @@ from mnemo.llm.common import Scratch, chunks, text_of, tidy
 
 LENGTH, K = 100, 40
 SIDE = LENGTH - K
-#: One document in SHARE is read for splitters where the corpus has more than SMALL bytes; about SAMPLE of its suffixes are kept, or PER a bucket
+#: One document in SHARE is read for splitters where the corpus has more than SMALL bytes and a hundred times as many documents; about SAMPLE of its suffixes are kept, or PER a bucket
 #: if that is more (2 million records at most).
 SHARE, SMALL, SAMPLE, PER = 64, 50_000_000, 100_000, 10
 #: Records that a bucket is meant to hold, and that a task gathers before it deals them out; buckets at most. Up to 80 billion records (2.5 TB of text)
@@ -311,8 +311,9 @@ def _result(docs: DataFrame, keep: bool) -> DataFrame:
     scratch = Scratch(spark, "suffixes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     able = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    share = SHARE if total > SMALL else 1
+    there = able.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
+    total = there["bytes"] or 0
+    share = SHARE if total > SMALL and there["rows"] > 100 * SHARE else 1
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     of = lambda n: max(least, min(MOST, -(-n // BUCKET)))
 
