@@ -51,9 +51,10 @@ def exact_groups(docs: DataFrame, digest: Column | None = None) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs that stay, with all their columns. Rows are told by id and text, so null ids are judged by their groups too."""
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept"), "text_sha256").distinct().hint("shuffle_hash")
+    same = docs["doc_id"].eqNullSafe(kept["_kept"]) & (F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " "), 256) == kept["text_sha256"])
+    return docs.join(kept, same, "left_semi")
 
 
 ORACLE = r"""
