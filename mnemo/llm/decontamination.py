@@ -30,8 +30,8 @@ from mnemo.llm.common import chunks, text_of
 Q, PIECE, ERROR = 8, 128, 0.06
 #: Items with fewer bytes are too short to be told from chance.
 SHORTEST = 40
-BLOCK = 4_000_000
-BITS = 22
+#: Bytes of benchmark text in a block; its index takes about a hundred times as much while a task holds it.
+BLOCK = 1_000_000
 
 
 def normalised(text: str) -> bytes:
@@ -50,8 +50,9 @@ def qgrams(data: bytes) -> np.ndarray:
     return out
 
 
-def _hash(grams: np.ndarray) -> np.ndarray:
-    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+def _hash(grams: np.ndarray, size: int) -> np.ndarray:
+    """Places in a bitmap of `size` (a power of two)."""
+    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 @dataclass
@@ -91,8 +92,8 @@ class Index:
         place = np.concatenate([np.arange(len(g)) for g in each]) if each else np.zeros(0, int)
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        bitmap = np.zeros(1 << BITS, bool)
-        bitmap[_hash(grams)] = True
+        bitmap = np.zeros(1 << max(20, (64 * len(grams)).bit_length()), bool)  # a hundredth full at most
+        bitmap[_hash(grams, len(bitmap))] = True
         return cls(items, np.array(sizes, int), texts, np.array(item, int), np.array(start, int), budget, np.maximum(length - Q + 1 - budget * Q, 1), grams, np.append(first, len(flat)), piece[order], place[order], bitmap)
 
     def hits(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
@@ -100,7 +101,7 @@ class Index:
         grams = qgrams(data)
         if not len(self.grams) or len(grams) < int(self.least.min()):
             return []
-        at = np.flatnonzero(self.bitmap[_hash(grams)])
+        at = np.flatnonzero(self.bitmap[_hash(grams, len(self.bitmap))])
         row = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         real = self.grams[row] == grams[at]
         at, row = at[real], row[real]

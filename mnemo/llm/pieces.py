@@ -18,7 +18,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mnemo.llm.common import chunks, text_of
 
