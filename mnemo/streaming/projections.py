@@ -52,6 +52,46 @@ def memory_projection(events: DataFrame) -> DataFrame:
     return events.groupBy("stream_id").applyInPandasWithState(step, MEMORY_OUT, MEMORY_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+SESSION_FIELDS = "memory_space_id string, status string, started_us bigint, completed_us bigint, error_message string, summary string, awaiting_reason string, awaiting_correlation_key string, resume_input string, updated_us bigint"
+
+
+def _session(state: dict[str, Any] | None, e) -> dict[str, Any]:
+    now = state or dict.fromkeys([p.split()[0] for p in SESSION_FIELDS.split(", ")]) | {"memory_space_id": e.memory_space_id, "version": -1}
+    if e.version <= now["version"]:
+        return now  # delivered again
+    now = now | {"version": int(e.version), "updated_us": max(now["updated_us"] or 0, int(e.at_us))}
+    if e.kind == "turn":
+        return now
+    now |= {"status": "running" if e.kind in ("started", "resumed") else e.kind, "awaiting_reason": None, "awaiting_correlation_key": None}
+    if e.kind in ("started", "interactive"):
+        now |= {"started_us": min(now["started_us"] or int(e.at_us), int(e.at_us))}
+    elif e.kind in ("completed", "failed"):
+        now |= {"completed_us": int(e.at_us), "summary" if e.kind == "completed" else "error_message": e.text}
+    elif e.kind == "awaiting":
+        now |= {"awaiting_reason": e.text, "awaiting_correlation_key": e.key, "resume_input": None}
+    elif e.kind == "resumed":
+        now |= {"resume_input": e.text}
+    return now
+
+
+def session_projection(events: DataFrame) -> DataFrame:
+    """Events (as for folds.fold_sessions) in, the row of every session they touched out; update mode."""
+    names = [p.split()[0] for p in SESSION_FIELDS.split(", ")]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = dict(zip([*names, "version"], state.get, strict=True)) if state.exists else None
+        for e in pd.concat(list(batches)).sort_values("version").itertuples():
+            now = _session(now, e)
+        state.update(tuple(now[n] for n in [*names, "version"]))
+        row = pd.DataFrame([{"stream_id": key[0], **{n: now[n] for n in names}}])
+        yield row.astype({n: "Int64" for n in names if n.endswith("_us")})
+
+    rows = events.withColumn("at_us", F.unix_micros("at"))
+    out = rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id string, {SESSION_FIELDS}", f"{SESSION_FIELDS}, version int", "update", GroupStateTimeout.NoTimeout)
+    times = {n: F.timestamp_micros(f"{n}_us").alias(f"{n}_at") for n in ("started", "completed", "updated")}
+    return out.select("memory_space_id", "stream_id", "status", times["started"], times["completed"], "error_message", "summary", "awaiting_reason", "awaiting_correlation_key", "resume_input", times["updated"])
+
+
 def idle_timers(activity: DataFrame, idle_seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
     """activity: session_id, at. A row for each stretch of activity once it has been idle so long: a session window closed by the watermark."""
     windows = activity.withWatermark("at", late).groupBy(F.session_window("at", f"{idle_seconds} seconds"), "session_id").agg(F.count("*").alias("n"))

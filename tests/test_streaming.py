@@ -31,3 +31,16 @@ def test_idle_windows_close_by_watermark(spark, tmp_path):
     seen = []
     projections.run_available(projections.idle_timers(stream), lambda df, n: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp"), "append")
     assert sorted(seen) == [("s", T0 + timedelta(minutes=40), 2), ("s", T0 + timedelta(minutes=80), 1)]
+
+
+def test_streamed_sessions_equal_the_batch_fold(spark, tmp_path):
+    plans = [["started", "turn"], ["started", "awaiting"], ["started", "awaiting", "resumed", "turn"], ["started", "awaiting", "failed"], ["interactive"], ["started", "awaiting", "resumed", "awaiting", "completed"]]
+    rows = [("a", f"s{s}", i, k, T0 + timedelta(hours=i), f"x{i}", f"k{i}") for s, kinds in enumerate(plans) for i, k in enumerate(kinds)]
+    log = spark.createDataFrame(rows, "memory_space_id string, stream_id string, version int, kind string, at timestamp, text string, key string")
+    for part in ("version < 2", "version > 0"):  # version 1 comes twice
+        log.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    projections.run_available(projections.session_projection(stream), projections.upsert_sink(str(tmp_path / "out"), ["stream_id"]), str(tmp_path / "cp"))
+    want = folds.fold_sessions(log)
+    got = projections.latest(spark, str(tmp_path / "out"), ["stream_id"]).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
