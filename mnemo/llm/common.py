@@ -73,5 +73,7 @@ class Scratch:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Have Spark delete an execution's shuffle files when it ends: each stage here ends in a written table."""
+    """Settings of the session that the operators rely on: an execution's shuffle files go when it ends (each stage here ends in a written
+    table), and Arrow batches are bounded by bytes, so that long texts don't add up."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

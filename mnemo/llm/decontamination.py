@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import chunks, text_of
+from mnemo.llm.common import chunks, text_of, tidy
 
 Q, PIECE, ERROR = 8, 128, 0.06
 #: Items with fewer bytes are too short to be told from chance.
@@ -185,6 +185,7 @@ def align(piece: bytes, data: bytes, low: int, high: int, most: int) -> tuple[in
 def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start, end (bytes of the normalised text), edits (of the worst piece), coverage (matched share of the item); a row for
     each pair of a text and an item found in it."""
+    tidy(docs.sparkSession)
     total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = int(total // block) + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -211,6 +212,7 @@ def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item is found, whole and unchanged."""
+    tidy(docs.sparkSession)
     total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = int(total // block) + 1
     for b in range(blocks):

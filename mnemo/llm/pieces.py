@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemo.llm.common import chunks, text_of
+from mnemo.llm.common import chunks, text_of, tidy
 
 SPACE = "▁"
 
@@ -167,6 +167,7 @@ def read_model(path: str | None = None) -> bytes:
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, begins, ends: the pieces of every text with the half-open spans of original bytes they cover."""
+    tidy(docs.sparkSession)
     blob = read_model(model)
 
     def work(batches):
@@ -183,6 +184,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, text for rows of doc_id, ids."""
+    tidy(encoded.sparkSession)
     blob = read_model(model)
 
     def work(batches):
@@ -197,6 +199,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, model: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Digests of both directions in one pass: n_tokens, ids_sha256, decoded_sha256, spans_sha256 (of the borders of the
     pieces in original bytes, as decimals joined by commas). keep_ids: the ids as well."""
+    tidy(docs.sparkSession)
     blob = read_model(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

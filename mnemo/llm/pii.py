@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mnemo.llm.boosting import Boosted
-from mnemo.llm.common import chunks, text_of
+from mnemo.llm.common import chunks, text_of, tidy
 from mnemo.llm.training import platt
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,6 +224,7 @@ def _joined(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans (kind:start:end in code points, all of them)."""
+    tidy(docs.sparkSession)
     selector = docs.sparkSession.sparkContext.broadcast(trained(precision))  # a few dozen small trees
 
     def work(batches):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemo.llm.common import chunks, text_of
+from mnemo.llm.common import chunks, text_of, tidy
 from mnemo.llm.training import held_out, labelled_sample, platt
 
 BITS = 18
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Linear:
 
 def score(docs: DataFrame, model: Linear, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    tidy(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights and ratios
 
     def work(batches):

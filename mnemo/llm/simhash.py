@@ -59,6 +59,7 @@ def _fingerprints(texts: list[str], width: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for every row."""
+    tidy(docs.sparkSession)
 
     def work(batches):
         for part in chunks(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import chunks, text_of
+from mnemo.llm.common import chunks, text_of, tidy
 from mnemo.llm.training import SAMPLE, best_threshold, held_out, labelled_sample, platt
 
 WORD = re.compile(r"\w+")
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Convolutional
 
 def score(docs: DataFrame, net: Convolutional) -> DataFrame:
     """doc_id, held_out, score, predicted (score of 0.5 or more), rejected (the calibrated threshold of the row's language)."""
+    tidy(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample's vocabulary
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
 
@@ -221,6 +222,7 @@ def score(docs: DataFrame, net: Convolutional) -> DataFrame:
 
 def accepted(docs: DataFrame, net: Convolutional) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, whole and unchanged."""
+    tidy(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     lang = "lang" in docs.columns
 
