@@ -97,15 +97,19 @@ def links(nodes: DataFrame, scratch: Scratch, budget: int = 2, segments: int = 8
     for n in range(equal + 1, segments + 1):
         chain &= F.bit_count(_low(apart, n * size)) <= n * budget // segments
     near = a.join(b, ["i", "key"]).filter((F.col("node") < F.col("other")) & chain).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    if many.isEmpty():
+    if budget == 0 or many.isEmpty():
         return near
     hot = keyed.join(many, ["i", "key"], "left_semi").select("node", "i", "ring")
     back = F.coalesce(*[F.when(F.col("i") == i, _rotate(F.col("ring"), (64 - i * size) % 64)) for i in range(segments)])
     hot = hot.select("node", back.alias("fp")).distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
-    met = hot.select("node", F.explode(around if budget == 2 else F.array("fp")).alias("value")).groupBy("value").agg(F.sort_array(F.collect_set("node")).alias("all"))
-    star = met.filter(F.size("all") > 1).select(F.col("all")[0].alias("u"), F.explode("all").alias("v")).filter("u <> v")
-    return near.unionByName(star)
+    met = hot.select("node", F.explode(around).alias("value"), *["fp"] * (budget == 1)).groupBy("value")
+    every = F.sort_array(F.collect_set("node")).alias("all")
+    if budget == 2:
+        star = met.agg(every).withColumn("u", F.col("all")[0])
+    else:  # one bit: both share the value that is one of them
+        star = met.agg(every, F.max(F.when(F.col("fp") == F.col("value"), F.col("node"))).alias("u")).filter("u IS NOT NULL")
+    return near.unionByName(star.filter(F.size("all") > 1).select("u", F.explode("all").alias("v")).filter("u <> v"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, segments: int = 8, crowd: int = 64) -> DataFrame:
@@ -121,6 +125,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, segments:
 
 
 def near_dedup(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the smallest id, and rows with a null id."""
-    gone = near_duplicates(docs, width, budget).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of docs that stay, with all their columns: of each component the smallest id, and rows with a null id. An id that several
+    texts have goes only if each of them is a near copy of a smaller id."""
+    found = near_duplicates(docs, width, budget).groupBy(F.col("doc_id").alias("_gone"))
+    gone = found.agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_all")).filter("_all").select("_gone")
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")

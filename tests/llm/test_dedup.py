@@ -150,8 +150,8 @@ def test_simhash(which, crowd, request):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_simhash(texts(docs))
 
 
-@pytest.mark.parametrize(("segments", "crowd"), [(4, 64), (8, 64), (16, 64), (8, 1)])
-def test_links_lose_none(spark, segments, crowd):
+@pytest.mark.parametrize(("segments", "crowd", "budget"), [(4, 64, 2), (8, 64, 2), (16, 64, 2), (8, 1, 2), (8, 1, 1), (8, 64, 0), (8, 1, 0)])
+def test_links_lose_none(spark, segments, crowd, budget):
     r = random.Random(segments)
     prints = {r.getrandbits(64) for _ in range(40)} | {0, (1 << 64) - 1}
     for p in list(prints):
@@ -162,8 +162,8 @@ def test_links_lose_none(spark, segments, crowd):
             prints.add(q)
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(sorted(prints))]
     nodes = spark.createDataFrame(rows, "node bigint, fp bigint")
-    found = {(x.u, x.v) for x in simhash.links(nodes, Scratch(spark, "t"), 2, segments, crowd).collect()}
-    want = {(i, j) for i, p in rows for j, q in rows if i < j and ((p ^ q) & (1 << 64) - 1).bit_count() <= 2}
+    found = {(x.u, x.v) for x in simhash.links(nodes, Scratch(spark, "t"), budget, segments, crowd).collect()}
+    want = {(i, j) for i, p in rows for j, q in rows if i < j and ((p ^ q) & (1 << 64) - 1).bit_count() <= budget}
     if crowd == 64:
         assert found == want
     groups = lambda links: sorted((x.node, x.component) for x in components.components(spark.createDataFrame(sorted(links), "u bigint, v bigint"), Scratch(spark, "t")).collect())
@@ -181,3 +181,9 @@ def test_near_dedup_keeps_one_of_each(odd):
     assert kept.columns == odd.columns
     want = {i for i, _, c in brute_simhash(texts(odd)) if i == c or i is None}
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_an_id_of_two_texts_is_no_near_copy(spark):
+    rows = [(1, "one two three four"), (5, "one two three four"), (5, "quite another text of words"), (7, "one two three four"), (7, "one two three four")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(texts(kept)) == sorted(rows[:3])
