@@ -87,7 +87,8 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     counted = missing.mapInArrow(count, "digest binary, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
 
-    stored = spark.read.schema(SCHEMA).parquet(cache).filter(F.col("version") == version).select("digest", "n_tokens")
+    # runs that share a cache may both append a digest; the join shuffles by it anyway
+    stored = spark.read.schema(SCHEMA).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return (
         rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(stored, "digest")

@@ -103,6 +103,8 @@ def test_counts(which, request, tmp_path):
     assert before == len({t for _, t in texts(docs)})
     assert sorted((tuple(r) for r in token_counts.token_counts(docs, cache=cache, limit=100).collect()), key=str) == want
     assert docs.sparkSession.read.parquet(cache).count() == before  # all found, nothing stored anew
+    docs.sparkSession.read.parquet(cache).write.mode("append").parquet(cache)  # as after two runs at once
+    assert sorted((tuple(r) for r in token_counts.token_counts(docs, cache=cache, limit=100).collect()), key=str) == want
 
 
 def test_other_libraries(spark, sample, tmp_path):
