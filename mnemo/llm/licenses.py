@@ -82,7 +82,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, dice: fl
     segments = F.concat(F.split(text, "\n"), F.filter(F.split(text, "\n[ \t]*\n"), lambda p: F.contains(p, F.lit("\n"))))
     # each word but the last takes two characters at least, so shorter segments can't have `low` bigrams
     long = F.filter(segments, lambda s: F.length(s) > 2 * low)
-    listed = F.transform(F.filter(F.transform(long, _words), lambda w: (F.size(w) > low) & (F.size(w) <= 4 * high)), _bigrams)
+    listed = F.transform(F.filter(F.transform(long, _words), lambda w: F.size(w) > low), _bigrams)
     # a segment must have a bigram of some notice, and a size within some bounds
     every = F.array(*[F.lit(x) for x in sorted({x for _, b in known for x in b})])
     near = F.filter(listed, lambda b: F.size(b).between(low, high) & F.arrays_overlap(b, every))

@@ -64,6 +64,19 @@ def test_licenses(which, request):
     assert norm(tuple(r) for r in licenses.scan(docs).select(*columns).collect()) == norm(want)
 
 
+def test_licenses_of_repeated_notices(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, " ".join([notice] * 60)), (2, "\n".join([notice] * 60)), (3, "plain text " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns = "doc_id", "license", "dice", "n_matches", "licenses"
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({licenses.ORACLE}) ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in licenses.scan(docs).select(*columns).orderBy("doc_id").collect()]
+    assert got == want
+    assert got[0][1] == "MIT" and got[1][3] > 60 and got[2][1] is None
+
+
 def test_license_paragraphs(spark):
     split = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
     rows = [(1, "intro\n\n" + split + "\n\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, "released under no licence at all")]
