@@ -77,6 +77,12 @@ def test_licenses_of_repeated_notices(spark):
     assert got[0][1] == "MIT" and got[1][3] > 60 and got[2][1] is None
 
 
+def test_license_of_a_bare_reservation(spark):
+    rows = [(1, "a text\nAll rights reserved.\nmore of it"), (2, "all rights of way are reserved for walkers")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "proprietary", 2: None}
+
+
 def test_license_paragraphs(spark):
     split = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
     rows = [(1, "intro\n\n" + split + "\n\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, "released under no licence at all")]
