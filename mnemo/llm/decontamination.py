@@ -1,37 +1,46 @@
 """Operator 7, benchmark decontamination: the q-gram lemma over overlapping diagonal bands, then banded alignment.
 
-Texts and items are lower-cased, white space runs made one space, and compared as UTF-8 bytes. Items are cut into pieces of PIECE bytes,
-half overlapping (a shorter item is one piece), so that a part of a long item is found too. A region of a text matches a piece of
-length L if it is at most k = floor(ERROR * L) edits away. Each edit spoils at most q of the piece's L - q + 1 q-grams, so a match
-shares at least L - q + 1 - k*q of them with the piece, and all lie on diagonals less than k + 1 apart. Therefore:
+Texts and items are lower-cased, white space runs made one space, and compared as UTF-8 bytes. Items are cut into pieces of PIECE bytes that begin every
+STEP bytes (a shorter item is one piece), so an unedited excerpt of EXCERPT = PIECE + STEP - 1 bytes or more holds a whole piece wherever it begins.
+A region of a text matches a piece of length L if it is at most k = floor(ERROR * L) edits away. Each edit spoils at most q of the piece's
+L - q + 1 q-grams, so a match shares at least L - q + 1 - k*q of them with the piece, and all lie on diagonals less than k + 1 apart. Therefore:
 1. places whose q-gram the benchmark has are marked (a bitmap of hashes, then the exact key); a window as long as a match must have
    enough marks, or nothing in it is looked up;
 2. the marks left are counted in overlapping bands of diagonals for each piece; bands with enough are regions;
 3. each region is verified by semi-global alignment in a band of that width.
+Items of less than SHORT bytes are too short for edits: they match where their words (runs of letters, digits and other non-ASCII bytes) follow one
+another in a text, whole and in order.
 
-The benchmark is read in blocks of at most BLOCK bytes by the hash of the item, each block's index is broadcast (its bound is BLOCK), and the
-texts pass by each. There is no shuffle. Tasks hold one chunk of texts; long texts are whole.
+Items are cut into sections of SECTION bytes that overlap by a piece, and the sections dealt by hash to blocks of about BLOCK bytes, so neither long
+nor repeated items make a block large. A block's index is broadcast and takes about a hundred bytes a byte while a task holds it. Texts pass by one block at a
+time, each in a job of its own whose result is written, so a task never holds two. There is no shuffle of texts. Tasks hold one chunk of texts; long
+texts are whole; q-grams that many pieces share are looked up in slices.
 
-Defined cases: null and empty texts and items, and items shorter than q + 1 bytes match nothing (SHORTEST); null ids pass; repeated rows give
-their hits each; empty tables give an empty result; of equal alignments the first is told; further columns are left aside."""
+Defined cases: null and empty texts match nothing, nor do null and empty items and items without a word that are shorter than SHORT; null ids pass; repeated
+rows give their hits each (those of items of several sections once), repeated items one; empty tables give an empty result; of equal alignments the first is told; further columns are left aside."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import chunks, text_of, tidy
+from mnemo.llm.common import Scratch, chunks, text_of, tidy
 
-Q, PIECE, ERROR = 8, 128, 0.06
-#: Items with fewer bytes are too short to be told from chance.
-SHORTEST = 40
-#: Bytes of benchmark text in a block; its index takes about a hundred times as much while a task holds it.
-BLOCK = 1_000_000
+Q, PIECE, STEP, ERROR = 8, 64, 16, 0.08
+#: The least excerpt that is found wherever it begins in a longer item.
+EXCERPT = PIECE + STEP - 1
+#: Items with fewer bytes are matched by their words.
+SHORT = 40
+#: Bytes of benchmark text in a block and in a section.
+BLOCK, SECTION = 1_000_000, 50_000
+#: Marks and pieces looked up at once.
+SLICE = 1 << 20
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def normalised(text: str) -> bytes:
@@ -55,13 +64,23 @@ def _hash(grams: np.ndarray, size: int) -> np.ndarray:
     return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
+Section = tuple[int, int, int, bytes]  # item_id, bytes of the item, where the section begins in it, its bytes
+
+
+def sections(item_id: int, text: str | None, length: int = SECTION) -> list[Section]:
+    """Of an item; they overlap by a piece, so each piece of the item is in one. An item that is not much longer is one section."""
+    data = normalised(text or "")
+    starts = range(0, max(1, len(data) - PIECE), length)
+    return [(item_id, len(data), s, data[s : s + length + PIECE]) for s in starts]
+
+
 @dataclass
 class Index:
-    items: list[int]  # item_id of each item
-    sizes: np.ndarray  # bytes of each item
-    texts: list[bytes]  # pieces
-    item: np.ndarray  # of each piece
-    start: np.ndarray  # of each piece in its item
+    items: list[int]  # item_id of each section
+    sizes: np.ndarray  # bytes of the item of each section
+    short: dict[bytes, list[tuple[int, tuple[bytes, ...]]]]  # by their first word, sections of short items and their words
+    texts: list[bytes]  # distinct pieces
+    owners: list[list[tuple[int, int]]]  # of each piece the sections that have it, and where in the item
     budget: np.ndarray  # k of each piece
     least: np.ndarray  # shared q-grams that a match has
     grams: np.ndarray  # distinct q-grams in order
@@ -71,33 +90,49 @@ class Index:
     bitmap: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
-        items, sizes, texts, item, start = [], [], [], [], []
-        for item_id, text in rows:
-            data = normalised(text or "")
-            if len(data) < SHORTEST:
-                continue
+    def build(cls, rows: list[Section]) -> Index:
+        items, sizes, pieces = [], [], {}
+        short: dict[bytes, list[tuple[int, tuple[bytes, ...]]]] = {}
+        for item_id, size, begin, data in rows:
+            k = len(items)
+            if size < SHORT:
+                words = tuple(WORD.findall(data))
+                if not words:
+                    continue
+                short.setdefault(words[0], []).append((k, words))
+            else:
+                last = max(0, len(data) - PIECE)
+                for s in sorted({*range(0, last, STEP), last}):
+                    pieces.setdefault(data[s : s + PIECE], []).append((k, begin + s))
             items.append(item_id)
-            sizes.append(len(data))
-            last = max(0, len(data) - PIECE)
-            for s in sorted({*range(0, last, PIECE // 2), last}):
-                texts.append(data[s : s + PIECE])
-                item.append(len(items) - 1)
-                start.append(s)
+            sizes.append(size)
+        texts = list(pieces)
         length = np.array([len(t) for t in texts], int)
         budget = np.floor(ERROR * length + 1e-9).astype(int)
         each = [qgrams(t) for t in texts]
         flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        piece = np.repeat(np.arange(len(texts)), [len(g) for g in each]).astype(int)
-        place = np.concatenate([np.arange(len(g)) for g in each]) if each else np.zeros(0, int)
+        piece = np.repeat(np.arange(len(texts)), [len(g) for g in each]).astype(np.int32)
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in each]) if each else np.zeros(0, np.int32)
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        bitmap = np.zeros(1 << max(20, (64 * len(grams)).bit_length()), bool)  # a hundredth full at most
+        bitmap = np.zeros(1 << max(20, (16 * len(grams)).bit_length()), bool)  # a sixteenth full at most
         bitmap[_hash(grams, len(bitmap))] = True
-        return cls(items, np.array(sizes, int), texts, np.array(item, int), np.array(start, int), budget, np.maximum(length - Q + 1 - budget * Q, 1), grams, np.append(first, len(flat)), piece[order], place[order], bitmap)
+        return cls(items, np.array(sizes, int), short, texts, list(pieces.values()), budget, np.maximum(length - Q + 1 - budget * Q, 1), grams, np.append(first, len(flat)), piece[order], place[order], bitmap)
+
+    def whole(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
+        """The short items found, as hits() gives them."""
+        words, found = [(m[0], m.start(), m.end()) for m in WORD.finditer(data)], {}
+        for at, (word, start, _) in enumerate(words):
+            for k, mine in self.short.get(word, ()):
+                if k not in found and tuple(w for w, *_ in words[at : at + len(mine)]) == mine:
+                    found[k] = (k, start, words[at + len(mine) - 1][2], 0, int(self.sizes[k]))
+        return [found[k] for k in sorted(found)]
 
     def hits(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
-        """item, start, end, edits, matched bytes of the item: for each item the places in data found for its pieces, joined."""
+        """section, start, end, edits, matched bytes of the item: for each section the places in data found for its pieces, joined."""
+        return (self.whole(data) if self.short else []) + self.alike(data)
+
+    def alike(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
         grams = qgrams(data)
         if not len(self.grams) or len(grams) < int(self.least.min()):
             return []
@@ -106,11 +141,11 @@ class Index:
         real = self.grams[row] == grams[at]
         at, row = at[real], row[real]
         # every match lies in a window of PIECE + k bytes that has the least number of marks
-        need, span = int(self.least.min()), PIECE + int(self.budget.max())
+        need, reach = int(self.least.min()), PIECE + int(self.budget.max())
         if len(at) < need:
             return []
         dense = np.zeros(len(at), int)
-        full = at[need - 1 :] - at[: len(at) - need + 1] < span
+        full = at[need - 1 :] - at[: len(at) - need + 1] < reach
         first = np.flatnonzero(full)
         np.add.at(dense, first, 1)
         np.add.at(dense, first[first + need < len(at)] + need, -1)
@@ -119,34 +154,40 @@ class Index:
         if not len(at):
             return []
         n = self.first[row + 1] - self.first[row]
-        source = np.repeat(self.first[row], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        piece, diagonal = self.piece[source], np.repeat(at, n) - self.place[source]
-        width = 2 * (self.budget[piece] + 1)
-        low = diagonal + self.budget[piece] + PIECE  # never negative
-        bands = np.concatenate((low // width * 2, (low + width // 2) // width * 2 + 1))
-        key = np.concatenate((piece, piece)) * (2 * (len(data) + 4 * PIECE)) + bands
-        # distinct q-grams of the piece in a band
-        pair = np.unique(key * PIECE + np.concatenate((self.place[source],) * 2))
+        ends = np.cumsum(n)
+        span, pair = 2 * (len(data) + 4 * PIECE), np.zeros(0, int)
+        for cut in np.split(np.arange(len(at)), np.searchsorted(ends, np.arange(SLICE, int(ends[-1]), SLICE))):
+            if not len(cut):
+                continue
+            m = n[cut]
+            source = np.repeat(self.first[row[cut]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            piece, place = self.piece[source].astype(int), self.place[source].astype(int)
+            diagonal = np.repeat(at[cut], m) - place
+            width = 2 * (self.budget[piece] + 1)
+            low = diagonal + self.budget[piece] + PIECE  # never negative
+            bands = np.concatenate((low // width * 2, (low + width // 2) // width * 2 + 1))
+            key = np.concatenate((piece, piece)) * span + bands
+            # distinct q-grams of the piece in a band
+            pair = np.union1d(pair, key * PIECE + np.concatenate((place, place)))
         regions, count = np.unique(pair // PIECE, return_counts=True)
-        enough = count >= self.least[regions // (2 * (len(data) + 4 * PIECE))]
+        enough = count >= self.least[regions // span]
         found: dict[int, list[tuple[int, int, int, int, int]]] = {}
         for r in regions[enough].tolist():
-            p, band = divmod(r, 2 * (len(data) + 4 * PIECE))
+            p, band = divmod(r, span)
             k, w = int(self.budget[p]), 2 * (int(self.budget[p]) + 1)
             d = band // 2 * w - (w // 2 if band % 2 else 0) - k - PIECE  # lowest diagonal of the band
             if hit := align(self.texts[p], data, d - k, d + w + k, k):
                 s, e, edits = hit
-                found.setdefault(int(self.item[p]), []).append((s, e, edits, int(self.start[p]), int(self.start[p]) + len(self.texts[p])))
+                for item, start in self.owners[p]:
+                    found.setdefault(item, []).append((s, e, edits, start, start + len(self.texts[p])))
         out = []
         for i, parts in sorted(found.items()):
-            parts.sort()
-            covered = np.zeros(self.sizes[i], bool)
-            for *_, a, b in parts:
-                covered[a:b] = True
-            edits = {}
-            for _, _, n_, a, _ in parts:
+            covered, upto, edits = 0, 0, {}
+            for _, _, n_, a, b in sorted(parts, key=lambda p: p[3]):
                 edits[a] = min(n_, edits.get(a, n_))
-            out.append((i, min(p[0] for p in parts), max(p[1] for p in parts), max(edits.values()), int(covered.sum())))
+                covered += max(0, b - max(a, upto))
+                upto = max(upto, b)
+            out.append((i, min(p[0] for p in parts), max(p[1] for p in parts), max(edits.values()), covered))
         return out
 
 
@@ -182,46 +223,73 @@ def align(piece: bytes, data: bytes, low: int, high: int, most: int) -> tuple[in
     return (int(start[k]), low + n + k, int(cost[k])) if cost[k] <= most else None
 
 
+def _blocks(items: DataFrame, block: int) -> list[DataFrame]:
+    """The sections of the items, once each, dealt by hash."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = [x for i, t in zip(*(batch.column(c).to_pylist() for c in ("item_id", "text")), strict=True) for x in sections(i, t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["item_id", "size", "begin", "data"])
+
+    parts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "item_id bigint, size bigint, begin bigint, data binary").distinct()
+    parts = Scratch(items.sparkSession, "benchmark").put("sections", parts)
+    total = parts.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
+    blocks = int(total // block) + 1
+    return [parts.filter(F.pmod(F.xxhash64("item_id", "begin", "data"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _index(part: DataFrame):
+    return part.sparkSession.sparkContext.broadcast(Index.build([(r.item_id, r["size"], r.begin, bytes(r.data)) for r in part.collect()]))  # bounded by the block
+
+
 def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start, end (bytes of the normalised text), edits (of the worst piece), coverage (matched share of the item); a row for
     each pair of a text and an item found in it."""
-    tidy(docs.sparkSession)
-    total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = int(total // block) + 1
+    spark = docs.sparkSession
+    tidy(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, start bigint, end bigint, edits bigint, coverage double"
+    schema = f"doc_id {kind}, row bigint, item_id bigint, start bigint, end bigint, edits bigint, matched bigint, size bigint"
     rows = docs.select("doc_id", text_of().alias("text"))
+    scratch, parts = Scratch(spark, "matches"), _blocks(items, block)
 
-    def one(b: int) -> DataFrame:
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text")
-        index = docs.sparkSession.sparkContext.broadcast(Index.build([tuple(r) for r in part.collect()]))  # bounded by the block
+    for b, part in enumerate(parts):
+        index = _index(part)
 
-        def work(batches):
+        def work(batches, index=index):
             tool = index.value
             for batch in chunks(batches):
-                ids, out = batch.column("doc_id").to_pylist(), []
-                for i, text in zip(ids, batch.column("text").to_pylist(), strict=True):
-                    out += [(i, tool.items[j], s, e, n, c / int(tool.sizes[j])) for j, s, e, n, c in tool.hits(normalised(text))]
-                columns = zip(*out, strict=True) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, *[pa.int64()] * 4, pa.float64()), strict=True)], ["doc_id", "item_id", "start", "end", "edits", "coverage"])
+                out = []
+                for i, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+                    out += [(i, row, tool.items[j], s, e, n, c, int(tool.sizes[j])) for j, s, e, n, c in tool.hits(normalised(text))]
+                columns = zip(*out, strict=True) if out else [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, *[pa.int64()] * 7), strict=True)], ["doc_id", "row", "item_id", "start", "end", "edits", "matched", "size"])
 
-        return rows.mapInArrow(work, schema)
-
-    return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
+        # rows of one id are told apart by their texts
+        found = scratch.put(f"found-{b}", rows.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(work, schema))
+        index.destroy()
+        every = every.unionByName(found) if b else found
+    columns = ["doc_id", "item_id", "start", "end", "edits", (F.col("matched") / F.col("size")).alias("coverage")]
+    one = F.col("size") <= SECTION + PIECE
+    # sections overlap by a piece at most
+    met = every.filter(~one).distinct().groupBy("doc_id", "row", "item_id", "size")
+    joined = met.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("edits").alias("edits"), F.least(F.sum("matched"), F.col("size")).alias("matched"))
+    return every.filter(one).select(*columns).unionByName(joined.select(*columns))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item is found, whole and unchanged."""
-    tidy(docs.sparkSession)
-    total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = int(total // block) + 1
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text")
-        index = docs.sparkSession.sparkContext.broadcast(Index.build([tuple(r) for r in part.collect()]))
+    spark = docs.sparkSession
+    tidy(spark)
+    scratch, parts = Scratch(spark, "decontaminated"), _blocks(items, block)
+    for b, part in enumerate(parts):
+        index = _index(part)
 
         def work(batches, index=index):
             for batch in chunks(batches):
                 yield batch.filter(pa.array([not index.value.hits(normalised(t or "")) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
+        if b + 1 < len(parts):  # the last is written by who asked
+            docs = scratch.put(f"left-{b}", docs)
+            scratch.drop(f"left-{b - 1}")
     return docs
