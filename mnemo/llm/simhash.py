@@ -6,13 +6,15 @@ whole sequence). A bit of the 64-bit fingerprint is 1 if over half of the shingl
 Links (at most `budget` differing bits) are searched among distinct fingerprints. The 64 bits form a ring of `segments`
 segments. If two fingerprints differ in at most t bits, some segment begins a chain whose first l segments differ in at most
 l*t/m bits together, for every l. While that bound is below one the segments are equal, which gives the keys to join on;
-the rest of the chain is checked before the full distance. A key with more than `crowd` fingerprints (a group of near
-copies) is not paired: its fingerprints meet through all values one bit away, where fingerprints share a value exactly if they
-differ in at most two bits, and a value has 65 members at most. Both ways together find every link; the cost is linear.
+the rest of the chain is checked before the full distance. Where a key has more than `crowd` fingerprints the chain goes on: with a budget of two its
+next 32 bits differ in one bit at most, so one half of them is equal and one half of the other half, which gives four keys of 24 more bits (48 for
+eight segments; 2**48 keys tell more fingerprints apart than any corpus has). Fingerprints crowded even there are near copies of one another: they meet
+through all values one bit away, where two share a value exactly if they differ in at most two bits, and a value has 65 members at
+most. The ways together find every link; the cost is linear at every size.
 
 Defined cases: null, empty and blank texts have no shingles and fingerprint zero, linked like any other; rows with a null id
-get a fingerprint, and the component of the other rows that have it, null if there are none; repeated rows each get a row; an
-empty table gives an empty result; further columns are left aside."""
+get a fingerprint, and the component of the other rows that have it, null if there are none; repeated rows each get a row; equal
+fingerprints are one node; long texts are whole, their shingles taken in blocks; an empty table gives an empty result; further columns are left aside."""
 
 from __future__ import annotations
 
@@ -78,38 +80,55 @@ def _low(value: Column, bits: int) -> Column:
     return value if bits == 64 else value.bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _quarters(ring: Column, equal: int, size: int) -> Column:
+    """The four keys by which a chain goes on, for a budget of two: of the 32 bits after `equal` a half, and a half of the other half."""
+    middle = F.shiftrightunsigned(ring, equal * size)
+    part = lambda at, bits: _low(F.shiftrightunsigned(middle, at), bits)
+    keys = []
+    for half in (0, 16):
+        for quarter in (0, 8):
+            keys.append(F.struct(F.lit(half + quarter).alias("j"), F.shiftleft(part(half, 16), 8).bitwiseOR(part(16 - half + quarter, 8)).alias("more")))
+    return F.explode(F.array(*keys))
+
+
 def links(nodes: DataFrame, scratch: Scratch, budget: int = 2, segments: int = 8, crowd: int = 64) -> DataFrame:
-    """u, v: nodes (columns node, fp; one row per fp) that differ in at most `budget` bits; for crowded keys, pairs that
-    connect the same nodes. Crowded keys need budget 2 at most."""
+    """u, v: nodes (columns node, fp; one row per fp) that differ in at most `budget` bits; for keys that stay crowded, pairs that
+    connect the same nodes. The budget is 2 at most."""
     if 64 % segments or budget >= segments or budget > 2:
         raise ValueError("segments must divide 64 and exceed the budget, which is 2 at most")
     size = 64 // segments
     equal = (segments - 1) // budget if budget else segments  # segments of a chain that must be equal: l * budget < segments
     turned = F.explode(F.array([F.struct(F.lit(i).alias("i"), _rotate(F.col("fp"), i * size).alias("ring")) for i in range(segments)]))
     keyed = nodes.select("node", turned.alias("x")).select("node", "x.i", "x.ring", _low(F.col("x.ring"), equal * size).alias("key"))
-    sizes = scratch.put("keys", keyed.groupBy("i", "key").count().filter("count > 1"))
-    few, many = (sizes.filter(f"count {op} {crowd}").select("i", "key") for op in ("<=", ">"))
-
-    a = keyed.join(few, ["i", "key"], "left_semi")
-    b = a.select("i", "key", F.col("node").alias("other"), F.col("ring").alias("turn"))
     apart = F.col("ring").bitwiseXOR(F.col("turn"))
     chain = F.lit(True)
     for n in range(equal + 1, segments + 1):
         chain &= F.bit_count(_low(apart, n * size)) <= n * budget // segments
-    near = a.join(b, ["i", "key"]).filter((F.col("node") < F.col("other")) & chain).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    if budget == 0 or many.isEmpty():
-        return near
-    hot = keyed.join(many, ["i", "key"], "left_semi").select("node", "i", "ring")
+
+    def paired(rows: DataFrame, key: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+        """Links inside keys of few rows, and the rows of the others."""
+        sizes = scratch.put(name, rows.groupBy(*key).count().filter("count > 1"))
+        few, many = (sizes.filter(f"count {op} {crowd}").select(*key) for op in ("<=", ">"))
+        a = rows.join(few, key, "left_semi")
+        b = a.select(*key, F.col("node").alias("other"), F.col("ring").alias("turn"))
+        near = a.join(b, key).filter((F.col("node") < F.col("other")) & chain).select(F.col("node").alias("u"), F.col("other").alias("v"))
+        return near, rows.join(many, key, "left_semi")
+
+    near, hot = paired(keyed, ["i", "key"], "keys")
+    if budget == 2:
+        hot = scratch.put("crowded", hot)
+        more, hot = paired(hot.select("*", _quarters(F.col("ring"), equal, size).alias("y")).select("node", "i", "ring", "key", "y.*"), ["i", "key", "j", "more"], "longer-keys")
+        near = near.unionByName(more)
     back = F.coalesce(*[F.when(F.col("i") == i, _rotate(F.col("ring"), (64 - i * size) % 64)) for i in range(segments)])
-    hot = hot.select("node", back.alias("fp")).distinct()
+    hot = scratch.put("hot", hot.select("node", back.alias("fp")).distinct())
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
     met = hot.select("node", F.explode(around).alias("value"), *["fp"] * (budget == 1)).groupBy("value")
-    every = F.sort_array(F.collect_set("node")).alias("all")
-    if budget == 2:
-        star = met.agg(every).withColumn("u", F.col("all")[0])
-    else:  # one bit: both share the value that is one of them
+    every = F.sort_array(F.collect_set("node")).alias("all")  # 65 at most
+    if budget == 1:  # one bit: both share the value that is one of them
         star = met.agg(every, F.max(F.when(F.col("fp") == F.col("value"), F.col("node"))).alias("u")).filter("u IS NOT NULL")
-    return near.unionByName(star.filter(F.size("all") > 1).select("u", F.explode("all").alias("v")).filter("u <> v"))
+    else:
+        star = met.agg(every).withColumn("u", F.col("all")[0])
+    return near.unionByName(star.filter(F.size("all") > 1).select("u", F.explode("all").alias("v")).filter("u <> v")) if budget else near
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, segments: int = 8, crowd: int = 64) -> DataFrame:
