@@ -8,8 +8,8 @@ repeats one of the two before; one to three in a row), which say of words never
 
 Fitting uses a bounded sample of labelled rows (SAMPLE), for the class counts too; scoring is one pass over whole texts
 without a shuffle. Defined cases: null and empty texts have no n-grams and score by the constant alone; null ids are scored and not
-held out; repeated rows each get a row; without labels of both classes the score is the class that there is; further columns are left
-aside."""
+held out; repeated rows each get a row; equal scores share their verdict; long texts are whole, one in a chunk; an empty table gives an
+empty result; without labels of both classes the score is the class that there is; further columns are left aside."""
 
 from __future__ import annotations
 
@@ -144,7 +144,15 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Linear:
     sign = 2 * y[own] - 1
     cost = np.where(sign > 0, 1.0, (sign > 0).sum() / (sign < 0).sum()) ** 0.5 * COST
     w = descend(rows, sign, SIZE, cost, rng)
-    return _Unit((1 - BETA) * np.abs(w[:-1]).mean() * np.sign(ratio) * (ratio != 0) + BETA * w[:-1], ratio, float(BETA * w[-1])).calibrated([texts[i] for i in (np.flatnonzero(aside) if len(own) < len(y) else own)], y[aside] if len(own) < len(y) else y)
+    return _Unit(interpolated(w[:-1], ratio), ratio, float(BETA * w[-1])).calibrated([texts[i] for i in (np.flatnonzero(aside) if len(own) < len(y) else own)], y[aside] if len(own) < len(y) else y)
+
+
+def interpolated(w: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Between the mean magnitude of the weights of live indicators (those with a ratio) and the weights themselves. Indicators are scaled by
+    their ratio, so the mean lets each vote as its ratio does."""
+    live = ratio != 0
+    mean = np.abs(w[live]).mean() if live.any() else 0.0
+    return np.where(live, (1 - BETA) * mean + BETA * w, 0.0)
 
 
 class _Unit(Linear):

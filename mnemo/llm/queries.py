@@ -23,8 +23,8 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+    net, scores = toxicity.fit(documents(spark, sf_dir), labels(spark, sf_dir))
+    return toxicity.verdicts(scores, net)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

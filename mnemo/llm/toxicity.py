@@ -4,13 +4,16 @@ Words are hashed, each whole and by its first letters. A word that several train
 that of its first letters; buckets not met in training have the zero vector. Filters of several widths slide
 over the embedded words, each keeps its greatest response in the whole text (max pooling), and a linear layer over these gives
 the margin. One embedding dimension starts at the word's smoothed class log-ratio, so that the first greatest responses are
-at telling words. Training: Adagrad on the weighted logistic loss; a fifth of the sample is set aside to scale margins to probabilities
-and to calibrate a rejection threshold for each language (languages with few such rows take the common one). Language is no
-input of the score.
+at telling words. Training: Adagrad on the weighted logistic loss; a fifth of the sample is set aside to scale margins to probabilities.
 
-Fitting uses a bounded sample of labelled rows (training.SAMPLE); scoring is one pass over whole texts without a shuffle.
-Defined cases: null and empty texts score as a text without telling words; a null language takes the common threshold; null ids are
-scored and not held out; repeated rows each get a row; without labels of both classes all scores are 0; further columns are left aside."""
+Fitting uses a bounded sample of labelled rows (training.SAMPLE). Rejection thresholds by language are calibrated on all labelled rows outside the
+held-out fold that the weights were not fitted to: they are scored, counted by language, label and bin of the score, and each language takes
+the cut of greatest F1 on its own counts, to which the counts of all languages are added with the weight of PRIOR rows of either class (so a language
+with few labels stays near the common cut). Language is no input of the score. Scoring is one pass over whole texts without a shuffle.
+
+Defined cases: null and empty texts score as a text without telling words; a null language is one of its own; a language without labels takes the
+common threshold; null ids are scored and not held out; repeated rows each get a row; equal scores share their verdict; long texts are whole, one in a
+chunk; an empty table gives an empty result; without labels of both classes all scores are 0 and nothing is rejected; further columns are left aside."""
 
 from __future__ import annotations
 
@@ -19,13 +22,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import chunks, text_of, tidy
-from mnemo.llm.training import SAMPLE, best_threshold, held_out, labelled_sample, platt
+from mnemo.llm.common import Scratch, chunks, text_of, tidy
+from mnemo.llm.training import SAMPLE, best_threshold, held_out, histogram_threshold, known, labelled_sample, platt
 
 WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
@@ -34,10 +36,10 @@ FILTERS, DIM, EPOCHS, BATCH, RATE = 8, 8, 6, 32, 0.1
 OFTEN = 4
 #: Letters by which rare words are hashed.
 STEM = 4
-#: Thresholds stay in this range: the rows set aside are few, and rejecting a clean text costs more than a doubtful one.
-RANGE = (0.4, 0.6)
-#: A language needs so many rows of either class among those set aside for a threshold of its own.
+#: Rows of either class, set aside, from which on their best cut is where the score is one half.
 LEAST = 20
+#: What the counts of all languages weigh in those of one, in rows of either class; bins of the score.
+PRIOR, BINS = 10, 1000
 STEMS, WORDS = (1 << 31) - 1, 1 << 31
 MEMO: dict[str, int] = {}
 
@@ -68,6 +70,8 @@ class Convolutional:
     base: float = 0.0
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str | None, float] = field(default_factory=dict)
+    common: float = 0.5
+    aside: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     def rows(self, flat: np.ndarray) -> np.ndarray:
         """Rows of the embedding for hashed words."""
@@ -110,7 +114,7 @@ class Convolutional:
         return 1 / (1 + np.exp(-np.clip(a * self.margins(texts) + b, -30, 30)))
 
     def threshold(self, lang: str | None) -> float:
-        return self.thresholds.get(lang, self.thresholds.get(None, 0.5))
+        return self.thresholds.get(lang, self.common)
 
 
 def _start(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Convolutional:
@@ -130,8 +134,8 @@ def _start(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, rng: np.random.Ge
     return Convolutional(buckets, embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.full(FILTERS * len(WIDTHS), 0.2, np.float32), -1.0)
 
 
-def train(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None, seed: int = 7) -> Convolutional:
-    """Of texts with labels 0 and 1; thresholds by language where languages are given."""
+def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Convolutional:
+    """Of texts with labels 0 and 1; aside says which of them the weights were not fitted to."""
     rng = np.random.default_rng(seed)
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
@@ -188,36 +192,62 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None
     if min(y[test].sum(), len(test) - y[test].sum()) >= LEAST:
         b = -a * best_threshold(margin, y[test])  # one half is where the rows set aside are told apart best
     net.scale = a, b
-    score = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-    net.thresholds = {None: float(np.clip(best_threshold(score, y[test]), *RANGE))}
-    for lang in set(langs or []) - {None}:
-        of = np.array([langs[i] == lang for i in test])
-        if min(y[test][of].sum(), of.sum() - y[test][of].sum()) >= LEAST:
-            net.thresholds[lang] = float(np.clip(best_threshold(score[of], y[test][of]), *RANGE))
+    net.aside = aside if len(own) < len(y) else np.zeros(len(y), bool)
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Convolutional:
-    rows = labelled_sample(docs, labels, "toxic", most)
-    langs = [None if pd.isna(x) else x for x in rows.lang]
-    return train(rows.text.tolist(), rows.y.to_numpy(), langs)
+def thresholds(counts: dict[str | None, np.ndarray]) -> tuple[dict[str | None, float], float]:
+    """By language, and of all together, from counts (2 x BINS: labels 1 and 0 by bin of the score)."""
+    total = sum(counts.values(), np.zeros((2, BINS)))
+    if not total.sum(1).all():
+        return {}, 0.5
+    shared = PRIOR * total / total.sum(1, keepdims=True)
+    return {lang: histogram_threshold(*(own + shared)) for lang, own in counts.items()}, histogram_threshold(*total)
 
 
-def score(docs: DataFrame, net: Convolutional) -> DataFrame:
-    """doc_id, held_out, score, predicted (score of 0.5 or more), rejected (the calibrated threshold of the row's language)."""
+def _langs(docs: DataFrame) -> DataFrame:
+    return docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+
+
+def scored(docs: DataFrame, net: Convolutional) -> DataFrame:
+    """doc_id, held_out, lang, score for every row."""
     tidy(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample's vocabulary
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def work(batches):
-        model = held.value
         for part in chunks(batches):
-            s = model.scores(part.column("text").to_pylist())
-            bar = np.array([model.threshold(x) for x in part.column("lang").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(s >= bar)], ["doc_id", "held_out", "score", "predicted", "rejected"])
+            s = held.value.scores(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "lang")), pa.array(s, pa.float64())], ["doc_id", "held_out", "lang", "score"])
+
+    rows = _langs(docs).select("doc_id", held_out().alias("held_out"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
+    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, score double")
+
+
+def calibrated(net: Convolutional, fitted: list, scores: DataFrame, labels: DataFrame) -> Convolutional:
+    """With thresholds from the scores (written) of all labelled rows outside the held-out fold, but for the ids the weights were fitted to."""
+    spark, kind = scores.sparkSession, scores.schema["doc_id"].dataType.simpleString()
+    used = spark.createDataFrame([(i,) for i in fitted], f"doc_id {kind}")  # bounded as the sample is
+    rows = scores.filter("doc_id IS NOT NULL AND NOT held_out").join(known(labels, "toxic"), "doc_id").join(F.broadcast(used), "doc_id", "left_anti")
+    bins = rows.groupBy("lang", (1 - F.col("y")).alias("row"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
+    counts: dict[str | None, np.ndarray] = {}
+    for r in bins.filter("row IN (0, 1)").collect():  # a row for each bin and language
+        counts.setdefault(r["lang"], np.zeros((2, BINS)))[r["row"], r["bin"]] = r["count"]
+    net.thresholds, net.common = thresholds(counts)
+    return net
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Convolutional, DataFrame]:
+    """The calibrated classifier, and scored(docs) as a written table."""
+    rows = labelled_sample(docs, labels, "toxic", most)
+    net = train(rows.text.tolist(), rows.y.to_numpy())
+    scores = Scratch(docs.sparkSession, "toxicity").put("scores", scored(docs, net))
+    return calibrated(net, rows.doc_id[~net.aside[: len(rows)]].tolist() if len(net.aside) else rows.doc_id.tolist(), scores, labels), scores
+
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"), lang.alias("lang"))
-    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, rejected boolean")
+def verdicts(scores: DataFrame, net: Convolutional) -> DataFrame:
+    """doc_id, held_out, score, predicted (score of 0.5 or more), rejected (the calibrated threshold of the row's language)."""
+    bar = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(x)) for lang, x in net.thresholds.items()], F.lit(net.common))
+    return scores.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= bar).alias("rejected"))
 
 
 def accepted(docs: DataFrame, net: Convolutional) -> DataFrame:

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a classifier is fitted on at most: those whose ids hash lowest. The only bound here; scoring, thresholds
-#: and measures have none.
-SAMPLE = 6000
+#: Labelled rows that a classifier is fitted on at most, those whose ids hash lowest, and bytes of their texts at most: the driver holds the sample.
+#: The only bounds here; scoring, thresholds and measures have none.
+SAMPLE, SAMPLE_BYTES = 6000, 64_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -17,19 +17,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> pd.DataFrame:
-    """doc_id, text, lang, y of at most `most` labelled rows outside the held-out fold, equal texts once; null labels and ids are left out."""
-    chosen = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
-        .filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    # bounded by the limit above, so the sample's ids can be broadcast whatever the size of the tables
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of the labelled ids outside the held-out fold; null labels and ids are left out, of several labels of an id the greatest counts."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """doc_id, text, y of at most `most` labelled ids outside the held-out fold, in order of their hash as long as their texts together have at most
+    `most_bytes`; one row an id, equal texts once."""
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    # bounded by the limit, so the sample's ids can be broadcast whatever the size of the tables
+    chosen = known(labels, label).orderBy(*order).limit(most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of an id's texts the one that hashes lowest
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))).alias("x")).select("doc_id", "y", "x.*")
+    sizes = one.orderBy(*order).toPandas()
+    sizes = sizes[sizes["size"].cumsum() <= most_bytes]
+    if not len(sizes):
+        return pd.DataFrame({"doc_id": sizes.doc_id, "text": pd.Series(dtype=object), "y": sizes.y})
+    mine = docs.sparkSession.createDataFrame(sizes[["doc_id", "y", "hash"]], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, hash bigint")
+    found = rows.drop("y").withColumn("hash", F.xxhash64("text")).join(F.broadcast(mine), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "text", "y")
     # a text that many rows copy would pass for evidence on each of its words
-    return rows.toPandas().sort_values("doc_id").drop_duplicates("text", ignore_index=True)
+    return found.toPandas().sort_values("doc_id").drop_duplicates("text", ignore_index=True)
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -60,6 +70,16 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[last[k]] + below) / 2)
 
 
+def histogram_threshold(up: np.ndarray, down: np.ndarray) -> float:
+    """Where F1 is greatest, of counts of either class in equal bins of the score from 0 to 1; in the middle of the longest run of equally good cuts."""
+    hit, miss = np.cumsum(up[::-1])[::-1], np.cumsum(down[::-1])[::-1]
+    f1 = 2 * hit / np.maximum(hit + miss + up.sum(), 1e-9)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    longest = max(runs, key=len)
+    return float((longest[0] + longest[-1]) / 2 / len(up))
+
+
 def auc(score: np.ndarray, y: np.ndarray) -> float:
     rank = pd.Series(score).rank().to_numpy()
     up = y.sum()
