@@ -6,8 +6,8 @@ text of each hash together. They are equal unless two texts collide. The second
 their groups, and adaptive execution splits a hot hash. Groups that collide are grouped anew by their whole texts.
 
 Defined cases: a null text is empty and equals other empty texts; a null id sorts after all ids, and a group of null ids
-alone has a null keep_id and keeps all its rows; rows that repeat id and text count as one row met twice and share the verdict; an
-empty table gives an empty result; further columns are left aside.
+alone has a null keep_id and all its rows are marked as kept; rows that repeat id and text count as one row met twice and share the verdict
+(exact_dedup keeps one of either); long texts are whole; an empty table gives an empty result; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -51,10 +51,14 @@ def exact_groups(docs: DataFrame, digest: Column | None = None) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows are told by id and text, so null ids are judged by their groups too."""
+    """The rows of docs that stay, with all their columns: one of each group of equal texts. Of rows that repeat the id that stays, and of a group
+    of null ids alone, any one stays. Rows are told by id and text, so null ids are judged by their groups too."""
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept"), "text_sha256").distinct().hint("shuffle_hash")
-    same = docs["doc_id"].eqNullSafe(kept["_kept"]) & (F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " "), 256) == kept["text_sha256"])
-    return docs.join(kept, same, "left_semi")
+    own = next(name for k in range(len(docs.columns) + 1) if (name := "_" * k + "sha") not in docs.columns)
+    rows = docs.withColumn(own, F.sha2(normalised(), 256))
+    same = rows["doc_id"].eqNullSafe(kept["_kept"]) & (rows[own] == kept["text_sha256"])
+    # the join has brought rows of one id and text together
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 ORACLE = r"""
