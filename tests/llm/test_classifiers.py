@@ -21,7 +21,7 @@ def rows():
 
 def test_toxicity_on_held_out_rows(rows):
     tr, te = rows[~rows.held], rows[rows.held]
-    net = toxicity.train(tr.text.tolist(), tr.toxic.to_numpy(), tr.lang.tolist())
+    net = toxicity.train(tr.text.tolist(), tr.toxic.to_numpy())
     s = net.scores(te.text.tolist())
     y = te.toxic.to_numpy()
     assert auc(s, y) > 0.9 and ((s >= 0.5) == y).mean() > 0.96
@@ -53,13 +53,15 @@ def test_odd_rows(which, module, spark, request):
     docs = request.getfixturevalue(which)
     label = "toxic" if module is toxicity else "quality"
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 13)] + [(None, 1), (4, None)], f"doc_id bigint, {label} int")
-    got = module.score(docs, module.fit(docs, labels)).collect()
+    run = (lambda net_scores: toxicity.verdicts(net_scores[1], net_scores[0])) if module is toxicity else (lambda model: quality.score(docs, model))
+    got = run(module.fit(docs, labels)).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
-    none = module.score(docs, module.fit(docs, labels.filter("false"))).collect()
+    none = run(module.fit(docs, labels.filter("false"))).collect()
     assert len(none) == docs.count()
     if module is toxicity:
-        kept = toxicity.accepted(docs, toxicity.fit(docs, labels))
+        assert not any(r.rejected for r in none)
+        kept = toxicity.accepted(docs, toxicity.fit(docs, labels)[0])
         assert kept.columns == docs.columns and kept.count() <= docs.count()
 
 
@@ -71,6 +73,50 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, odd):
     assert spark.range(50).filter(held_out("id")).count() == sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50))
 
 
+def test_the_sample_is_bounded(spark):
+    docs = spark.range(500).selectExpr("1L AS doc_id", "'text ' || id AS text").unionByName(spark.range(2, 40).selectExpr("id AS doc_id", "repeat('word ', 20) || id AS text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id bigint, toxic int")
+    assert len(labelled_sample(docs, labels, "toxic", most=1)) <= 1
+    every = labelled_sample(docs, labels, "toxic")
+    assert every.doc_id.is_unique and len(every) > 20
+    some = labelled_sample(docs, labels, "toxic", most_bytes=1000)
+    assert 0 < len(some) < len(every) and some.text.str.len().sum() <= 1000
+
+
+def test_thresholds_by_language():
+    bins = np.zeros((2, toxicity.BINS))
+    bins[0, 900], bins[1, 100] = 300, 3000  # common cut: one half
+    high, few = np.zeros_like(bins), np.zeros_like(bins)
+    high[0, 980], high[1, 940] = 40, 400  # clean texts score high in this one
+    few[0, 60] = 1
+    found, common = toxicity.thresholds({"en": bins, "xx": high, "yy": few, None: bins})
+    assert 0.1 < found["en"] < 0.9 and 0.94 < found["xx"] < 0.98 and found["xx"] != common
+    assert 0.1 < found["yy"] < 0.9  # one row doesn't move it far
+    assert toxicity.thresholds({"en": bins * [[0], [1]]}) == ({}, 0.5)
+
+
+def test_thresholds_use_all_labelled_rows_but_the_fitted(spark):
+    net = toxicity.train(["bad word here", "good word there"] * 40, np.array([1, 0] * 40))
+    rows = [(i, "bad word here" if i % 3 == 0 else "good word there", "en" if i % 2 else "de") for i in range(1, 400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id bigint, toxic int")
+    from mnemo.llm.common import Scratch
+
+    scores = Scratch(spark, "t").put("scores", toxicity.scored(docs, net))
+    toxicity.calibrated(net, [1, 2, 3], scores, labels)
+    assert set(net.thresholds) == {"en", "de"}
+    assert {r.doc_id for r in toxicity.accepted(docs, net).collect()} == {i for i, *_ in rows if i % 3}
+
+
+def test_a_negative_ratio_lowers_the_margin():
+    ratio, w = np.array([0.0, 2.0, -2.0, -1.0]), np.array([0.0, 0.5, -0.5, 0.0])
+    share = quality.interpolated(w, ratio) * ratio
+    assert share[0] == 0 and share[1] > 0 and share[2] < 0
+    mean = quality.interpolated(np.zeros(4), ratio) * ratio
+    assert (mean == 0).all()
+    unfitted = quality.interpolated(np.array([0.0, 1.0, -1.0, 0.0]), ratio)
+    assert unfitted[3] * ratio[3] < 0
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     m = rng.normal(size=4000)

@@ -46,6 +46,59 @@ def test_trees_add_secrets_and_written_out_addresses():
     text = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and write to bob (at) example (dot) com about the therewithallandmoreofit 7'
     found = [(k, text[s:e]) for k, s, e in tool.choose(text, pii.base_spans(text))]
     assert found == [("email", "bob (at) example (dot) com"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    # neither a digit elsewhere nor the length matters
+    for secret in ("aQzXkLmNpRsTuVwYbCdEfGhJ", "a1B2c3D4" * 26, "a1B2c3D4" * 50):
+        for lead in ("", "7 "):
+            text = f'{lead}token = "{secret}"'
+            assert [(k, text[s:e]) for k, s, e in tool.choose(text, [])] == [("secret", secret)], text
+
+
+def test_recall_and_precision_of_added_spans():
+    """On texts from another generator than the one the trees were fitted to."""
+    r = random.Random(21)
+    words = "when then some more about river stone their house bright over under seven paper quite never always Straße élan".split()
+    prose = lambda: " ".join(r.choice(words) for _ in range(r.randint(3, 12)))
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    name = lambda: pick("bcdfghklmnprst", 1) + pick("aeiou", 1) + pick("bcdlmnrst", 2) + pick("aeiou", 1)
+    b64 = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    good = [
+        lambda: f"{name()}.{name()} at {name()} dot org", lambda: f"{name()} (at) {name()} (dot) net", lambda: f"{name()}[at]{name()}[dot]com",
+        lambda: pick(b64, 32), lambda: pick("0123456789abcdef", 40), lambda: "ghp_" + pick(b64, 36),
+    ]
+    bad = [lambda: "-".join(name() for _ in range(5)), lambda: "/".join(name() for _ in range(6)), lambda: "-" * r.randint(16, 80), lambda: f"{name()} at {name()}. {name()}", lambda: "".join(name() for _ in range(5))]
+    tool, hit, wrong, n = pii.trained(), 0, 0, 400
+    for k in range(n):
+        span = r.choice(good)() if k % 2 else r.choice(bad)()
+        lead = prose() + (r.choice([" token: ", " key=", " "]) if k % 2 else " ")
+        text = lead + span + ", " + prose()
+        found = {(s, e) for _, s, e in tool.choose(text, pii.base_spans(text))}
+        hit += k % 2 and (len(lead), len(lead) + len(span)) in found
+        wrong += not k % 2 and bool(found)
+    assert hit >= 0.9 * n / 2 and wrong <= 0.1 * hit, (hit, wrong)
+
+
+def test_planted_secrets_are_found():
+    import pandas as pd
+
+    tool, hit, every = pii.trained(), 0, 0
+    for text in pd.read_parquet("/root/testdata/sf0.1/documents.parquet").text.dropna():
+        planted = [m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', text)]
+        if planted:
+            found = {(s, e) for k, s, e in tool.choose(text, pii.base_spans(text)) if k == "secret"}
+            hit, every = hit + sum(p in found for p in planted), every + len(planted)
+    assert every > 100 and hit >= 0.9 * every
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        text = "+1 (171) 555-2028 " * n
+        began = time.perf_counter()
+        assert len(pii.trained().choose(text, pii.base_spans(text))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
     assert pii.redact("a b@c.de f", [("email", 2, 8)]) == "a [email] f"
 
 
@@ -143,13 +196,13 @@ def test_region_filter_loses_nothing():
     r = random.Random(2)
     for _ in range(60):
         item = "".join(r.choice("ab") for _ in range(r.randint(40, 70)))  # two letters: q-grams repeat much
-        index = decontamination.Index.build([(1, item)])
+        index = decontamination.Index.build(decontamination.sections(1, item))
         t = list(item)
         for _ in range(r.randint(0, 5)):
             k = r.randrange(len(t))
             t[k : k + r.randint(0, 1)] = [r.choice("ab")] * r.randint(0, 1)
         text = ("".join(r.choice("ab") for _ in range(50)) + "".join(t) + "".join(r.choice("ab") for _ in range(50))).encode()
-        assert bool(index.hits(text)) == (edits(index.texts[0], text) <= index.budget[0])
+        assert bool(index.hits(text)) == any(edits(p, text) <= k for p, k in zip(index.texts, index.budget, strict=True))
 
 
 @pytest.mark.parametrize("which", ["odd", "empty"])
@@ -163,6 +216,41 @@ def test_decontamination_of_odd_rows(which, spark, request):
     assert decontamination.matches(docs, items.filter("false")).count() == 0
 
 
+def test_every_excerpt_is_found(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+    item = prose(60)
+    n = decontamination.EXCERPT
+    docs = [(s, f"{prose(20)} {item[s : s + n]} {prose(20)}") for s in range(0, len(item) - n, 3)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {x.doc_id for x in decontamination.matches(d, b).collect()} == {i for i, _ in docs}
+
+
+def test_short_items_match_whole_words(spark):
+    items = [(1, "The cat sat."), (2, "of"), (3, "!?"), (4, "x" * 39), (5, "é")]
+    docs = [(1, "see: THE cat\nsat there"), (2, "the cat satin"), (3, "off of it"), (4, "!?"), (5, "x" * 40), (6, "a " + "x" * 39), (7, "café É")]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontamination.matches(d, b).collect()} == {(1, 1), (3, 2), (6, 4), (7, 5)}
+    assert {x.doc_id for x in decontamination.decontaminated(d, b).collect()} == {2, 4, 5}
+
+
+def test_sections_of_long_items_join_up(spark, monkeypatch):
+    r = random.Random(8)
+    item = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(400))
+    monkeypatch.setattr(decontamination, "sections", lambda i, t, cut=decontamination.sections: cut(i, t, 300))
+    monkeypatch.setattr(decontamination, "SECTION", 300)
+    d = spark.createDataFrame([(1, "head " + item + " tail"), (2, item[500:900]), (3, "none of it")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, item), (1, item)], "item_id bigint, text string")
+    for block in (600, 1_000_000):
+        got = {x.doc_id: x for x in decontamination.matches(d, b, block=block).collect()}
+        assert set(got) == {1, 2} and (got[1].start, got[1].end, got[1].edits, got[1].coverage) == (5, 5 + len(item), 0, 1.0) and got[2].coverage < 0.3
+
+
+def test_a_gram_that_everything_shares():
+    index = decontamination.Index.build(decontamination.sections(1, "ab" * 400))
+    assert [h[0] for h in index.hits(b"ab" * 600)] == [0] and index.hits(b"ba cd" * 100) == []
+
+
 def test_benchmark_passages_of_the_sample(spark, sample):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = [(r.item_id, decontamination.normalised(r.text)) for r in items.collect()]
