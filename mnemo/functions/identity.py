@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 PRODUCT = "mnemo"
 LEGACY_SPACE = f"{PRODUCT}_legacy"
 
-# Name spaces of the deterministic ids.
-ATOMS = uuid.UUID("6b696f6b-752d-6c31-8000-61746f6d6964")
-SESSION_TIMERS = uuid.UUID("6b696f6b-752d-7131-8000-6c3174696d72")
-SCENE_TIMERS = uuid.UUID("6b696f6b-752d-7132-8000-7363656e6573")
-PERSONA_TIMERS = uuid.UUID("6b696f6b-752d-7133-8000-706572736f6e")
+# Name spaces of the deterministic ids, this deployment's own.
+ATOMS = uuid.UUID("1136f2fb-1747-5650-8711-e8e438be043b")
+SESSION_TIMERS = uuid.UUID("ce58b73a-bf87-55a3-a296-cb1b0adce668")
+SCENE_TIMERS = uuid.UUID("3d5ed464-498e-5f8e-a0f6-9f09af66acbe")
+PERSONA_TIMERS = uuid.UUID("cd20e951-b605-503c-866e-382dbe1f66d8")
 
 # The alphabet of typed ids (Crockford's base 32, lower case).
 BASE32 = "0123456789abcdefghjkmnpqrstvwxyz"

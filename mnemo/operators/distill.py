@@ -103,7 +103,7 @@ def recall_candidates(memories: DataFrame, space: str, scope: Scope, atom: str,
 
 
 def apply_decisions(decisions: DataFrame, memories: DataFrame) -> DataFrame:
-    """decisions: decision_id, memory_space_id, own_id, action, targets. Adds applied (skip, store, merge), live_targets and note: a target that is the
+    """decisions: decision_id, memory_space_id, own_id, action, targets. Adds applied (skip, store, merge), live_targets and note: without any target it is stored; a target that is the
     atom itself goes, with no other left it is skipped; a winner that is there and not active is skipped; missing targets go, with none left it is stored."""
     state = memories.select("memory_space_id", F.col("memory_id").alias("own_id"), F.col("status").alias("own_status"))
     others = F.filter("targets", lambda t: t != F.col("own_id"))
@@ -115,12 +115,13 @@ def apply_decisions(decisions: DataFrame, memories: DataFrame) -> DataFrame:
     applied = (
         F.when(F.col("action") == "skip", "skip")
         .when(F.col("action") == "store", "store")
+        .when(merging & (F.size("targets") == 0), "store")
         .when(merging & (F.size("others") == 0), "skip")
         .when(merging & inactive, "skip")
         .when(merging & (F.size("live_targets") == 0), "store")
         .otherwise("merge")
     )
-    note = F.when(merging & (F.size("others") == 0), "only target is itself").when(merging & inactive, "winner is not active").when(merging & (F.size("live_targets") == 0), "no target exists").when(merging & (F.size("live_targets") < F.size("others")), "some targets don't exist")
+    note = F.when(merging & (F.size("targets") == 0), "no target given").when(merging & (F.size("others") == 0), "only target is itself").when(merging & inactive, "winner is not active").when(merging & (F.size("live_targets") == 0), "no target exists").when(merging & (F.size("live_targets") < F.size("others")), "some targets don't exist")
     return rows.withColumns({"applied": applied, "note": note}).drop("others", "own_status")
 
 
@@ -215,13 +216,16 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
     for a in atoms:
         content = a["content"].strip()
         own = identity.type_id("memory", uuid.uuid5(identity.ATOMS, f"{session['session_id']}:{content}"))
-        active = sorted((m for m in rows.values() if m["status"] == "active"), key=lambda m: (m.get("priority", 100), m["memory_id"]))
+        active = sorted((m for m in rows.values() if m["status"] == "active"), key=lambda m: (m.get("priority", 100), -m["created_at"].timestamp() if m.get("created_at") else float("-inf"), m["memory_id"]))
         choice = models.consolidate(a, active[: max(0, candidates)])
         wanted = [t for t in dict.fromkeys(choice.get("targets", [])) if t != own]
         live = [t for t in wanted if t in rows]
         action, note = choice["action"], None
+        told = action
         if action in ("update", "merge"):
-            if not wanted:
+            if not choice.get("targets"):
+                action, note = "store", "no target given"
+            elif not wanted:
                 action, note = "skip", "only target is itself"
             elif own in rows and rows[own]["status"] != "active":
                 action, note = "skip", "winner is not active"
@@ -238,5 +242,5 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
                 rows[t]["status"] = "merged"
                 done.merged.append({"memory_id": t, "merged_into": own})
         rationale = choice.get("rationale", "") + (f" [{note}]" if note else "")
-        done.audit.append({"candidate_content": content, "decision": action, "targets": live, "rationale": rationale})
+        done.audit.append({"candidate_content": content, "decision": told if action == "merge" else action, "targets": live, "rationale": rationale})
     return done

@@ -6,35 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.operators.predicates import in_space
+from mnemo.sources import shared
 
 DEEPEST = 64
 
 
 def supersession_chain(memories: DataFrame, space: str, memory_id: str, columns: tuple[str, ...] = ("memory_id", "status", "supersedes", "superseded_by", "created_at"), most_rounds: int = 10_000) -> DataFrame:
-    """All memories reachable inside the space, oldest first. Each round joins the newest ids only, until none is new: the driver holds
-    a count, and plans stay as long as the chain is deep."""
+    """All memories reachable inside the space, oldest first. Edges are written once and each round's new ids are, so a round reads the newest ids and
+    the edges only and its plan doesn't grow; a chain deeper than most_rounds is an error, never a part of one."""
+    spark, root = memories.sparkSession, shared.folder(memories.sparkSession, "supersession")
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
     mine = memories.filter(in_space(space))
     # edges between rows of the space, in both directions
     out = mine.select(F.col("memory_id").alias("a"), F.explode(F.array("supersedes", "superseded_by")).alias("b")).filter("b IS NOT NULL")
     out = out.join(mine.select(F.col("memory_id").alias("b")), "b", "left_semi").select("a", "b")
-    edges = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = mine.filter(F.col("memory_id") == memory_id).select("memory_id")
-    new = seen
-    for k in range(most_rounds):
-        new = edges.join(new.withColumnRenamed("memory_id", "a"), "a").select(F.col("b").alias("memory_id")).distinct().join(seen, "memory_id", "left_anti")
+    edges = put("edges", out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    new = put("seen/round=0", mine.filter(F.col("memory_id") == memory_id).select("memory_id").distinct())
+    for k in range(1, most_rounds + 2):
+        seen = spark.read.schema(new.schema).parquet(*[f"{root}/seen/round={i}" for i in range(k)])
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
-        if k % 8 == 7 and seen.sparkSession.sparkContext.getCheckpointDir():
-            seen, new = seen.checkpoint(), new.checkpoint()
-    return mine.join(seen.distinct(), "memory_id", "left_semi").select(*columns).orderBy("created_at", "memory_id")
+        new = put(f"seen/round={k}", edges.join(new.withColumnRenamed("memory_id", "a"), "a").select(F.col("b").alias("memory_id")).distinct().join(seen, "memory_id", "left_anti"))
+    else:
+        raise RuntimeError(f"the chain of {memory_id} is deeper than {most_rounds}")
+    return mine.join(seen, "memory_id", "left_semi").select(*columns).orderBy("created_at", "memory_id")
 
 
 def session_chain(sessions: DataFrame, space: str, session_id: str, most: int = 10_000) -> DataFrame:
     """Back through previous_session_id, each session once, oldest first. Plain recursion in SQL with a path that stops cycles."""
     view = f"_chain_{abs(hash((space, session_id))):x}"
     sessions.filter(in_space(space)).select("session_id", "previous_session_id", "started_at").createOrReplaceTempView(view)
-    return sessions.sparkSession.sql(
+    chain = sessions.sparkSession.sql(
         f"""
         WITH RECURSIVE chain(session_id, previous_session_id, started_at, path) MAX RECURSION LEVEL {most} AS (
             SELECT session_id, previous_session_id, started_at, array(session_id) FROM {view} WHERE session_id = :id
@@ -45,6 +51,8 @@ def session_chain(sessions: DataFrame, space: str, session_id: str, most: int =
         SELECT session_id, previous_session_id, started_at FROM chain ORDER BY started_at, session_id""",
         args={"id": session_id},
     )
+    sessions.sparkSession.catalog.dropTempView(view)  # the plan has been resolved
+    return chain
 
 
 def lineage_reason(session: Column, previous: Column, parent: Column, depth: Column) -> Column:

@@ -71,16 +71,15 @@ def due(timers: DataFrame, now: Column) -> DataFrame:
 
 
 def apply_outcomes(timers: DataFrame, now: Column) -> DataFrame:
-    """timers fired at `now`, with outcome (completed, retry, dead, foreign), attempts so far, error and memory_space_id. A retry beyond the ceiling is
-    dead; one that belongs to other work waits; a dead letter's error names the space."""
+    """timers fired at `now`, with outcome (completed, retry, dead, foreign), attempts so far, error and memory_space_id. Every claim counts, and
+    beyond the ceiling a timer is dead whatever its outcome; one that belongs to other work waits; a dead letter's error names the space."""
     tries = F.col("attempts") + 1
-    spent = (F.col("outcome") == "retry") & (tries > ATTEMPTS)
-    status = F.when(F.col("outcome") == "completed", "fired").when((F.col("outcome") == "dead") | spent, "dead").otherwise("scheduled")
+    status = F.when((F.col("outcome") == "dead") | (tries > ATTEMPTS), "dead").when(F.col("outcome") == "completed", "fired").otherwise("scheduled")
     wait = F.when(F.col("outcome") == "foreign", F.lit(UNKNOWN)).otherwise(scoring.timer_delay(tries))
     space = F.concat(F.lit("[memory space "), F.coalesce("memory_space_id", F.lit("unknown")), F.lit("] "))
     return timers.withColumns({
         "new_status": status,
-        "new_attempts": F.when(F.col("outcome") == "foreign", F.col("attempts")).otherwise(tries),
+        "new_attempts": tries,
         "new_fire_at": F.when(status == "scheduled", plus(now, wait)).otherwise(F.col("fire_at")),
         "last_error": F.when(status == "dead", F.concat(space, F.coalesce("error", F.lit("")))).otherwise(F.col("error")),
     })
@@ -88,10 +87,12 @@ def apply_outcomes(timers: DataFrame, now: Column) -> DataFrame:
 
 def drain(read: Callable[[], DataFrame], fire: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], now: Column, most_rounds: int = 100) -> int:
     """Fires what is due, all of it together, until nothing is: read gives the timers, fire adds outcome and error, write stores the new state.
-    Retries come due later than `now`, so the rounds end."""
+    Retries come due later than `now`, so the rounds end; if something is still due after most_rounds, that is an error."""
     for k in range(most_rounds):
         batch = due(read(), now)
         if batch.isEmpty():
             return k
         write(apply_outcomes(fire(batch), now))
+    if not due(read(), now).isEmpty():
+        raise RuntimeError(f"timers are still due after {most_rounds} rounds")
     return most_rounds

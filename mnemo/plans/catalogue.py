@@ -299,7 +299,7 @@ def scope_slug(s, d):
 UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr({0}, 17, 1)) - 1) % 4 + 1, 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
 
 
-@query("uuid5_ids", f"""WITH {TURNS}, h AS (SELECT turn_id, sha1(unhex('6b696f6b752d6c31800061746f6d6964') || encode(session_id || ':' || content)) AS a, sha1(unhex('6b696f6b752d6c31800061746f6d6964') || encode('audit:' || session_id || ':' || turn_index || ':' || content)) AS b FROM turns)
+@query("uuid5_ids", f"""WITH {TURNS}, h AS (SELECT turn_id, sha1(unhex('{identity.ATOMS.hex}') || encode(session_id || ':' || content)) AS a, sha1(unhex('{identity.ATOMS.hex}') || encode('audit:' || session_id || ':' || turn_index || ':' || content)) AS b FROM turns)
 SELECT turn_id, {UUID.format('a')} AS atom_uuid, 'mnemo_consolidation_decision:' || {UUID.format('b')} AS audit_id FROM h""")
 def uuid5_ids(s, d):
     t = tables.turns(s, d)
@@ -462,8 +462,8 @@ def _fired(s, d):
     return e.select("event_id", F.lpad(F.col("event_id").cast("string"), 10, "0").alias("timer_id"), F.when(F.col("user_id") % 3 > 0, SPACE).alias("memory_space_id"), F.col("ts").cast("timestamp").alias("fire_at"), (F.col("event_id") % 10).cast("int").alias("attempts"), outcome.alias("outcome"), F.lit("boom").alias("error"), F.lit("scheduled").alias("status"))
 
 
-@query("timer_outcomes", f"""WITH {FIRED}, x AS (SELECT *, CASE WHEN outcome = 'completed' THEN 'fired' WHEN outcome = 'dead' OR outcome = 'retry' AND attempts + 1 > 8 THEN 'dead' ELSE 'scheduled' END AS new_status FROM f)
-SELECT event_id, new_status, CASE WHEN outcome = 'foreign' THEN attempts ELSE attempts + 1 END AS new_attempts, CASE WHEN new_status = 'scheduled' THEN epoch_us(TIMESTAMP '2024-03-01') + 1000000 * (CASE WHEN outcome = 'foreign' THEN 600 ELSE least(900, 30 * pow(2, attempts))::INTEGER END) ELSE epoch_us(ts) END AS fire_us,
+@query("timer_outcomes", f"""WITH {FIRED}, x AS (SELECT *, CASE WHEN outcome = 'dead' OR attempts + 1 > 8 THEN 'dead' WHEN outcome = 'completed' THEN 'fired' ELSE 'scheduled' END AS new_status FROM f)
+SELECT event_id, new_status, attempts + 1 AS new_attempts, CASE WHEN new_status = 'scheduled' THEN epoch_us(TIMESTAMP '2024-03-01') + 1000000 * (CASE WHEN outcome = 'foreign' THEN 600 ELSE least(900, 30 * pow(2, attempts))::INTEGER END) ELSE epoch_us(ts) END AS fire_us,
  CASE WHEN new_status = 'dead' THEN '[memory space ' || (CASE WHEN user_id % 3 > 0 THEN 'space_test' ELSE 'unknown' END) || '] boom' ELSE 'boom' END AS last_error FROM x""")
 def timer_outcomes(s, d):
     return timers.apply_outcomes(_fired(s, d), F.lit(NOW)).select("event_id", "new_status", "new_attempts", F.unix_micros("new_fire_at").alias("fire_us"), "last_error")
@@ -514,11 +514,11 @@ def atom_validation(s, d):
 
 
 DEC = f"""WITH {TENS}, dec AS (SELECT memory_space_id, memory_id AS decision_id, memory_id AS own_id, status AS own_status, session_id, CASE priority % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'store' WHEN 2 THEN 'update' ELSE 'merge' END AS action,
- CASE WHEN priority % 5 = 0 THEN [memory_id] WHEN priority % 5 = 1 THEN ['m_99999999'] WHEN priority % 5 = 2 THEN ['m_99999999', coalesce(superseded_by, supersedes, memory_id)] ELSE [coalesce(superseded_by, supersedes, 'm_99999998')] END AS targets FROM memories),
+ CASE WHEN priority % 5 = 0 THEN [memory_id] WHEN priority % 7 = 1 THEN []::VARCHAR[] WHEN priority % 5 = 1 THEN ['m_99999999'] WHEN priority % 5 = 2 THEN ['m_99999999', coalesce(superseded_by, supersedes, memory_id)] ELSE [coalesce(superseded_by, supersedes, 'm_99999998')] END AS targets FROM memories),
 o AS (SELECT *, list_filter(targets, lambda t: t <> own_id) AS others FROM dec), u AS (SELECT decision_id, o.memory_space_id, unnest(others) AS t, generate_subscripts(others, 1) AS p FROM o),
 live AS (SELECT u.decision_id, string_agg(t, ',' ORDER BY p) AS live_targets, count(*) AS n FROM u JOIN memories m ON m.memory_id = u.t AND m.memory_space_id = u.memory_space_id GROUP BY u.decision_id),
-app AS (SELECT o.decision_id, session_id, coalesce(live_targets, '') AS live_targets, CASE WHEN action IN ('skip', 'store') THEN action WHEN len(others) = 0 THEN 'skip' WHEN own_status <> 'active' THEN 'skip' WHEN coalesce(n, 0) = 0 THEN 'store' ELSE 'merge' END AS applied,
- CASE WHEN action IN ('skip', 'store') THEN NULL WHEN len(others) = 0 THEN 'only target is itself' WHEN own_status <> 'active' THEN 'winner is not active' WHEN coalesce(n, 0) = 0 THEN 'no target exists' WHEN n < len(others) THEN 'some targets don''t exist' END AS note FROM o LEFT JOIN live USING (decision_id))"""
+app AS (SELECT o.decision_id, session_id, coalesce(live_targets, '') AS live_targets, CASE WHEN action IN ('skip', 'store') THEN action WHEN len(targets) = 0 THEN 'store' WHEN len(others) = 0 THEN 'skip' WHEN own_status <> 'active' THEN 'skip' WHEN coalesce(n, 0) = 0 THEN 'store' ELSE 'merge' END AS applied,
+ CASE WHEN action IN ('skip', 'store') THEN NULL WHEN len(targets) = 0 THEN 'no target given' WHEN len(others) = 0 THEN 'only target is itself' WHEN own_status <> 'active' THEN 'winner is not active' WHEN coalesce(n, 0) = 0 THEN 'no target exists' WHEN n < len(others) THEN 'some targets don''t exist' END AS note FROM o LEFT JOIN live USING (decision_id))"""
 
 
 def _decisions(s, d):
@@ -526,7 +526,7 @@ def _decisions(s, d):
     p, other = F.col("priority"), F.coalesce("superseded_by", "supersedes")
     action = F.element_at(F.array(*[F.lit(x) for x in ("skip", "store", "update", "merge")]), p % 4 + 1)
     none = F.lit("m_99999999")
-    targets = F.when(p % 5 == 0, F.array("memory_id")).when(p % 5 == 1, F.array(none)).when(p % 5 == 2, F.array(none, F.coalesce(other, "memory_id"))).otherwise(F.array(F.coalesce(other, F.lit("m_99999998"))))
+    targets = F.when(p % 5 == 0, F.array("memory_id")).when(p % 7 == 1, F.array().cast("array<string>")).when(p % 5 == 1, F.array(none)).when(p % 5 == 2, F.array(none, F.coalesce(other, "memory_id"))).otherwise(F.array(F.coalesce(other, F.lit("m_99999998"))))
     return distill.apply_decisions(m.select("memory_space_id", F.col("memory_id").alias("decision_id"), F.col("memory_id").alias("own_id"), "session_id", action.alias("action"), targets.alias("targets")), m)
 
 

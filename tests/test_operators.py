@@ -187,7 +187,45 @@ def test_timers(spark):
     fired = spark.createDataFrame([("1", "retry", 7, "a", "e"), ("2", "retry", 8, None, "e"), ("3", "foreign", 8, "a", "e"), ("4", "dead", 0, "a", "e"), ("5", "completed", 0, "a", None)], "timer_id string, outcome string, attempts int, memory_space_id string, error string").withColumn("fire_at", F.lit(T0))
     r = {x.timer_id: (x.new_status, x.new_attempts, x.new_fire_at, x.last_error) for x in timers.apply_outcomes(fired, F.lit(T0)).collect()}
     assert r["1"] == ("scheduled", 8, T0 + timedelta(seconds=900), "e") and r["2"] == ("dead", 9, T0, "[memory space unknown] e")
-    assert r["3"] == ("scheduled", 8, T0 + timedelta(seconds=600), "e") and r["4"][3] == "[memory space a] e" and r["5"][0] == "fired"
+    assert r["3"] == ("dead", 9, T0, "[memory space a] e") and r["4"][3] == "[memory space a] e" and r["5"][0] == "fired"
+
+
+def test_claims_of_other_work_count(spark):
+    fired = spark.createDataFrame([("1", "foreign", 7, "a", "e"), ("2", "completed", 8, "a", "e")], "timer_id string, outcome string, attempts int, memory_space_id string, error string").withColumn("fire_at", F.lit(T0))
+    r = {x.timer_id: (x.new_status, x.new_attempts, x.new_fire_at) for x in timers.apply_outcomes(fired, F.lit(T0)).collect()}
+    assert r == {"1": ("scheduled", 8, T0 + timedelta(seconds=600)), "2": ("dead", 9, T0)}
+
+
+def test_drain_that_cannot_end_is_an_error(spark):
+    stuck = spark.createDataFrame([("1", "scheduled", 0, "a")], "timer_id string, status string, attempts int, memory_space_id string").withColumn("fire_at", F.lit(T0))
+    with pytest.raises(RuntimeError):
+        timers.drain(lambda: stuck, lambda b: b.withColumns({"outcome": F.lit("retry"), "error": F.lit("e")}), lambda d: None, F.lit(T0), most_rounds=2)
+
+
+def test_a_chain_is_whole_or_an_error(spark):
+    rows = [("s", f"m{i}", "active", f"m{i - 1}" if i else None, None, T0) for i in range(6)]
+    m = spark.createDataFrame(rows, "memory_space_id string, memory_id string, status string, supersedes string, superseded_by string, created_at timestamp")
+    assert lineage.supersession_chain(m, "s", "m0", most_rounds=6).count() == 6
+    with pytest.raises(RuntimeError):
+        lineage.supersession_chain(m, "s", "m0", most_rounds=3)
+
+
+def test_admin_stands_for_no_other_permission():
+    c = access.Context("s", "bob", frozenset({"admin"}))
+    with pytest.raises(access.Refused):
+        access.gate(c, "record", "s")
+    assert access.gate(c, "admin", "s") is c
+    assert access.preflight("s:ns", {"s": c}.get, "s") == ("dead", "distill is not granted")
+
+
+def test_an_update_without_targets_is_stored():
+    m = distill.Models(lambda t: [{"content": "x", "atom_type": "fact"}], lambda a, c: {"action": "update", "targets": []})
+    p = distill.distill_session([{"turn_index": 1, "role": "user", "content": "a"}], [], None, {"session_id": "s"}, m)
+    assert [a["decision"] for a in p.audit] == ["store"] and len(p.stored) == 1
+    old = {"memory_id": "m", "memory_type": "fact", "content": "y", "status": "active", "priority": 1}
+    m = distill.Models(lambda t: [{"content": "x", "atom_type": "fact"}], lambda a, c: {"action": "update", "targets": ["m"]})
+    p = distill.distill_session([{"turn_index": 1, "role": "user", "content": "a"}], [old], None, {"session_id": "s"}, m)
+    assert [a["decision"] for a in p.audit] == ["update"] and p.merged
 
 
 def test_distill_session():
