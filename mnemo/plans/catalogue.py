@@ -341,11 +341,11 @@ def memory_fold(s, d):
 SELECT memory_space_id, stream_id, coalesce(arg_max(kind, version) FILTER (kind IN ('superseded', 'archived', 'merged')), 'active') AS status, arg_max('m_' || k, version) FILTER (kind IN ('superseded', 'merged')) AS superseded_by,
  arg_max('t' || k, version) FILTER (kind IN ('recorded', 'tags')) AS tags, arg_max(CASE WHEN k % 2 = 0 THEN 'high' ELSE 'low' END, version) FILTER (kind IN ('recorded', 'confidence')) AS confidence, count(*) AS n_events FROM own GROUP BY memory_space_id, stream_id""")
 def streaming_fold(s, d):
-    """The log written as files and folded by the stateful stream."""
+    """The log written as files, the versions of a stream spread over them in no order, and folded by the stateful stream."""
     root = shared.folder(s, "streaming-fold")
     log = _log(s, d).select("memory_space_id", "stream_id", "version", "kind", "by", "tags", "confidence", "at")
-    log.repartition(4, "stream_id").write.parquet(f"{root}/log")
-    stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    log.repartition(4, "version").write.parquet(f"{root}/log")
+    stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     projections.run_available(projections.memory_projection(stream), projections.upsert_sink(f"{root}/rows", ["stream_id"]), f"{root}/checkpoint")
     return projections.latest(s, f"{root}/rows", ["stream_id"])
 
@@ -483,13 +483,23 @@ def debounced_timers(s, d):
 # ---- distillation (A, D, F-22 to F-25)
 
 
-@query("evidence_text", f"""WITH {TURNS}, {SES}, {MEM}, a AS (SELECT memory_space_id, session_id, string_agg(turn_index || '. ' || role || ': ' || content, chr(10) ORDER BY turn_index) AS text FROM turns WHERE turn_index % 7 <> 0 AND session_id NOT LIKE '%3' GROUP BY ALL),
-r AS (SELECT memory_space_id, session_id FROM sessions EXCEPT SELECT memory_space_id, session_id FROM a), b AS (SELECT m.memory_space_id, m.session_id, string_agg('- ' || memory_type || ': ' || substr(content, 1, 60), chr(10) ORDER BY created_at DESC, memory_id) AS text FROM memories m JOIN r ON m.memory_space_id = r.memory_space_id AND m.session_id = r.session_id GROUP BY ALL)
-SELECT *, 'turns' AS source FROM a UNION ALL SELECT *, 'session memories' FROM b""")
+OWN_SESSION = "'k' || substr(session_id, 2)"
+
+
+@query("evidence_text", f"""WITH {TURNS}, {MEM}, line AS (SELECT *, {OWN_SESSION} AS own, '- ' || memory_type || ': ' || content AS text FROM memories),
+a AS (SELECT memory_space_id, session_id, 'turns' AS source, string_agg(turn_index || '. ' || role || ': ' || content, chr(10) ORDER BY turn_index) AS text FROM turns GROUP BY ALL),
+b AS (SELECT memory_space_id, own AS session_id, 'session memories' AS source, string_agg(text, chr(10) ORDER BY created_at DESC, memory_id) AS text FROM line WHERE own IS NOT NULL GROUP BY ALL),
+c AS (SELECT memory_space_id, concat_ws('/', 'scope', namespace, scope_kind, scope_ref) AS session_id, 'scope memories' AS source, string_agg(text, chr(10) ORDER BY priority, created_at DESC, memory_id) AS text FROM line WHERE status = 'active' GROUP BY ALL)
+SELECT memory_space_id, session_id, source, sha256(text) AS text_sha256, length(text) AS n_chars FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""")
 def evidence_text(s, d):
-    t = tables.turns(s, d).filter("turn_index % 7 <> 0 AND session_id NOT LIKE '%3'")
-    m = tables.memories(s, d).withColumn("content", F.substring("content", 1, 60))
-    return distill.evidence(t, m, tables.sessions(s, d)).filter("source <> 'scope memories'")
+    """Whole texts of all three sources: sessions with turns, sessions that have memories only, and one session without either for each scope."""
+    m = tables.memories(s, d).withColumn("session_id", F.concat(F.lit("k"), F.expr("substr(session_id, 2)")))
+    none = F.lit(None).cast("string")
+    silent = m.filter("session_id IS NOT NULL").select("memory_space_id", "session_id", F.lit("none").alias("namespace"), none.alias("scope_kind"), none.alias("scope_ref")).distinct()
+    asking = m.select("memory_space_id", F.concat_ws("/", F.lit("scope"), "namespace", "scope_kind", "scope_ref").alias("session_id"), "namespace", "scope_kind", "scope_ref").distinct()
+    every = tables.sessions(s, d).select(*silent.columns).unionByName(silent).unionByName(asking)
+    found = distill.evidence(tables.turns(s, d), m, every)
+    return found.select("memory_space_id", "session_id", "source", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("session_max_turn", f"WITH {TURNS} SELECT memory_space_id, session_id, greatest(max(turn_index), 0) AS max_turn FROM turns GROUP BY ALL")
@@ -615,11 +625,11 @@ def scope_repair(s, d):
     return predicates.whole_scope(m).select("memory_id", "scope_kind", "scope_ref")
 
 
-@query("constraint_violations", f"""WITH {TURNS}, x AS (SELECT CASE WHEN turn_index = 1 THEN '' ELSE memory_space_id END AS memory_space_id, CASE WHEN turn_index = 3 THEN session_id ELSE turn_id END AS turn_id, session_id, turn_index % 4 AS turn_index FROM turns)
-SELECT 'blank_space' AS violation, count(*) AS n FROM x WHERE memory_space_id = '' UNION ALL SELECT 'unique_turn_id', coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM x GROUP BY turn_id HAVING count(*) > 1) UNION ALL SELECT 'unique_session_id_turn_index', coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM x GROUP BY session_id, turn_index HAVING count(*) > 1)""")
+@query("constraint_violations", f"""WITH {TURNS}, x AS (SELECT CASE WHEN turn_index = 1 THEN '' ELSE memory_space_id END AS memory_space_id, CASE WHEN turn_index = 3 THEN session_id ELSE turn_id END AS turn_id, session_id, turn_index % 4 AS turn_index, role, content, recorded_at FROM turns)
+SELECT 'blank_space' AS violation, count(*) AS n FROM x WHERE memory_space_id = '' UNION ALL SELECT 'unique_turn_id', coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM x GROUP BY turn_id HAVING count(*) > 1) UNION ALL SELECT 'unique_session_id_turn_index', coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM x GROUP BY session_id, turn_index HAVING count(*) > 1) UNION ALL SELECT 'null_turn_id', count(*) FROM x WHERE turn_id IS NULL UNION ALL SELECT 'null_session_id', count(*) FROM x WHERE session_id IS NULL UNION ALL SELECT 'null_turn_index', count(*) FROM x WHERE turn_index IS NULL UNION ALL SELECT 'null_role', count(*) FROM x WHERE role IS NULL UNION ALL SELECT 'null_content', count(*) FROM x WHERE content IS NULL UNION ALL SELECT 'null_recorded_at', count(*) FROM x WHERE recorded_at IS NULL""")
 def constraint_violations(s, d):
     t = tables.turns(s, d).withColumns({"memory_space_id": F.when(F.col("turn_index") == 1, "").otherwise(F.col("memory_space_id")), "turn_id": F.when(F.col("turn_index") == 3, F.col("session_id")).otherwise(F.col("turn_id")), "turn_index": F.col("turn_index") % 4})
-    return schema.violations(t, "turns").filter("violation NOT LIKE 'null_%'")
+    return schema.violations(t, "turns")
 
 
 @query("orphan_anti_join", f"WITH {TURNS}, {SES} SELECT turn_id FROM turns t WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.session_id = t.session_id AND s.memory_space_id = t.memory_space_id AND s.status <> 'failed')")

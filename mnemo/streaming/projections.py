@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,41 +16,63 @@ from mnemo.operators.embedding import Embed, embed_batch
 from mnemo.operators.reads import embedding_backlog
 
 MEMORY_OUT = "stream_id string, memory_space_id string, status string, superseded_by string, tags string, confidence string, n_events bigint"
-MEMORY_STATE = "memory_space_id string, status string, superseded_by string, tags string, confidence string, n_events bigint, version int"
-
-
-def _apply(state: dict[str, Any] | None, e) -> dict[str, Any] | None:
-    if state is None:
-        if e.kind != "recorded":
-            return None
-        return {"memory_space_id": e.memory_space_id, "status": "active", "superseded_by": None, "tags": e.tags, "confidence": e.confidence, "n_events": 1, "version": int(e.version)}
-    if e.memory_space_id != state["memory_space_id"] or e.version <= state["version"]:
-        return state  # another space's, or delivered again
-    state = state | {"n_events": state["n_events"] + 1, "version": int(e.version)}
-    if e.kind in ("superseded", "merged"):
-        state |= {"status": e.kind, "superseded_by": e.by}
-    elif e.kind == "archived":
-        state |= {"status": "archived"}
-    elif e.kind in ("tags", "confidence"):
-        state |= {e.kind: getattr(e, e.kind)}
-    return state
+#: What an event of each kind sets, and from which of its fields (None: the kind itself).
+SETS: dict[str, dict[str, str | None]] = {
+    "recorded": {"tags": "tags", "confidence": "confidence"},
+    "superseded": {"status": None, "superseded_by": "by"},
+    "merged": {"status": None, "superseded_by": "by"},
+    "archived": {"status": None},
+    "tags": {"tags": "tags"},
+    "confidence": {"confidence": "confidence"},
+}
+
+
+def _take(now: dict[str, Any], e: dict[str, Any]) -> None:
+    """A value stays until one of a higher version comes, in whatever order they arrive."""
+    if e["memory_space_id"] != now["home"]:
+        return  # another space's
+    now["n_events"] += 1
+    for name, source in SETS.get(e["kind"], {}).items():
+        if e["version"] > now["fields"].get(name, [-1])[0]:
+            now["fields"][name] = [e["version"], e["kind"] if source is None else e[source]]
+
+
+def _apply(now: dict[str, Any], e: dict[str, Any]) -> None:
+    v = e["version"]
+    if v <= now["low"] or v in now["late"]:
+        return  # delivered again
+    now["late"].append(v)
+    while now["low"] + 1 in now["late"]:
+        now["low"] += 1
+        now["late"].remove(now["low"])
+    if now["home"] is None and e["kind"] != "recorded":
+        now["waiting"].append(e)
+        return
+    if now["home"] is None:
+        now["home"] = e["memory_space_id"]
+        for early in now["waiting"]:
+            _take(now, early)
+        now["waiting"] = []
+    _take(now, e)
 
 
 def memory_projection(events: DataFrame) -> DataFrame:
-    """Events (as for folds.fold_memories, tags as text) in, the row of every memory they touched out; update mode. Events delivered twice
-    change nothing: the version is part of the state."""
+    """Events (as for folds.fold_memories, tags as text; versions of a stream count from 1) in, the row of every memory they touched out; update mode.
+    Events may come late, before their recording, or twice: each field keeps the version that set it, events wait for the recording, and the versions
+    seen are part of the state (up to the last without a gap, and those beyond)."""
+    columns = "memory_space_id", "kind", "by", "tags", "confidence"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [p.split()[0] for p in MEMORY_STATE.split(", ")]
-        now = dict(zip(names, state.get, strict=True)) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("version")
-        for e in rows.itertuples():
-            now = _apply(now, e)
-        if now is not None:
-            state.update(tuple(now[n] for n in names))
-            yield pd.DataFrame([{"stream_id": key[0], **{k: v for k, v in now.items() if k != "version"}}])
-
-    return events.groupBy("stream_id").applyInPandasWithState(step, MEMORY_OUT, MEMORY_STATE, "update", GroupStateTimeout.NoTimeout)
+        now = json.loads(state.get[0]) if state.exists else {"home": None, "n_events": 0, "fields": {}, "low": 0, "late": [], "waiting": []}
+        for rows in batches:
+            for e in rows.sort_values("version").itertuples():
+                _apply(now, {"version": int(e.version)} | {c: None if pd.isna(x := getattr(e, c)) else x for c in columns})
+        state.update((json.dumps(now),))
+        if now["home"] is not None:
+            value = lambda name: now["fields"].get(name, [0, None])[1]
+            yield pd.DataFrame([{"stream_id": key[0], "memory_space_id": now["home"], "status": value("status") or "active", "superseded_by": value("superseded_by"), "tags": value("tags"), "confidence": value("confidence"), "n_events": now["n_events"]}])
+
+    return events.groupBy("stream_id").applyInPandasWithState(step, MEMORY_OUT, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 SESSION_FIELDS = "memory_space_id string, status string, started_us bigint, completed_us bigint, error_message string, summary string, awaiting_reason string, awaiting_correlation_key string, resume_input string, updated_us bigint"
