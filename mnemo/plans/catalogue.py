@@ -585,6 +585,53 @@ def source_hash(s, d):
     return distill.scene_sources(tables.memories(s, d)).select(*distill.SCOPE, "hash")
 
 
+# ---- reads of what distillation keeps (S, ST)
+
+SCENES = f"{MEM}, scenes AS (SELECT memory_space_id, namespace, scope_kind, scope_ref, memory_type AS scene_key, memory_id AS scene_id, agent_id AS title, content AS body_md, updated_at FROM memories WHERE status = 'active')"
+HERE = f"memory_space_id = '{SPACE}' AND namespace = '{NS}' AND {ENTITY}"
+PERSONAS = f"{SCENES}, personas AS (SELECT memory_space_id, namespace, scope_kind, scope_ref, max(scene_id) AS persona_id, arg_max(body_md, scene_id) AS body_md FROM scenes GROUP BY ALL)"
+
+
+def _scenes(s: SparkSession, d: str) -> DataFrame:
+    """Every active memory as a scene keyed by its type."""
+    m = tables.memories(s, d).filter("status = 'active'")
+    return m.select(*distill.SCOPE, F.col("memory_type").alias("scene_key"), F.col("memory_id").alias("scene_id"), F.col("agent_id").alias("title"), F.col("content").alias("body_md"), "updated_at")
+
+
+@query("watermark_read", f"WITH {TURNS} SELECT greatest(max(turn_index), 0) AS last_turn_index FROM turns WHERE memory_space_id = '{SPACE}' AND session_id = 's_00000003' GROUP BY session_id")
+def watermark_read(s, d):
+    return reads.watermark(distill.max_turn(tables.turns(s, d)).withColumnRenamed("max_turn", "last_turn_index"), SPACE, "s_00000003")
+
+
+@query("scenes_by_scope", f"WITH {SCENES} SELECT * REPLACE (strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at) FROM scenes WHERE {HERE}")
+def scenes_by_scope(s, d):
+    return shown(reads.scenes_by_scope(_scenes(s, d), SPACE, SCOPE))
+
+
+@query("scene_by_key", f"WITH {SCENES} SELECT * REPLACE (strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at) FROM scenes WHERE {HERE} AND scene_key = 'preference'")
+def scene_by_key(s, d):
+    return shown(reads.scene_by_key(_scenes(s, d), SPACE, SCOPE, "preference"))
+
+
+@query("persona_by_scope", f"WITH {PERSONAS} SELECT * FROM personas WHERE {HERE}")
+def persona_by_scope(s, d):
+    personas = _scenes(s, d).groupBy(*distill.SCOPE).agg(F.max("scene_id").alias("persona_id"), F.max_by("body_md", "scene_id").alias("body_md"))
+    return reads.persona_by_scope(personas, SPACE, SCOPE)
+
+
+@query("persona_scenes", f"WITH {SCENES} SELECT scene_id, title, body_md, {at('updated_at')} FROM scenes WHERE {HERE}")
+def persona_scenes(s, d):
+    return shown(reads.persona_scenes(_scenes(s, d), SPACE, SCOPE))
+
+
+@query("persona_timers", f"""WITH {SCENES}, x AS (SELECT memory_space_id, namespace AS ns, scope_kind, scope_ref AS ref, updated_at + INTERVAL 5 SECOND AS fire FROM scenes), y AS (SELECT memory_space_id || ':' || {IDENT} AS correlation_id, fire FROM x),
+h AS (SELECT correlation_id, fire, sha1(unhex('{identity.PERSONA_TIMERS.hex}') || encode('l3-persona:' || correlation_id || ':' || strftime(fire, '%Y-%m-%d %H:%M:%S'))) AS a FROM y)
+SELECT {UUID.format('a')} AS timer_id, correlation_id, epoch_us(fire) AS fire_us FROM h""")
+def persona_timers(s, d):
+    changes = _scenes(s, d).withColumnRenamed("updated_at", "at")
+    return timers.persona_timers(changes).select("timer_id", "correlation_id", F.unix_micros("fire_at").alias("fire_us"))
+
+
 # ---- maintenance (M, J, P, A)
 
 
