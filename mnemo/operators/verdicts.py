@@ -51,6 +51,34 @@ def turn_verdicts(commands: DataFrame, turns: DataFrame) -> DataFrame:
     return joined.select(*commands.columns, verdict.alias("verdict"))
 
 
+#: What makes a repeated command the same one: a column of the command, which is the session's own.
+SESSION_FIELDS = {
+    "complete": ("model_used", "summary"), "fail": ("error_message",),
+    "await": ("awaiting_reason", "awaiting_correlation_key", "awaiting_deadline"), "resume": ("resume_input",),
+}
+
+
+def session_verdicts(commands: DataFrame, sessions: DataFrame) -> DataFrame:
+    """commands: memory_space_id, session_id, action (complete, fail, await, resume), force and the fields above. verdict: run, duplicate or conflict (the
+    state is there already, with equal or other fields, or another end), not found, not running, not awaiting, wrong key. Only force resumes
+    without the very key that is awaited, and a missing key is a key too."""
+    fields = [f for fs in SESSION_FIELDS.values() for f in fs]
+    now = sessions.select("memory_space_id", "session_id", F.col("status").alias("_status"), *[F.col(f).alias(f"_{f}") for f in fields])
+    action, status = F.col("action"), F.col("_status")
+    differs = F.coalesce(*[F.when(action == a, first_difference({f: (F.col(f), F.col(f"_{f}")) for f in fs})) for a, fs in SESSION_FIELDS.items()])
+    again = F.when(differs.isNull(), "duplicate").otherwise("conflict")
+    there = F.element_at(F.create_map(*[F.lit(x) for x in ("complete", "completed", "fail", "failed", "await", "awaiting", "resume", "running")]), action)
+    open_ = status.isin("running", "awaiting")
+    locked = ~F.coalesce(F.col("force"), F.lit(False)) & ~F.col("awaiting_correlation_key").eqNullSafe(F.col("_awaiting_correlation_key"))
+    verdict = (
+        F.when(status.isNull(), "not found").when(status == there, again)
+        .when(action.isin("complete", "fail"), F.when(open_, "run").otherwise("conflict"))
+        .when(action == "await", F.when(status == "running", "run").otherwise("not running"))
+        .when(status != "awaiting", "not awaiting").when(locked, "wrong key").otherwise("run")
+    )
+    return commands.join(now, ["memory_space_id", "session_id"], "left").select(*commands.columns, verdict.alias("verdict"))
+
+
 def memory_machine_violations(events: DataFrame) -> DataFrame:
     """Events of a log that the state machine would not have made: before the recording, a second recording, after the end, or of another space."""
     w = Window.partitionBy("stream_id").orderBy("version")

@@ -748,6 +748,23 @@ def turn_verdicts(s, d):
     return verdicts.turn_verdicts(c, t.filter("turn_index < 5")).select("turn_id", "turn_index", "verdict")
 
 
+@query("session_verdicts", f"""WITH {SES}, c AS (SELECT session_id, unnest(['complete', 'fail', 'await', 'resume']) AS action, focus = 'focus_3' AS force, focus AS said, CASE WHEN focus = 'focus_1' THEN 'key_x' ELSE awaiting_correlation_key END AS key FROM sessions),
+r AS (SELECT session_id, status, CASE WHEN agent_id = 'agent_0' THEN 'other' ELSE focus END AS said, awaiting_correlation_key AS key FROM sessions WHERE delegation_depth = 0)
+SELECT c.session_id, c.action, CASE WHEN r.status IS NULL THEN 'not found'
+ WHEN c.action IN ('complete', 'fail') THEN CASE WHEN r.status IN ('running', 'awaiting') THEN 'run' WHEN (c.action = 'complete' AND r.status = 'completed' OR c.action = 'fail' AND r.status = 'failed') AND c.said = r.said THEN 'duplicate' ELSE 'conflict' END
+ WHEN c.action = 'await' THEN CASE WHEN r.status = 'running' THEN 'run' WHEN r.status <> 'awaiting' THEN 'not running' WHEN c.said = r.said AND c.key IS NOT DISTINCT FROM r.key THEN 'duplicate' ELSE 'conflict' END
+ WHEN r.status = 'running' THEN CASE WHEN c.said = r.said THEN 'duplicate' ELSE 'conflict' END WHEN r.status <> 'awaiting' THEN 'not awaiting' WHEN NOT c.force AND c.key IS DISTINCT FROM r.key THEN 'wrong key' ELSE 'run' END AS verdict
+FROM c LEFT JOIN r ON c.session_id = r.session_id""")
+def session_verdicts(s, d):
+    ses, none = tables.sessions(s, d), {"model_used": F.lit(None).cast("string"), "awaiting_deadline": F.lit(None).cast("timestamp")}
+    texts = ("summary", "error_message", "awaiting_reason", "resume_input")
+    rows = ses.filter("delegation_depth = 0").withColumns(none | {f: F.when(F.col("agent_id") == "agent_0", "other").otherwise(F.col("focus")) for f in texts})
+    key = F.when(F.col("focus") == "focus_1", "key_x").otherwise(F.col("awaiting_correlation_key"))
+    asked = ses.withColumns(none | {f: F.col("focus") for f in texts} | {"awaiting_correlation_key": key, "force": F.col("focus") == "focus_3"})
+    commands = asked.withColumn("action", F.explode(F.array(*[F.lit(a) for a in verdicts.SESSION_FIELDS])))
+    return verdicts.session_verdicts(commands, rows).select("session_id", "action", "verdict")
+
+
 @query("machine_violations", f"""WITH {LOG}, x AS (SELECT *, first_value(memory_space_id) OVER w AS h, max(CASE WHEN kind IN ('superseded', 'archived', 'merged') THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM log WINDOW w AS (PARTITION BY stream_id ORDER BY version))
 SELECT stream_id, version, CASE WHEN memory_space_id <> h THEN 'another space' ELSE 'after the end' END AS problem FROM x WHERE memory_space_id <> h OR ended = 1""")
 def machine_violations(s, d):
