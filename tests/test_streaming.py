@@ -3,6 +3,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from mnemo.operators import folds
+from mnemo.schema import EVENTS
+from mnemo.sources import events
 from mnemo.streaming import projections
 
 T0 = datetime(2024, 1, 1)
@@ -44,3 +46,13 @@ def test_streamed_sessions_equal_the_batch_fold(spark, tmp_path):
     want = folds.fold_sessions(log)
     got = projections.latest(spark, str(tmp_path / "out"), ["stream_id"]).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_log_is_read_by_type(spark, tmp_path):
+    rows = [("memory", f"m_{n}", n, ("memory_recorded", "turn_recorded")[n % 2], "{}", T0) for n in range(6)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "log"))
+    for kind, want in ((None, 6), ("memory_recorded", 3), ("none of them", 0)):
+        name = f"log_{want}"
+        stream = events.log_stream(spark, str(tmp_path / "log"), kind).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        stream.awaitTermination()
+        assert spark.table(name).count() == want
