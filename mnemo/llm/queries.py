@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import decontamination, exact_dedup, licenses, pieces, pii, quality, simhash, suffixes, token_counts, toxicity
-from mnemo.llm.common import benchmark, documents, labels
+from mnemo.llm import clustering, decontamination, exact_dedup, licenses, packing, pieces, pii, quality, simhash, suffixes, token_counts, toxicity, variants
+from mnemo.llm.common import benchmark, documents, embeddings, labels
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans(embeddings(spark, sf_dir)).drop("computed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,9 +82,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
+        "op11_packing": op11_packing,
+        "op12_variants": op12_variants,
+        "op13_clusters": op13_clusters,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_licenses": licenses.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_licenses": licenses.ORACLE, "op12_variants": variants.ORACLE, "op13_clusters": clustering.ORACLE}
