@@ -13,21 +13,24 @@ place; the counts alone are packed on the driver, where sequences of equal conte
 A piece is numbered among those of its length by its task as it is written; the counts by task and length, summed in the order of tasks, give the offset of each
 task. So nothing is sorted, no length is a hot group (there is one row a task and length), and a third of all pieces of one length costs nothing.
 
-Texts are cut where the tokenizer's own pattern always cuts, before a space with a character after it, and equal parts are encoded once per batch and kept
-for later ones; the library encodes every part. Texts with the tokenizer's special strings are encoded whole.
+Texts are cut where the tokenizer's own pattern always cuts, before a space with a character after it. Tasks keep the ids of short parts and, below them, of
+pre-tokens; the library's model encodes each that is new. Texts with the tokenizer's special strings are encoded whole.
 
 Defined cases: a null or empty text is its end token alone; null ids are kept; repeated rows are packed each; a long text is whole, in pieces; an empty
 table gives an empty result; ties are decided by task and order of reading; further columns are left aside."""
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +41,9 @@ CAPACITY = 1024
 #: Exchanges that the local search looks for, at most.
 EFFORT = 10_000
 #: Parts of texts that a task keeps encoded, and how long they are at most.
-HELD, SHORT = 300_000, 48
+HELD, SHORT = 700_000, 48
+# The characters that stand for bytes in byte-level vocabularies. Printable Latin-1 stands for itself, the others follow at 256.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Before a space that any character but white space follows; then nothing depends on what comes before.
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|$)")
@@ -46,6 +51,38 @@ Contents = tuple[tuple[int, int], ...]
 Classes = dict[Contents, int]
 
 
+class _Parts(dict):
+    """Ids of parts of texts, met lately; with `after`, of parts that follow a space, which the keys leave out. A part of several pre-tokens is put together from
+    theirs, and the library's own model encodes a pre-token. So it is within the letters whose kind no version of Unicode disputes; other parts are encoded as they are."""
+
+    def __init__(self, tool, pattern: regex.Pattern, after: _Parts | None = None):
+        self.tool, self.model, self.pattern = tool, tool.model, pattern
+        self.lead, self.plain = "" if after is None else " ", self if after is None else after
+        self.mark = self.lead.translate(BYTES)
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > HELD:
+            self.clear()
+        if part.isascii() and part.isalpha():
+            ids = self._ids(self.mark + part)
+        elif part and max(part) >= "\u0250":
+            ids = np.array(self.tool.encode(self.lead + part, add_special_tokens=False).ids, "<u4").tobytes()
+        elif (word := part.rstrip(".,;:!?")).isalpha() and len(word) < len(part):
+            ids = self[word] + self.plain[part[len(word) :]]
+        else:
+            first, *rest = self.pattern.findall(self.lead + part) or [""]
+            ids = self._one(first) + b"".join(map(self.plain.__getitem__, rest)) if rest else self._one(first)
+        if len(part) <= SHORT:
+            self[part] = ids
+        return ids
+
+    def _one(self, word: str) -> bytes:
+        return self._ids(word.encode().decode("latin-1").translate(BYTES))
+
+    def _ids(self, marked: str) -> bytes:
+        return struct.pack(f"<{len(found := self.model.tokenize(marked))}I", *[t.id for t in found])
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers, just as the tokenizers library gives them."""
 
@@ -53,6 +90,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_str(blob)
@@ -60,28 +98,19 @@ class Encoder:
         self.tool.no_padding()
         added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tool.encode_batch(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        first, *rest = (CUT.split if ODD.search(text) else lambda t: t.split(" "))(text)
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > HELD:
-            self.known = {}
-        cut = [[t] if self.special.search(t) else self.parts(t) for t in texts]
-        new = [*set().union(*cut).difference(self.known)]
-        once = dict(zip(new, self._ids(new), strict=True))
-        self.known.update(once)
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
-        for part in new:
-            if len(part) > SHORT:
-                del self.known[part]
-        return out
+        spec = json.loads(blob)
+        kind = spec["pre_tokenizer"] or {}
+        # only this kind cuts by the pattern and before spaces; texts are encoded whole for any other
+        self.by_parts = kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not spec["normalizer"] and spec["model"]["type"] == "BPE"
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        self.first = _Parts(self.tool, pattern)
+        self.known = _Parts(self.tool, pattern, self.first)
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_parts or self.special.search(text):
+            return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
+        return self.first[first] + b"".join(map(self.known.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
@@ -97,8 +126,8 @@ def pieces(docs: DataFrame, blob: Broadcast, end: int = 2, capacity: int = CAPAC
         seen, last = [0] * (capacity + 1), np.array([end], "<u4").tobytes()
         for part in chunks(batches):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, ids in enumerate(tool.encode(part.column("text").to_pylist())):
-                ids += last
+            for i, text in enumerate(part.column("text").to_pylist()):
+                ids = tool.encode(text) + last
                 n = len(ids) // 4
                 at, stop = 0, (n - 1) % capacity + 1
                 while at < n:

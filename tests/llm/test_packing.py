@@ -67,9 +67,23 @@ PARTS = ["a", "word", "don't", "it's", " ", "  ", "\n", "\t", " \n ", " ", " 
 def test_texts_cut_before_spaces_give_the_ids_of_whole_texts(tool):
     rng = random.Random(3)
     some = ["".join(rng.choices(PARTS, k=rng.randrange(12))) for _ in range(4000)] + ["", " ", "  ", "a ", " a", "a  b", "a   b", "\n a", "a \n b", "x\t y"]
-    got = packing.Encoder(tool.to_str()).encode(some)
-    for text, ids in zip(some, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, repr(text)
+    encoder = packing.Encoder(tool.to_str())
+    for text in some * 2:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_character_has_the_ids_of_the_library(tool):
+    encoder = packing.Encoder(tool.to_str())
+    for start in range(0, 0x3000, 7):
+        text = " ".join(f"a{chr(c)}b {chr(c)}{chr(c)}'s" for c in range(start, start + 7))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, start
+
+
+def test_other_tokenizers_encode_whole_texts():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tool = Tokenizer.from_file(file)
+    text = "Hello  the World's\n end"
+    assert np.frombuffer(packing.Encoder(tool.to_str()).encode(text), "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("low,high,times", [(250, 500, 1), (300, 420, 1), (170, 400, 1), (1, 1023, 1), (250, 500, 1000)])
