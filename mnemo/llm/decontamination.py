@@ -12,7 +12,9 @@ Items of less than SHORT bytes are too short for edits: they match where their w
 another in a text, whole and in order.
 
 Items are cut into sections of SECTION bytes that overlap by a piece, and the sections dealt by hash to blocks of about BLOCK bytes, so neither long
-nor repeated items make a block large. A block's index is broadcast and takes about a hundred bytes a byte while a task holds it. Texts pass by one block at a
+nor repeated items make a block large. A block's index is broadcast and takes about a hundred bytes a byte while a task holds it. Where there are several
+blocks, texts first pass by a sieve: bitmaps of a fixed size of all q-grams and short items, which tell the texts that have a window with enough marks. Only
+these are written, and read again for each block, so what is read and written of the corpus doesn't grow with the benchmark. They pass by one block at a
 time, each in a job of its own whose result is written, so a task never holds two. There is no shuffle of texts. Tasks hold one chunk of texts; long
 texts are whole; q-grams that many pieces share are looked up in slices.
 
@@ -26,8 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemo.llm.common import Scratch, chunks, text_of, tidy
 
@@ -40,6 +45,11 @@ SHORT = 40
 BLOCK, SECTION = 1_000_000, 50_000
 #: Marks and pieces looked up at once.
 SLICE = 1 << 20
+#: Cells of each bitmap that stands for a benchmark of several blocks (32 MB).
+CELLS = 1 << 28
+#: The fewest shared q-grams that a match of any piece has, and the longest match of one.
+LEAST = min(max(n - Q + 1 - int(ERROR * n + 1e-9) * Q, 1) for n in range(SHORT, PIECE + 1))
+REACH = PIECE + int(ERROR * PIECE + 1e-9)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -64,7 +74,17 @@ def _hash(grams: np.ndarray, size: int) -> np.ndarray:
     return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-Section = tuple[int, int, int, bytes]  # item_id, bytes of the item, where the section begins in it, its bytes
+def crowded(at: np.ndarray, need: int, reach: int) -> np.ndarray:
+    """Of marks at places in order those that lie in a window of `reach` bytes with the number of marks that a match needs."""
+    dense = np.zeros(len(at), int)
+    if len(at) >= need:
+        first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < reach)
+        np.add.at(dense, first, 1)
+        np.add.at(dense, first[first + need < len(at)] + need, -1)
+    return np.cumsum(dense) > 0
+
+
+Section = tuple[object, int, int, bytes]  # item_id, bytes of the item, where the section begins in it, its bytes
 
 
 def sections(item_id: int, text: str | None, length: int = SECTION) -> list[Section]:
@@ -78,7 +98,8 @@ def sections(item_id: int, text: str | None, length: int = SECTION) -> list[Sect
 class Index:
     items: list[int]  # item_id of each section
     sizes: np.ndarray  # bytes of the item of each section
-    short: dict[bytes, list[tuple[int, tuple[bytes, ...]]]]  # by their first word, sections of short items and their words
+    short: dict[tuple[bytes, ...], list[int]]  # by their words, sections of short items
+    spans: dict[bytes, list[int]]  # by the first word, how many words such items have
     texts: list[bytes]  # distinct pieces
     owners: list[list[tuple[int, int]]]  # of each piece the sections that have it, and where in the item
     budget: np.ndarray  # k of each piece
@@ -92,14 +113,14 @@ class Index:
     @classmethod
     def build(cls, rows: list[Section]) -> Index:
         items, sizes, pieces = [], [], {}
-        short: dict[bytes, list[tuple[int, tuple[bytes, ...]]]] = {}
+        short: dict[tuple[bytes, ...], list[int]] = {}
         for item_id, size, begin, data in rows:
             k = len(items)
             if size < SHORT:
                 words = tuple(WORD.findall(data))
                 if not words:
                     continue
-                short.setdefault(words[0], []).append((k, words))
+                short.setdefault(words, []).append(k)
             else:
                 last = max(0, len(data) - PIECE)
                 for s in sorted({*range(0, last, STEP), last}):
@@ -117,15 +138,20 @@ class Index:
         grams, first = np.unique(flat[order], return_index=True)
         bitmap = np.zeros(1 << max(20, (16 * len(grams)).bit_length()), bool)  # a sixteenth full at most
         bitmap[_hash(grams, len(bitmap))] = True
-        return cls(items, np.array(sizes, int), short, texts, list(pieces.values()), budget, np.maximum(length - Q + 1 - budget * Q, 1), grams, np.append(first, len(flat)), piece[order], place[order], bitmap)
+        spans: dict[bytes, set[int]] = {}
+        for words in short:
+            spans.setdefault(words[0], set()).add(len(words))
+        return cls(items, np.array(sizes, int), short, {w: sorted(n) for w, n in spans.items()}, texts, list(pieces.values()), budget, np.maximum(length - Q + 1 - budget * Q, 1), grams, np.append(first, len(flat)), piece[order], place[order], bitmap)
 
     def whole(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
-        """The short items found, as hits() gives them."""
+        """The short items found, as hits() gives them: at each word one look for each number of words (20 at most) that items have which begin with it."""
         words, found = [(m[0], m.start(), m.end()) for m in WORD.finditer(data)], {}
+        plain = tuple(w for w, *_ in words)
         for at, (word, start, _) in enumerate(words):
-            for k, mine in self.short.get(word, ()):
-                if k not in found and tuple(w for w, *_ in words[at : at + len(mine)]) == mine:
-                    found[k] = (k, start, words[at + len(mine) - 1][2], 0, int(self.sizes[k]))
+            for n in self.spans.get(word, ()):
+                for k in self.short.get(plain[at : at + n], ()):
+                    if k not in found:
+                        found[k] = (k, start, words[at + n - 1][2], 0, int(self.sizes[k]))
         return [found[k] for k in sorted(found)]
 
     def hits(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
@@ -140,16 +166,7 @@ class Index:
         row = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         real = self.grams[row] == grams[at]
         at, row = at[real], row[real]
-        # every match lies in a window of PIECE + k bytes that has the least number of marks
-        need, reach = int(self.least.min()), PIECE + int(self.budget.max())
-        if len(at) < need:
-            return []
-        dense = np.zeros(len(at), int)
-        full = at[need - 1 :] - at[: len(at) - need + 1] < reach
-        first = np.flatnonzero(full)
-        np.add.at(dense, first, 1)
-        np.add.at(dense, first[first + need < len(at)] + need, -1)
-        keep = np.cumsum(dense) > 0
+        keep = crowded(at, int(self.least.min()), PIECE + int(self.budget.max()))
         at, row = at[keep], row[keep]
         if not len(at):
             return []
@@ -223,19 +240,84 @@ def align(piece: bytes, data: bytes, low: int, high: int, most: int) -> tuple[in
     return (int(start[k]), low + n + k, int(cost[k])) if cost[k] <= most else None
 
 
-def _blocks(items: DataFrame, block: int) -> list[DataFrame]:
+@dataclass
+class Sieve:
+    """Of a benchmark of any size, in bitmaps of a fixed size: which texts no block has to look at. It never refuses a text in which something is found."""
+
+    grams: np.ndarray  # where the q-grams of longer items fall
+    words: np.ndarray  # where the words of short items fall
+    spans: list[int]  # how many words short items have
+
+    @classmethod
+    def of(cls, parts: DataFrame) -> Sieve:
+        """parts: the sections of all items. Cells are marked by Spark; what comes to the driver has the size of the bitmaps."""
+
+        def cells(batches):
+            for batch in batches:
+                kind, cell = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+                for size, data in zip(batch.column("size").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    if size < SHORT:
+                        words = WORD.findall(data)
+                        mine = np.array([_word_cell(words)] if words else [], np.int64)
+                        kind.append(np.full(len(mine), len(words), np.int32))
+                    else:
+                        mine = np.unique(_hash(qgrams(data), CELLS))
+                        kind.append(np.zeros(len(mine), np.int32))
+                    cell.append(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind)), pa.array(np.concatenate(cell))], ["n_words", "cell"])
+
+        made = parts.select("size", "data").mapInArrow(cells, "n_words int, cell bigint")
+        at = F.col("cell") + 1
+        bits = made.groupBy((F.col("n_words") > 0).alias("short"), F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), F.collect_set("n_words").alias("spans"))
+        maps, spans = np.zeros((2, CELLS // 8), np.uint8), set()
+        for r in bits.toLocalIterator():
+            maps[int(r["short"]), (r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+            spans |= set(r["spans"]) - {0}
+        return cls(maps[0], maps[1], sorted(spans))
+
+    def maybe(self, data: bytes) -> bool:
+        at = _hash(qgrams(data), CELLS)
+        marked = np.flatnonzero(self.grams[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if crowded(marked, LEAST, REACH).any():
+            return True
+        words = WORD.findall(data) if self.spans else []
+        for n in self.spans:
+            for i in range(len(words) - n + 1):
+                c = _word_cell(words[i : i + n])
+                if self.words[c >> 3] >> (c & 7) & 1:
+                    return True
+        return False
+
+
+def _word_cell(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words)) % CELLS
+
+
+def _blocks(items: DataFrame, block: int) -> tuple[list[DataFrame], Sieve | None]:
     """The sections of the items, once each, dealt by hash."""
 
     def cut(batches):
         for batch in batches:
             rows = [x for i, t in zip(*(batch.column(c).to_pylist() for c in ("item_id", "text")), strict=True) for x in sections(i, t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["item_id", "size", "begin", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (batch.schema.field("item_id").type, pa.int64(), pa.int64(), pa.binary()), strict=True)], ["item_id", "size", "begin", "data"])
 
-    parts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "item_id bigint, size bigint, begin bigint, data binary").distinct()
+    kind = items.schema["item_id"].dataType.simpleString()
+    parts = items.select("item_id", "text").mapInArrow(cut, f"item_id {kind}, size bigint, begin bigint, data binary").distinct()
     parts = Scratch(items.sparkSession, "benchmark").put("sections", parts)
     total = parts.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
     blocks = int(total // block) + 1
-    return [parts.filter(F.pmod(F.xxhash64("item_id", "begin", "data"), F.lit(blocks)) == b) for b in range(blocks)]
+    sieve = parts.sparkSession.sparkContext.broadcast(Sieve.of(parts)) if blocks > 1 else None
+    return [parts.filter(F.pmod(F.xxhash64("item_id", "begin", "data"), F.lit(blocks)) == b) for b in range(blocks)], sieve
+
+
+def _sieved(docs: DataFrame, sieve: Broadcast, marked: bool) -> DataFrame:
+    """The rows that a block has to look at, or the others."""
+
+    def work(batches):
+        for batch in chunks(batches):
+            yield batch.filter(pa.array([sieve.value.maybe(normalised(t or "")) == marked for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def _index(part: DataFrame):
@@ -248,9 +330,13 @@ def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     tidy(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row bigint, item_id bigint, start bigint, end bigint, edits bigint, matched bigint, size bigint"
+    schema = f"doc_id {kind}, row bigint, item_id {items.schema['item_id'].dataType.simpleString()}, start bigint, end bigint, edits bigint, matched bigint, size bigint"
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     rows = docs.select("doc_id", text_of().alias("text"))
-    scratch, parts = Scratch(spark, "matches"), _blocks(items, block)
+    scratch, (parts, sieve) = Scratch(spark, "matches"), _blocks(items, block)
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    if sieve is not None:
+        rows = scratch.put("marked", _sieved(rows, sieve, True))
 
     for b, part in enumerate(parts):
         index = _index(part)
@@ -262,10 +348,10 @@ def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
                 for i, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                     out += [(i, row, tool.items[j], s, e, n, c, int(tool.sizes[j])) for j, s, e, n, c in tool.hits(normalised(text))]
                 columns = zip(*out, strict=True) if out else [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, *[pa.int64()] * 7), strict=True)], ["doc_id", "row", "item_id", "start", "end", "edits", "matched", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, pa.int64(), item_type, *[pa.int64()] * 5), strict=True)], ["doc_id", "row", "item_id", "start", "end", "edits", "matched", "size"])
 
         # rows of one id are told apart by their texts
-        found = scratch.put(f"found-{b}", rows.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(work, schema))
+        found = scratch.put(f"found-{b}", rows.mapInArrow(work, schema))
         index.destroy()
         every = every.unionByName(found) if b else found
     columns = ["doc_id", "item_id", "start", "end", "edits", (F.col("matched") / F.col("size")).alias("coverage")]
@@ -280,7 +366,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> Dat
     """The rows of docs in which no item is found, whole and unchanged."""
     spark = docs.sparkSession
     tidy(spark)
-    scratch, parts = Scratch(spark, "decontaminated"), _blocks(items, block)
+    scratch, (parts, sieve) = Scratch(spark, "decontaminated"), _blocks(items, block)
+    clean = None
+    if sieve is not None:
+        clean, docs = _sieved(docs, sieve, False), scratch.put("marked", _sieved(docs, sieve, True))
     for b, part in enumerate(parts):
         index = _index(part)
 
@@ -292,4 +381,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> Dat
         if b + 1 < len(parts):  # the last is written by who asked
             docs = scratch.put(f"left-{b}", docs)
             scratch.drop(f"left-{b - 1}")
-    return docs
+    return docs if clean is None else clean.unionByName(docs)

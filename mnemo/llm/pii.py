@@ -90,7 +90,7 @@ PROPOSE = {
 }
 #: Tests that are quick on a whole text and that every proposal of the kind passes; spans have any length.
 HINT = {
-    "email": re.compile(r"@|\(at\)|\[at\]| at [^\n]{1,64}?(?:\.|dot)"),
+    "email": re.compile(r"@|\(at\)|\[at\]| at [\w-]{1,63}+(?:\.| ?(?:\(dot\)|\[dot\])| dot )"),
     "phone": re.compile(r"[0-9]{2,4}[ .)-]"),
     "card": re.compile(r"[0-9]{4}"),
     "ip": re.compile(r"[0-9A-Fa-f]:"),

@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = _fingerprints(part.column("text").to_pylist(), width).view("<i8")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def _rotate(value: Column, by: int) -> Column:

@@ -210,24 +210,23 @@ def _langs(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, net: Convolutional) -> DataFrame:
-    """doc_id, held_out, lang, score for every row."""
+    """doc_id, held_out, lang, body (a hash of the text), score for every row."""
     tidy(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample's vocabulary
 
     def work(batches):
         for part in chunks(batches):
             s = held.value.scores(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "lang")), pa.array(s, pa.float64())], ["doc_id", "held_out", "lang", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "lang", "body")), pa.array(s, pa.float64())], ["doc_id", "held_out", "lang", "body", "score"])
 
-    rows = _langs(docs).select("doc_id", held_out().alias("held_out"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, score double")
+    rows = _langs(docs).select("doc_id", held_out().alias("held_out"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("body"), text_of().alias("text"))
+    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, body bigint, score double")
 
 
 def calibrated(net: Convolutional, fitted: list, scores: DataFrame, labels: DataFrame) -> Convolutional:
-    """With thresholds from the scores (written) of all labelled rows outside the held-out fold, but for the ids the weights were fitted to."""
-    spark, kind = scores.sparkSession, scores.schema["doc_id"].dataType.simpleString()
-    used = spark.createDataFrame([(i,) for i in fitted], f"doc_id {kind}")  # bounded as the sample is
-    rows = scores.filter("doc_id IS NOT NULL AND NOT held_out").join(known(labels, "toxic"), "doc_id").join(F.broadcast(used), "doc_id", "left_anti")
+    """With thresholds from the scores (written) of all labelled rows outside the held-out fold, but for copies of the texts (by hash) that the weights were fitted to."""
+    used = scores.sparkSession.createDataFrame([(int(h),) for h in fitted], "body bigint")  # bounded as the sample is
+    rows = scores.filter("doc_id IS NOT NULL AND NOT held_out").join(known(labels, "toxic"), "doc_id").join(F.broadcast(used), "body", "left_anti")
     bins = rows.groupBy("lang", (1 - F.col("y")).alias("row"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
     counts: dict[str | None, np.ndarray] = {}
     for r in bins.filter("row IN (0, 1)").collect():  # a row for each bin and language
@@ -241,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Convolu
     rows = labelled_sample(docs, labels, "toxic", most)
     net = train(rows.text.tolist(), rows.y.to_numpy())
     scores = Scratch(docs.sparkSession, "toxicity").put("scores", scored(docs, net))
-    return calibrated(net, rows.doc_id[~net.aside[: len(rows)]].tolist() if len(net.aside) else rows.doc_id.tolist(), scores, labels), scores
+    return calibrated(net, rows.hash[~net.aside[: len(rows)]].tolist() if len(net.aside) else rows.hash.tolist(), scores, labels), scores
 
 
 def verdicts(scores: DataFrame, net: Convolutional) -> DataFrame:

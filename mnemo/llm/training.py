@@ -23,9 +23,18 @@ def known(labels: DataFrame, label: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
+def _fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which of them are taken in turn, each that still fits."""
+    taken, left = [], most
+    for n in sizes:
+        taken.append(n <= left)
+        left -= n if n <= left else 0
+    return taken
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """doc_id, text, y of at most `most` labelled ids outside the held-out fold, in order of their hash as long as their texts together have at most
-    `most_bytes`; one row an id, equal texts once."""
+    """doc_id, text, y, hash (of the text) of at most `most` labelled ids outside the held-out fold, in order of their hash; a text that would bring them over
+    `most_bytes` together is passed over, and the next one is tried. One row an id, equal texts once. If labels have texts and none fits, that is an error."""
     order = F.xxhash64("doc_id"), F.col("doc_id")
     # bounded by the limit, so the sample's ids can be broadcast whatever the size of the tables
     chosen = known(labels, label).orderBy(*order).limit(most)
@@ -33,11 +42,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     # of an id's texts the one that hashes lowest
     one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))).alias("x")).select("doc_id", "y", "x.*")
     sizes = one.orderBy(*order).toPandas()
-    sizes = sizes[sizes["size"].cumsum() <= most_bytes]
     if not len(sizes):
-        return pd.DataFrame({"doc_id": sizes.doc_id, "text": pd.Series(dtype=object), "y": sizes.y})
+        return pd.DataFrame({"doc_id": sizes.doc_id, "text": pd.Series(dtype=object), "y": sizes.y, "hash": sizes.hash})
+    sizes = sizes[_fitting(sizes["size"].tolist(), most_bytes)]
+    if not len(sizes):
+        raise ValueError(f"every labelled text has more than {most_bytes} bytes")
     mine = docs.sparkSession.createDataFrame(sizes[["doc_id", "y", "hash"]], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, hash bigint")
-    found = rows.drop("y").withColumn("hash", F.xxhash64("text")).join(F.broadcast(mine), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "text", "y")
+    found = rows.drop("y").withColumn("hash", F.xxhash64("text")).join(F.broadcast(mine), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "text", "y", "hash")
     # a text that many rows copy would pass for evidence on each of its words
     return found.toPandas().sort_values("doc_id").drop_duplicates("text", ignore_index=True)
 

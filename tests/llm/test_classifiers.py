@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from mnemo.llm import quality, toxicity
+from mnemo.llm import quality, toxicity, training
 from mnemo.llm.boosting import Boosted
 from mnemo.llm.training import auc, best_threshold, held_out, labelled_sample, platt
 
@@ -133,3 +133,33 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = Boosted.fit(x[:600], y[:600])
     assert ((model.scores(x[600:]) > 0.5) == y[600:]).mean() > 0.95
+
+
+def _labelled(spark, texts):
+    """Rows outside the held-out fold, in the order in which the sample takes them."""
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(400).filter(~training.held_out("id")).orderBy(F.xxhash64("id"), "id").limit(len(texts)).collect()]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    return ids, docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+
+
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    ids, docs, labels = _labelled(spark, ["x" * 5000] + [f"text {i}" for i in range(20)] + ["y" * 900, "z"])
+    got = training.labelled_sample(docs, labels, "toxic", most_bytes=500)
+    assert sorted(got.doc_id) == sorted(ids[1:21] + ids[22:])
+    with pytest.raises(ValueError, match="more than"):
+        training.labelled_sample(docs, labels, "toxic", most_bytes=0)
+    assert len(training.labelled_sample(docs, labels.filter("false"), "toxic", most_bytes=0)) == 0
+
+
+def test_copies_of_fitted_texts_set_no_threshold(spark):
+    ids, docs, labels = _labelled(spark, [f"text {i % 10}" for i in range(40)])
+    fitted = training.labelled_sample(docs, labels, "toxic", most=12)
+    net = toxicity.train(fitted.text.tolist(), fitted.y.to_numpy())
+    scores = toxicity.scored(docs, net).cache()
+    toxicity.calibrated(net, fitted.hash.tolist(), scores, labels)
+    # every text has a copy among the fitted ones
+    assert set(fitted.text) == {f"text {i}" for i in range(10)} and net.thresholds == {} and net.common == 0.5
+    toxicity.calibrated(net, fitted.hash.tolist()[:5], scores, labels)
+    assert net.thresholds

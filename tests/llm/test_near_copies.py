@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from mnemo.llm import near_copies, simhash
 
 from .conftest import SF, texts
 
@@ -63,3 +65,29 @@ def test_an_id_of_two_texts_stays_if_one_is_no_copy(spark):
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(1, long), (5, long + " end"), (5, "quite another text of words"), (7, long + " close")]
     assert sorted(texts(stage(spark.createDataFrame(rows, "doc_id bigint, text string")))) == sorted(rows[:3])
+
+
+def test_texts_that_share_a_line_do_not_meet_in_it(spark, monkeypatch):
+    """Twice the texts with one line in common give about twice the rows that meet in a key, not four times."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 40)
+    line = " ".join(f"common{i}" for i in range(30))
+
+    def met(n):
+        rng = random.Random(n)
+        # every twentieth text has the line, and is like none of the others
+        rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) + (" " + line if i % 20 == 0 else "")) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        keys = near_copies.prefixes(docs, near_copies.frequent(docs)).select(F.explode("keys").alias("key")).groupBy("key").count()
+        return keys.filter("count > 1").agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0], docs
+
+    some, _ = met(4000)
+    more, docs = met(8000)
+    assert more <= 2 * some + 1000 and more < 10_000  # 160,000 and more by key if the line's shingles were keys
+    assert near_copies.near_dedup(docs).count() == 8000
+
+
+def test_ids_may_be_text(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([("a", long), ("b", long + " end"), ("c", "other")], "doc_id string, text string")
+    assert sorted(r.doc_id for r in near_copies.near_dedup(docs).collect()) == ["a", "c"]
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} >= {("c", "c")}

@@ -256,3 +256,42 @@ def test_benchmark_passages_of_the_sample(spark, sample):
     norm = [(r.item_id, decontamination.normalised(r.text)) for r in items.collect()]
     want = {(i, j) for i, t in texts(sample) for j, b in norm if b in decontamination.normalised(t)}
     assert {(r.doc_id, r.item_id) for r in decontamination.matches(sample, items).collect()} >= want
+
+
+def test_the_email_gate_passes_every_proposal():
+    rng = random.Random(6)
+    for n in (1, 40, 61, 62, 63):
+        for dot in (".", " (dot) ", "(dot)", " [dot]", " dot "):
+            text = f"bob at {'h' * n}{dot}com"
+            assert [m for p in pii.PROPOSE["email"] for m in p.finditer(text)] and pii.HINT["email"].search(text), text
+    parts = ["bob", " at ", "@", "(at)", " ", "host", ".", " dot ", "(dot)", "[dot]", "com", "x" * 63, "\n"]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randrange(3, 9)))
+        if any(p.search(text) for p in pii.PROPOSE["email"]):
+            assert pii.HINT["email"].search(text), text
+
+
+def test_items_may_have_text_ids(spark):
+    docs = spark.createDataFrame([("d1", "see the quick brown fox here"), ("d2", "nothing")], "doc_id string, text string")
+    items = spark.createDataFrame([("i-1", "quick brown fox")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()] == [("d1", "i-1")]
+    assert [r.doc_id for r in decontamination.decontaminated(docs, items).collect()] == ["d2"]
+
+
+def test_short_items_with_one_first_word_are_looked_up_by_their_words():
+    index = decontamination.Index.build([(i, 20, 0, f"the {i} of".encode()) for i in range(3000)])
+    assert index.spans == {b"the": [3]} and len(index.short) == 3000
+    assert [k for k, *_ in index.whole(b"at the 7 of the 7 of the 9 x")] == [7]
+
+
+def test_blocks_look_at_marked_texts_only(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 9)))
+    items = [(i, " ".join(word() for _ in range(60))) for i in range(20)] + [(100 + i, f"{word()} {word()} {word()}") for i in range(10)]
+    docs = [(i, " ".join(word() for _ in range(80)) + (" " + items[i][1][20:200] if i < 10 else "") + (" " + items[20 + i % 10][1] if 10 <= i < 15 else "")) for i in range(200)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = ({tuple(r) for r in decontamination.matches(d, b, block=n).collect()} for n in (10**6, 800))
+    assert one == many and {r[0] for r in one} == set(range(15))
+    assert {r.doc_id for r in decontamination.decontaminated(d, b, block=800).collect()} == set(range(15, 200))
+    parts, sieve = decontamination._blocks(b, 800)
+    assert len(parts) > 5 and decontamination._sieved(d, sieve, True).count() == 15
