@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions import identity
-from mnemo.operators import reads, recall
+from mnemo.operators import ordered, reads, recall
 from mnemo.operators.predicates import ExactScope, Scope
 
 SCOPE = ("memory_space_id", "namespace", "scope_kind", "scope_ref")
@@ -73,6 +73,22 @@ def evidence(turns: DataFrame, memories: DataFrame, sessions: DataFrame) -> Data
     return by_turns.select(*key, "text", "source").unionByName(second).unionByName(third)
 
 
+def evidence_lines(turns: DataFrame, memories: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The same evidence as rows: memory_space_id, session_id, source, position, start, line. A session's turns, and a scope's memories, of any number."""
+    key = ["memory_space_id", "session_id"]
+    told = ordered.numbered(turns.select(*key, "turn_index", turn_line().alias("line")), key, ["turn_index"], F.length("line") + 1)
+    by_turns = told.select(*key, F.lit("turns").alias("source"), "position", "start", "line")
+    aged = memories.withColumn("_age", -F.unix_micros("created_at")).withColumn("line", memory_line())
+    own = ordered.numbered(aged.filter("session_id IS NOT NULL").select(*key, "_age", "memory_id", "line"), key, ["_age", "memory_id"], F.length("line") + 1)
+    left = sessions.select(*key, "namespace", "scope_kind", "scope_ref").join(turns.select(*key).distinct(), key, "left_anti")
+    second = own.join(left.select(*key), key, "left_semi").select(*key, F.lit("session memories").alias("source"), "position", "start", "line")
+    rest = left.join(memories.select(*key).distinct(), key, "left_anti").alias("r")
+    scoped = aged.filter("status = 'active'").select(*SCOPE, "priority", "_age", "memory_id", "line")
+    scopes = ordered.numbered(scoped, list(SCOPE), ["priority", "_age", "memory_id"], F.length("line") + 1).alias("s")
+    third = rest.join(scopes, _same_scope("r", "s")).select(*[F.col(f"r.{c}") for c in key], F.lit("scope memories").alias("source"), "position", "start", "line")
+    return by_turns.unionByName(second).unionByName(third)
+
+
 def validate_atoms(atoms: DataFrame) -> DataFrame:
     """extraction_id, content, atom_type, priority, confidence: normalised, with error; one bad atom makes its whole extraction fail."""
     strip = lambda c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
@@ -90,6 +106,12 @@ def decision_problem(action: Column, targets: Column) -> Column:
     return F.when(acts & (F.size(targets) == 0), F.concat(action, F.lit(" requires at least one target"))).when(acts & bad, "a target is no id")
 
 
+def canonical_decision(decisions: DataFrame) -> DataFrame:
+    """decisions: action, targets. Adds `problem`; what stores or skips names no target, so stray ones are cleared."""
+    kept = F.when(F.col("action").isin("store", "skip"), F.array().cast("array<string>")).otherwise(F.col("targets"))
+    return decisions.withColumn("targets", kept).withColumn("problem", decision_problem(F.col("action"), F.col("targets")))
+
+
 def scan_candidates(memories: DataFrame, space: str, scope: Scope, n: int) -> DataFrame:
     """Merge candidates: the first n active memories of the scope, in the order of reads."""
     return reads.active_by_scope(memories, space, scope).limit(max(0, n))
@@ -103,8 +125,9 @@ def recall_candidates(memories: DataFrame, space: str, scope: Scope, atom: str,
 
 
 def apply_decisions(decisions: DataFrame, memories: DataFrame) -> DataFrame:
-    """decisions: decision_id, memory_space_id, own_id, action, targets. Adds applied (skip, store, merge), live_targets and note: without any target it is stored; a target that is the
-    atom itself goes, with no other left it is skipped; a winner that is there and not active is skipped; missing targets go, with none left it is stored."""
+    """decisions: decision_id, memory_space_id, own_id, action, targets. Adds applied (skip, store, merge), live_targets (of a merge alone) and note: a target that is
+    the atom itself goes, with no other left it is skipped; a winner that is there and not active is skipped, whatever its targets; missing targets go, and
+    with none left, or none given, it is stored."""
     state = memories.select("memory_space_id", F.col("memory_id").alias("own_id"), F.col("status").alias("own_status"))
     others = F.filter("targets", lambda t: t != F.col("own_id"))
     rows = decisions.withColumn("others", F.array_distinct(others)).join(state, ["memory_space_id", "own_id"], "left")
@@ -112,60 +135,93 @@ def apply_decisions(decisions: DataFrame, memories: DataFrame) -> DataFrame:
     live = hit.groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "memory_id"))), lambda x: x["memory_id"]).alias("live_targets"))
     rows = rows.join(live, "decision_id", "left").withColumn("live_targets", F.coalesce("live_targets", F.array().cast("array<string>")))
     merging, inactive = F.col("action").isin("update", "merge"), F.coalesce(F.col("own_status") != "active", F.lit(False))
+    only_self = (F.size("targets") > 0) & (F.size("others") == 0)
     applied = (
         F.when(F.col("action") == "skip", "skip")
         .when(F.col("action") == "store", "store")
-        .when(merging & (F.size("targets") == 0), "store")
-        .when(merging & (F.size("others") == 0), "skip")
+        .when(merging & only_self, "skip")
         .when(merging & inactive, "skip")
         .when(merging & (F.size("live_targets") == 0), "store")
         .otherwise("merge")
     )
-    note = F.when(merging & (F.size("targets") == 0), "no target given").when(merging & (F.size("others") == 0), "only target is itself").when(merging & inactive, "winner is not active").when(merging & (F.size("live_targets") == 0), "no target exists").when(merging & (F.size("live_targets") < F.size("others")), "some targets don't exist")
-    return rows.withColumns({"applied": applied, "note": note}).drop("others", "own_status")
+    note = (
+        F.when(merging & only_self, "only target is itself")
+        .when(merging & inactive, "winner is not active")
+        .when(merging & (F.size("targets") == 0), "no target given")
+        .when(merging & (F.size("live_targets") == 0), "no target exists")
+        .when(merging & (F.size("live_targets") < F.size("others")), "some targets don't exist")
+    )
+    rows = rows.withColumns({"applied": applied, "note": note})
+    none = F.array().cast("array<string>")
+    return rows.withColumn("live_targets", F.when(F.col("applied") == "merge", F.col("live_targets")).otherwise(none)).drop("others", "own_status")
 
 
 def summary(applied: DataFrame) -> DataFrame:
     return applied.groupBy("session_id").agg(F.count("*").alias("extracted"), *[F.count_if(F.col("applied") == a).alias(n) for a, n in (("store", "stored"), ("merge", "merged"), ("skip", "skipped"))])
 
 
-def source_hash(items: Column) -> Column:
-    """Of an ordered array of structs, in this engine's own canonical JSON."""
-    return F.concat(F.lit("v1:"), F.sha2(F.to_json(items), 256))
+def scene_lines(memories: DataFrame) -> DataFrame:
+    """A row for each active memory of a scope: position, start (characters before it in the rendering), memory_id, line, leaf (its part of the source hash)."""
+    rows = memories.filter("status = 'active'").withColumn("_age", -F.unix_micros("created_at"))
+    leaves = ordered.leaf(F.col("memory_id"), F.col("content"), F.col("priority"), F.col("confidence"), F.unix_micros("created_at"))
+    slim = rows.select(*SCOPE, "priority", "_age", "memory_id", atom_line().alias("line"), leaves.alias("leaf"))
+    return ordered.numbered(slim, list(SCOPE), ["priority", "_age", "memory_id"], F.length("line") + 1).drop("priority", "_age")
 
 
-def _ordered(fields: list[str], order: list[str]) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("_x")))), lambda x: x["_x"])
+def persona_lines(scenes: DataFrame) -> DataFrame:
+    """A row for each scene of a scope, as scene_lines."""
+    leaves = ordered.leaf(F.col("scene_id"), F.col("body_md"), F.unix_micros("updated_at"))
+    slim = scenes.select(*SCOPE, "scene_key", "scene_id", scene_text(F.col("title"), F.col("body_md")).alias("line"), leaves.alias("leaf"))
+    return ordered.numbered(slim, list(SCOPE), ["scene_key", "scene_id"], F.length("line") + 2).drop("scene_key")
 
 
-def scene_sources(memories: DataFrame) -> DataFrame:
-    """Per scope of active memories: atom_ids in order, their rendering and hash."""
-    rows = memories.filter("status = 'active'").withColumn("_age", -F.unix_micros("created_at")).withColumn("_at", F.unix_micros("created_at"))
-    order = ["priority", "_age", "memory_id"]
-    items = _ordered(["memory_id", "content", "priority", "confidence", F.col("_at").alias("created_at")], order)
-    return rows.groupBy(*SCOPE).agg(source_hash(items).alias("hash"), F.transform(items, lambda x: x["memory_id"]).alias("atom_ids"), joined(atom_line(), order, "\n").alias("text"))
+def source_hashes(lines: DataFrame) -> DataFrame:
+    """SCOPE, n, hash."""
+    return ordered.digest(lines, list(SCOPE), F.col("leaf"))
 
 
-def _actions(sources: DataFrame, stored: DataFrame) -> DataFrame:
-    s, t = sources.alias("s"), stored.select(*SCOPE, F.col("source_hash").alias("stored_hash")).alias("t")
-    both = s.join(t, [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in SCOPE], "full")
-    action = F.when(F.col("s.hash").isNull(), "delete").when(F.col("s.hash").eqNullSafe(F.col("t.stored_hash")), "keep").otherwise("regenerate")
-    return both.select(*[F.coalesce(f"s.{c}", f"t.{c}").alias(c) for c in SCOPE], action.alias("action"), *[F.col(f"s.{c}") for c in sources.columns if c not in SCOPE])
+def _same_scope(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in SCOPE]
 
 
-def scene_actions(memories: DataFrame, scenes: DataFrame) -> DataFrame:
-    """delete where no active memory is left, keep where the hash is the same, else regenerate (one model call)."""
-    return _actions(scene_sources(memories), scenes)
+def _rendered(lines: DataFrame, sep: str, ids: str | None) -> DataFrame:
+    """SCOPE, text and, of scenes, atom_ids: one cell a scope, as the model reads it."""
+    return ordered.assembled(lines, list(SCOPE), sep, F.col("line"), **({"atom_ids": F.col(ids)} if ids else {}))
+
+
+def _with_text(hashes: DataFrame, lines: DataFrame, sep: str, ids: str | None = None) -> DataFrame:
+    whole = _rendered(lines, sep, ids)
+    return hashes.alias("h").join(whole.alias("w"), _same_scope("h", "w"), "left").select("h.*", *[F.col(f"w.{c}") for c in whole.columns if c not in SCOPE])
+
+
+def scene_sources(memories: DataFrame) -> DataFrame:
+    """Per scope of active memories: hash, atom_ids in order, their rendering. For scopes of any size use scene_lines and source_hashes."""
+    lines = scene_lines(memories)
+    return _with_text(source_hashes(lines), lines, "\n", "memory_id").select(*SCOPE, "hash", "atom_ids", "text")
 
 
 def persona_sources(scenes: DataFrame) -> DataFrame:
-    order = ["scene_key", "scene_id"]
-    rows = scenes.withColumn("_at", F.unix_micros("updated_at"))
-    return rows.groupBy(*SCOPE).agg(source_hash(_ordered(["scene_id", "body_md", F.col("_at").alias("updated_at")], order)).alias("hash"), F.count("*").cast("int").alias("scene_count"), joined(scene_text(F.col("title"), F.col("body_md")), order, "\n\n").alias("text"))
+    lines = persona_lines(scenes)
+    return _with_text(source_hashes(lines), lines, "\n\n").select(*SCOPE, "hash", F.col("n").cast("int").alias("scene_count"), "text")
+
+
+def _actions(lines: DataFrame, stored: DataFrame, sep: str, ids: str | None = None) -> DataFrame:
+    """Hashes decide; only what is to be regenerated is rendered."""
+    t = stored.select(*SCOPE, F.col("source_hash").alias("stored_hash")).alias("t")
+    both = source_hashes(lines).alias("s").join(t, _same_scope("s", "t"), "full")
+    action = F.when(F.col("s.hash").isNull(), "delete").when(F.col("s.hash").eqNullSafe(F.col("t.stored_hash")), "keep").otherwise("regenerate")
+    told = both.select(*[F.coalesce(f"s.{c}", f"t.{c}").alias(c) for c in SCOPE], action.alias("action"), F.col("s.hash").alias("hash"), F.col("s.n").alias("n"))
+    todo = told.filter("action = 'regenerate'").select(*SCOPE).alias("todo")
+    return _with_text(told, lines.alias("lines").join(todo, _same_scope("lines", "todo"), "left_semi"), sep, ids)
+
+
+def scene_actions(memories: DataFrame, scenes: DataFrame) -> DataFrame:
+    """delete where no active memory is left, keep where the hash is the same, else regenerate (one model call, of text and atom_ids)."""
+    return _actions(scene_lines(memories), scenes, "\n", "memory_id").drop("n")
 
 
 def persona_actions(scenes: DataFrame, personas: DataFrame) -> DataFrame:
-    return _actions(persona_sources(scenes), personas)
+    return _actions(persona_lines(scenes), personas, "\n\n").withColumn("scene_count", F.col("n").cast("int")).drop("n")
 
 
 def regenerate(actions: DataFrame, model: Callable[[str], str], column: str = "body_md") -> DataFrame:
@@ -223,12 +279,12 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
         action, note = choice["action"], None
         told = action
         if action in ("update", "merge"):
-            if not choice.get("targets"):
-                action, note = "store", "no target given"
-            elif not wanted:
+            if choice.get("targets") and not wanted:
                 action, note = "skip", "only target is itself"
             elif own in rows and rows[own]["status"] != "active":
                 action, note = "skip", "winner is not active"
+            elif not wanted:
+                action, note = "store", "no target given"
             elif not live:
                 action, note = "store", "no target exists"
             else:
@@ -242,5 +298,5 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
                 rows[t]["status"] = "merged"
                 done.merged.append({"memory_id": t, "merged_into": own})
         rationale = choice.get("rationale", "") + (f" [{note}]" if note else "")
-        done.audit.append({"candidate_content": content, "decision": told if action == "merge" else action, "targets": live, "rationale": rationale})
+        done.audit.append({"candidate_content": content, "decision": told if action == "merge" else action, "targets": live if action == "merge" else [], "rationale": rationale})
     return done

@@ -18,6 +18,7 @@ from mnemo.functions import scoring, text, vectors
 from mnemo.operators.predicates import Scope, Target, candidates, legacy_target
 from mnemo.operators.reads import RECORD_COLUMNS
 from mnemo.plans.recall_plan import RecallPlan, capability, plan_recall, result_limit
+from mnemo.sources.postings import FullTextIndex
 
 
 def _top(rows: DataFrame, order: list[Column], rank: str, pool: int) -> DataFrame:
@@ -26,9 +27,10 @@ def _top(rows: DataFrame, order: list[Column], rank: str, pool: int) -> DataFram
 
 
 def fts_candidates(memories: DataFrame, space: str, target: Target, query: str | None, pool: int = scoring.POOL) -> DataFrame:
-    """memory_id, fts_rank, fts_score."""
-    rows = candidates(memories, space, target).select("memory_id", "created_at", text.tokens(F.col("content")).alias("toks"))
-    scored = rows.filter(text.matches(F.col("toks"), query)).select("memory_id", "created_at", text.score(F.col("toks"), query).alias("fts_score"))
+    """memory_id, fts_rank, fts_score, from the texts themselves; sources.postings answers the same from an index."""
+    clauses = text.parse(query)
+    rows = text.located(candidates(memories, space, target).select("memory_id", "created_at", "content"), text.lexemes(clauses))
+    scored = rows.filter(text.matches(F.col("at"), clauses)).select("memory_id", "created_at", text.rank(F.col("at"), clauses).alias("fts_score"))
     return _top(scored, [F.desc("fts_score"), F.desc("created_at"), F.asc("memory_id")], "fts_rank", pool).select("memory_id", "fts_rank", "fts_score")
 
 
@@ -85,16 +87,21 @@ def apply_budgets(hits: DataFrame, per_memory: int = scoring.PER_MEMORY, total:
     return cut.withColumn("_sum", F.sum(F.length("content")).over(upto)).filter(F.col("_sum") <= total).drop("_sum")
 
 
-def execute(memories: DataFrame, space: str, target: Target, query: str | None, vector: list[float] | None, plan: RecallPlan, now: datetime, limit: int = scoring.LIMIT, per_memory: int = scoring.PER_MEMORY, total: int = scoring.TOTAL) -> DataFrame:
-    fts = fts_candidates(memories, space, target, query) if plan.keyword else None
+def execute(
+    memories: DataFrame, space: str, target: Target, query: str | None, vector: list[float] | None, plan: RecallPlan, now: datetime, limit: int = scoring.LIMIT, per_memory: int = scoring.PER_MEMORY, total: int = scoring.TOTAL,
+    index: FullTextIndex | None = None,
+) -> DataFrame:
+    """index: where the keyword channel looks, if there is one; without, it splits the candidates' texts."""
+    keyword = (lambda: index.search(space, target, query)) if index is not None else (lambda: fts_candidates(memories, space, target, query))
+    fts = keyword() if plan.keyword else None
     vec = vec_candidates(memories, space, target, vector) if plan.vector and vector is not None else None
     if fts is None and vec is None:
-        fts = fts_candidates(memories, space, target, query)
+        fts = keyword()
     best = fuse(fts, vec, memories, space, now).limit(limit)
     return apply_budgets(best, per_memory, total)
 
 
-def recall(memories: DataFrame, space: str, target: Target, query: str, now: datetime, strategy: str = "hybrid", limit: int = scoring.LIMIT, embed: Callable[[str], list[float]] | None = None, dimensions: int | None = None) -> DataFrame:
+def recall(memories: DataFrame, space: str, target: Target, query: str, now: datetime, strategy: str = "hybrid", limit: int = scoring.LIMIT, embed: Callable[[str], list[float]] | None = None, dimensions: int | None = None, index: FullTextIndex | None = None) -> DataFrame:
     """Hits with fts_rank, vec_rank and score. A missing vector capability or a failing embedder leaves the keyword channel."""
     plan, vector = plan_recall(capability(memories, dimensions), strategy), None
     if plan.embed and embed is not None:
@@ -104,7 +111,7 @@ def recall(memories: DataFrame, space: str, target: Target, query: str, now: dat
             plan = RecallPlan(keyword=True, vector=False, embed=False)
     elif plan.embed:
         plan = RecallPlan(keyword=True, vector=False, embed=False)
-    return execute(memories, space, target, query, vector, plan, now, result_limit(limit))
+    return execute(memories, space, target, query, vector, plan, now, result_limit(limit), index=index)
 
 
 def legacy_recall(memories: DataFrame, own_space: str, space: str, scope: Scope, query: str, now: datetime, limit: int, **more) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemo.sources import shared
+
 
 def first_difference(pairs: dict[str, tuple[Column, Column]]) -> Column:
     """Name of the first field that differs (nulls equal); null if none. Fields that hold call times are not for comparison."""
@@ -99,26 +105,185 @@ SESSION_MOVES = {
 }
 
 
+#: Where a run of commands leads: state, awaited key, and the greatest index of a turn in running state (-1: none).
+Outcome = tuple[str, str | None, int]
+ENDS = {"complete": ("completed", None, -1), "fail": ("failed", None, -1)}
+PIECE = "session_id string, piece int, told string"
+
+
+def summarised(commands: list[tuple]) -> dict:
+    """What a run of commands (command, turn_index, key, force) makes of any state before it. Its length bounds it: a running session has one outcome but for
+    the last turn, an awaiting one has an outcome for each key that a resume names before the first command that ends the wait anyway."""
+    n = len(commands)
+    running: list[Outcome] = [("running", None, -1)] * (n + 1)
+    exits: dict[str | None, int] = {}
+    anyway = n
+
+    def awaiting(key: str | None) -> Outcome:
+        at = min(exits.get(key, n), anyway)
+        return ("awaiting", key, -1) if at == n else ENDS.get(commands[at][0]) or running[at + 1]
+
+    for i in range(n - 1, -1, -1):
+        command, turn, key, force = commands[i]
+        after = running[i + 1]
+        if command == "turn" and turn is not None:
+            after = (*after[:2], max(after[2], turn))
+        elif command == "await":
+            after = awaiting(key)
+        elif command in ENDS:
+            after = ENDS[command]
+        running[i] = after
+        if command in ENDS or command == "resume" and force:
+            anyway = i
+        elif command == "resume":
+            exits[key] = i
+    begun = next((i for i, c in enumerate(commands) if c[0] in ("start", "interactive")), n)
+    none = ("none", None, -1) if begun == n else ("interactive", None, -1) if commands[begun][0] == "interactive" else running[begun + 1]
+    keys = [(k, awaiting(k)) for k, at in exits.items() if at < anyway]
+    return {"none": none, "running": running[0], "keys": keys, "else": None if anyway == n else ENDS.get(commands[anyway][0]) or running[anyway + 1]}
+
+
+def led(state: Outcome, told: dict) -> Outcome:
+    """The state after a run of commands; its third part is the last turn."""
+    name, key, last = state
+    if name == "none":
+        return tuple(told["none"])
+    if name == "running":
+        name, key, top = told["running"]
+    elif name == "awaiting":
+        found = next((o for k, o in told["keys"] if k == key), told["else"])
+        if found is None:
+            return state
+        name, key, top = found
+    else:
+        return state
+    return name, key, max(last, top)
+
+
+def _commands(pdf) -> Iterator[tuple]:
+    for c in pdf[["session_id", "seq", "command", "turn_index", "key", "force"]].astype(object).itertuples(index=False):
+        yield c.session_id, int(c.seq), c.command, None if c.turn_index is None or c.turn_index != c.turn_index else int(c.turn_index), c.key, c.force is True
+
+
 def replay_sessions(commands: DataFrame) -> DataFrame:
-    """commands: session_id, seq, command, turn_index, key, force. Adds accepted and state. Exact replay needs the state between commands, so
-    each session is one group; sessions are bounded by their number of commands."""
-
-    def work(pdf):
-        pdf = pdf.sort_values("seq")
-        state, key, last, out = "none", None, -1, []
-        for c in pdf.itertuples():
-            new = SESSION_MOVES.get((state, c.command))
-            if c.command == "turn" and not (c.turn_index is not None and c.turn_index > last):
-                new = None
-            if c.command == "resume" and not (c.force or c.key == key):
-                new = None
-            if new is not None:
-                state = new
-                last = int(c.turn_index) if c.command == "turn" else last
-                key = c.key if c.command == "await" else None if c.command == "resume" else key
-            out.append((c.session_id, int(c.seq), c.command, new is not None, state))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["session_id", "seq", "command", "accepted", "state"])
-
-    return commands.groupBy("session_id").applyInPandas(work, "session_id string, seq int, command string, accepted boolean, state string")
+    """commands: session_id, seq, command, turn_index, key, force. Adds accepted and state, as a loop over each session's commands in order gives them.
+
+    Sessions are ranged by their order over tasks, so one with a third of all commands is many pieces. Each piece is summarised as a function of the state
+    before it; a session's summaries (one a task at most) are applied in turn, which gives every piece its state, and then all pieces are replayed at once."""
+    spark = commands.sparkSession
+    path = shared.folder(spark, "pieces")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = commands.select("session_id", F.col("seq").cast("int").alias("seq"), "command", F.col("turn_index").cast("long").alias("turn_index"), "key", "force")
+    slim.repartitionByRange(parts, "session_id", "seq").withColumn("piece", F.spark_partition_id()).write.parquet(path)
+    told = spark.read.parquet(path)
+
+    def summarise(batches):
+        held, now = [], None
+        for pdf in batches:
+            for piece, c in zip(pdf["piece"], _commands(pdf), strict=True):
+                if (c[0], piece) != now:
+                    if now is not None:
+                        yield pd.DataFrame([(*now, json.dumps(summarised(held)))], columns=["session_id", "piece", "told"])
+                    held, now = [], (c[0], piece)
+                held.append(c[2:])
+        if now is not None:
+            yield pd.DataFrame([(*now, json.dumps(summarised(held)))], columns=["session_id", "piece", "told"])
+
+    def fold(batches):
+        session, state = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.session_id != session:
+                    session, state = r.session_id, ("none", None, -1)
+                out.append((session, r.piece, *state))
+                state = led(state, json.loads(r.told))
+            yield pd.DataFrame(out, columns=["session_id", "piece", "_state", "_key", "_last"])
+
+    def replay(batches):
+        now, state, key, last = None, None, None, -1
+        for pdf in batches:
+            out = []
+            for piece, before, c in zip(pdf["piece"], pdf[["_state", "_key", "_last"]].astype(object).itertuples(index=False), _commands(pdf), strict=True):
+                session, seq, command, turn, own, force = c
+                if (session, piece) != now:
+                    now, (state, key, last) = (session, piece), before
+                new = SESSION_MOVES.get((state, command))
+                if command == "turn" and not (turn is not None and turn > last) or command == "resume" and not (force or own == key):
+                    new = None
+                if new is not None:
+                    state = new
+                    last = turn if command == "turn" else last
+                    key = own if command == "await" else None if command == "resume" else key
+                out.append((session, seq, command, new is not None, state))
+            yield pd.DataFrame(out, columns=["session_id", "seq", "command", "accepted", "state"])
+
+    whole = told.repartition(parts, "session_id", "piece").sortWithinPartitions("session_id", "piece", "seq")
+    summaries = whole.mapInPandas(summarise, PIECE)
+    states = summaries.repartition(parts, "session_id").sortWithinPartitions("session_id", "piece").mapInPandas(fold, "session_id string, piece int, _state string, _key string, _last bigint")
+    each = told.join(states, ["session_id", "piece"]).repartition(parts, "session_id", "piece").sortWithinPartitions("session_id", "piece", "seq")
+    return each.mapInPandas(replay, "session_id string, seq int, command string, accepted boolean, state string")
+
+
+#: The state of a session that commands see and change.
+SESSION_STATE = ("status", "model_used", "summary", "error_message", "awaiting_reason", "awaiting_correlation_key", "awaiting_deadline", "resume_input")
+WAIT = SESSION_FIELDS["await"]
+
+
+def _decided(state: dict, c: dict) -> str:
+    """session_verdicts for one command against one state."""
+    action, status = c["action"], state["status"]
+    if status is None:
+        return "not found"
+    if status == {"complete": "completed", "fail": "failed", "await": "awaiting", "resume": "running"}[action]:
+        return "duplicate" if all(c[f] == state[f] for f in SESSION_FIELDS[action]) else "conflict"
+    if action in ("complete", "fail"):
+        return "run" if status in ("running", "awaiting") else "conflict"
+    if action == "await":
+        return "run" if status == "running" else "not running"
+    if status != "awaiting":
+        return "not awaiting"
+    return "run" if c["force"] is True or c["awaiting_correlation_key"] == state["awaiting_correlation_key"] else "wrong key"
+
+
+def _changed(state: dict, c: dict) -> dict:
+    """The state once a command has run; a wait ends with whatever runs next."""
+    own = {f: c[f] for f in SESSION_FIELDS[c["action"]]}
+    waits = {} if c["action"] == "await" else dict.fromkeys(WAIT)
+    status = {"complete": "completed", "fail": "failed", "await": "awaiting", "resume": "running"}[c["action"]]
+    return state | waits | own | {"status": status} | ({"resume_input": None} if c["action"] == "await" else {})
+
+
+def apply_session_commands(commands: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One batch of commands, each seeing what those before it (by seq) made of the session. commands: as for session_verdicts, with seq and expected_version: how many
+    changes of this batch the writer had seen, null for all. Adds verdict, version (changes so far) and status.
+
+    A writer that had not seen the last change has lost a race: its command runs if the session takes it as it is by now, else the session is read again, and where it
+    is as the command asked already, by another's doing, that is a duplicate; everything else is `rejected`. A session's rows pass through one task in order, and that task
+    holds one state; memory doesn't grow with them."""
+    spark = commands.sparkSession
+    now = sessions.select("memory_space_id", "session_id", *[F.col(f).alias(f"_{f}") for f in SESSION_STATE])
+    key = ["memory_space_id", "session_id"]
+    fields = [f for fs in SESSION_FIELDS.values() for f in fs]
+    asked = commands.select(*key, "seq", "action", "force", "expected_version", *fields)
+    out = [f"{f.name} {f.dataType.simpleString()}" for f in asked.select(*key, "seq", "action").schema.fields]
+
+    def work(batches):
+        session, state, version = None, {}, 0
+        for pdf in batches:
+            rows = []
+            for c in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                if (c["memory_space_id"], c["session_id"]) != session:
+                    session, version = (c["memory_space_id"], c["session_id"]), 0
+                    state = {f: c[f"_{f}"] for f in SESSION_STATE}
+                verdict = _decided(state, c)
+                if verdict not in ("run", "duplicate", "not found") and c["expected_version"] is not None and c["expected_version"] < version:
+                    verdict = "rejected"
+                if verdict == "run":
+                    state, version = _changed(state, c), version + 1
+                rows.append((*session, c["seq"], c["action"], verdict, version, state["status"]))
+            yield pd.DataFrame(rows, columns=[*key, "seq", "action", "verdict", "version", "status"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = asked.join(now, key, "left").repartition(parts, *key).sortWithinPartitions(*key, "seq")
+    return each.mapInPandas(work, ", ".join(out) + ", verdict string, version bigint, status string")

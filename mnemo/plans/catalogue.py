@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from mnemo import schema
 from mnemo.functions import identity, scoring, text, vectors
-from mnemo.operators import distill, embedding, folds, lineage, maintenance, predicates, reads, recall, timers, verdicts
+from mnemo.operators import distill, embedding, folds, lineage, maintenance, ordered, predicates, reads, recall, timers, verdicts
 from mnemo.operators.predicates import ExactScope, NamespaceWide, Scope
 from mnemo.plans.recall_plan import RecallPlan
 from mnemo.sources import shared, tables
+from mnemo.sources.cells import CellIndex
+from mnemo.sources.postings import FullTextIndex
 from mnemo.streaming import projections
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SPACE, NS, SCOPE, WORDS = "space_test", "en", Scope("en", "source", "src3"), "the of"
+SPACE, NS, SCOPE, WORDS = "space_test", "en", Scope("en", "source", "src3"), "oning ering"
 NOW = datetime(2024, 3, 1)
 SINCE, UNTIL = datetime(2024, 1, 1, 10), datetime(2024, 1, 3)
 
@@ -182,12 +184,39 @@ def backfill_one_space(s, d):
 TARGETS = {"global": (ExactScope(Scope(NS)), f"{BASE} AND {GLOBAL}"), "entity": (ExactScope(SCOPE), f"{BASE} AND {ENTITY}"), "wide": (NamespaceWide(NS), BASE)}
 
 
+#: The words of the data that have a lexeme of the queries (tests hold them against the stemmer), as SQL has no stems.
+FORMS = {"one": "oned|onedly|ones|oning|oningly", "ere": "ered|eredly|eres|ering|eringly", "disgust": "disgusting", "idiot": "idiot", "thing": "thing|thinged|thinges|thinging|thingingly|thingly|thinglyed", "reed": "reed|reeded|reedes|reeding|reedly"}
+TOKENS = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+
+
+def _places_sql(lexeme: str) -> str:
+    return f"list_distinct(list_transform(list_filter(range(1, len(t) + 1), lambda i: regexp_full_match(t[i], '{FORMS[lexeme]}'))[1:255], lambda i: least(i, 16383)))"
+
+
+def _near_sql(one: str, other: str) -> str:
+    """The rank of a conjunction of two lexemes, from their places."""
+    pair = "CASE WHEN x = y OR abs(x - y) > 100 THEN 0 ELSE ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(x - y) / 1.5::DOUBLE - 2)))) END"
+    return f"round(1 - exp(coalesce(list_sum(list_transform({one}, lambda x: list_sum(list_transform({other}, lambda y: {pair})))), 0)), 9)"
+
+
 def _fts_sql(where: str) -> str:
-    return f"""toks AS (SELECT memory_id, memories.created_at, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM memories WHERE {where}),
-scored AS (SELECT memory_id, created_at, round((len(list_filter(t, lambda x: x = 'the')) + len(list_filter(t, lambda x: x = 'of'))) / (1 + ln(greatest(len(t), 1))), 9) AS fts_score FROM toks WHERE list_contains(t, 'the') AND list_contains(t, 'of')),
+    return f"""toks AS (SELECT memory_id, memories.created_at, {TOKENS} AS t FROM memories WHERE {where}),
+found AS (SELECT memory_id, created_at, {_places_sql("one")} AS a, {_places_sql("ere")} AS b FROM toks),
+scored AS (SELECT memory_id, created_at, {_near_sql("a", "b")} AS fts_score FROM found WHERE len(a) > 0 AND len(b) > 0),
 fts AS (SELECT memory_id, (row_number() OVER (ORDER BY fts_score DESC, created_at DESC, memory_id))::INTEGER AS fts_rank, fts_score FROM scored QUALIFY fts_rank <= 50)"""
 
 
+def indexed(s: SparkSession, d: str) -> FullTextIndex:
+    """An index kept up over the memories' history: first with other contents and states of some, then with what changed, some removed and entered anew."""
+    now = tables.memories(s, d)
+    n = F.crc32("memory_id")
+    index = FullTextIndex(s, shared.folder(s, "postings"))
+    index.update(now.withColumns({"content": F.when(n % 7 == 0, F.concat(F.lit("oning ering disgusting "), "content")).otherwise(F.col("content")), "status": F.when(n % 5 == 0, "active").otherwise(F.col("status"))}))
+    index.remove(now.filter(n % 11 == 0).select("memory_id"))
+    index.update(now.filter((n % 7 == 0) | (n % 5 == 0) | (n % 11 == 0)))
+    return index
+
+
 def _vec_sql(where: str) -> str:
     return f"""q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 dist AS (SELECT memory_id, round(1 - list_dot_product(embedding::DOUBLE[], v) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v))), 9) AS distance FROM memories, q WHERE {where} AND embedding IS NOT NULL),
@@ -205,11 +234,28 @@ for _name, (_target, _where) in TARGETS.items():
     def _(s, d, t=_target):
         return recall.fts_candidates(tables.memories(s, d), SPACE, t, WORDS)
 
+    @query(f"fts_index_{_name}", f"WITH {MEM}, {_fts_sql(_where)} SELECT memory_id, fts_rank, fts_score FROM fts")
+    def _(s, d, t=_target):
+        return indexed(s, d).search(SPACE, t, WORDS)
+
     @query(f"vec_rank_{_name}", f"WITH {MEM}, {_vec_sql(_where)} SELECT memory_id, vec_rank, distance FROM vec")
     def _(s, d, t=_target):
         return recall.vec_candidates(tables.memories(s, d, vectors=True), SPACE, t, question(s, d))
 
 
+_OR = f"""WITH {MEM}, toks AS (SELECT memory_id, memories.created_at, {TOKENS} AS t FROM memories WHERE {BASE}),
+found AS (SELECT memory_id, created_at, {", ".join(f"{_places_sql(x)} AS {x}" for x in ("disgust", "idiot", "ere", "one"))} FROM toks),
+hit AS (SELECT *, len(disgust) > 0 AND len(idiot) = 0 OR len(list_filter(ere, lambda x: list_contains(one, x + 1))) > 0 AS hit FROM found),
+scored AS (SELECT memory_id, created_at, round(0.1::DOUBLE / 1.64493406685::DOUBLE / 4 * list_sum(list_transform([len(disgust), len(idiot), len(ere), len(one)], lambda n: coalesce(list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j))), 0))), 9) AS fts_score FROM hit WHERE hit)
+SELECT memory_id, (row_number() OVER (ORDER BY fts_score DESC, created_at DESC, memory_id))::INTEGER AS fts_rank, fts_score FROM scored QUALIFY fts_rank <= 50"""
+
+
+@query("fts_alternatives", _OR)
+def fts_alternatives(s, d):
+    """A phrase, a word without another, and the rank of alternatives."""
+    return indexed(s, d).search(SPACE, NamespaceWide(NS), 'the disgusting -idiot or "ering ones"')
+
+
 def _recall_sql(fts: bool, vec: bool, limit: int, per: int, total: int) -> str:
     ranks = {
         (True, True): "ranks AS (SELECT coalesce(fts.memory_id, vec.memory_id) AS memory_id, fts_rank, vec_rank FROM fts FULL OUTER JOIN vec ON fts.memory_id = vec.memory_id)",
@@ -236,10 +282,29 @@ for _name, _args in {"recall_keyword": (True, False, 8, 2000, 12000), "recall_em
     query(_name, _recall_sql(*_args))(lambda s, d, a=_args: _recall(s, d, *a))
 
 
-@query("recall_at_k", f"WITH {MEM}, {_vec_sql(BASE)}, {_fts_sql(BASE)}, best AS (SELECT memory_id FROM vec WHERE vec_rank <= 10), c AS (SELECT count(*) AS wanted, count(fts.memory_id) AS found FROM best LEFT JOIN fts USING (memory_id)) SELECT found, wanted, found / wanted::DOUBLE AS recall FROM c")
+def _probed(s: SparkSession, d: str):
+    """Of each target the outcome of the cell index with its exact fallback, and the rows."""
+    m, vector = tables.memories(s, d, vectors=True), question(s, d)
+    index = CellIndex(s, shared.folder(s, "cells")).build(m)
+    for name, (target, _) in TARGETS.items():
+        yield name, *recall.vec_candidates_diagnosed(m, SPACE, target, vector, index.offer(SPACE, target, vector))
+
+
+@query("vec_outcomes", f"WITH {MEM}, n AS ({' UNION ALL '.join(f"SELECT '{n}' AS target, count(*) AS n FROM memories WHERE {w} AND embedding IS NOT NULL" for n, (_, w) in TARGETS.items())}) SELECT target, least(n, 50) AS approximate_rows, n < 50 AS exact_fallback, least(n, 50) AS found_rows FROM n")
+def vec_outcomes(s, d):
+    """What the approximate pass brings, whether the exact one follows, and what is found: the SQL holds where a namespace is read whole, as it is while it has fewer than 1000 vectors."""
+    return s.createDataFrame([(n, o.approximate_rows, o.exact_fallback, o.rows) for n, o, _ in _probed(s, d)], "target string, approximate_rows bigint, exact_fallback boolean, found_rows bigint")
+
+
+@query("recall_at_k", f"WITH {MEM}, {_vec_sql(BASE)}, c AS (SELECT count(*) AS wanted FROM vec WHERE vec_rank <= 10) SELECT wanted AS found, wanted, 1.0::DOUBLE AS recall FROM c")
 def recall_at_k(s, d):
-    m, t = tables.memories(s, d, vectors=True), NamespaceWide(NS)
-    return recall.recall_at_k(recall.fts_candidates(m, SPACE, t, WORDS), recall.vec_candidates(m, SPACE, t, question(s, d)).withColumnRenamed("vec_rank", "position"), 10)
+    """The index against a ranking of all candidates that shares nothing with it."""
+    m = tables.memories(s, d, vectors=True)
+    found = next(rows for name, _, rows in _probed(s, d) if name == "wide")
+    here = predicates.candidates(m, SPACE, NamespaceWide(NS)).filter("embedding IS NOT NULL").join(tables.read(s, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("q")))
+    norm = lambda v: F.sqrt(vectors.dot(F.col(v), F.col(v)))
+    truth = here.select("memory_id", F.round(vectors.dot(F.col("embedding"), F.col("q")) / (norm("embedding") * norm("q")), 9).alias("cosine"))
+    return recall.recall_at_k(found, truth.orderBy(F.desc("cosine"), "memory_id").limit(10).withColumn("position", F.lit(1)), 10)
 
 
 @query("scoring_terms", f"""WITH {MEM} SELECT memory_id, round(exp(-ln(2.0::DOUBLE) * greatest(0, epoch_us(TIMESTAMP '2024-03-01') - epoch_us(memories.created_at)) / 86400000000.0::DOUBLE / 30), 6) AS recency,
@@ -492,14 +557,19 @@ b AS (SELECT memory_space_id, own AS session_id, 'session memories' AS source, s
 c AS (SELECT memory_space_id, concat_ws('/', 'scope', namespace, scope_kind, scope_ref) AS session_id, 'scope memories' AS source, string_agg(text, chr(10) ORDER BY priority, created_at DESC, memory_id) AS text FROM line WHERE status = 'active' GROUP BY ALL)
 SELECT memory_space_id, session_id, source, sha256(text) AS text_sha256, length(text) AS n_chars FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""")
 def evidence_text(s, d):
-    """Whole texts of all three sources: sessions with turns, sessions that have memories only, and one session without either for each scope."""
+    """Whole texts of all three sources."""
+    found = distill.evidence(*_asked(s, d))
+    return found.select("memory_space_id", "session_id", "source", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+
+
+def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions with turns, sessions that have memories only, and one session without either for each scope."""
     m = tables.memories(s, d).withColumn("session_id", F.concat(F.lit("k"), F.expr("substr(session_id, 2)")))
     none = F.lit(None).cast("string")
     silent = m.filter("session_id IS NOT NULL").select("memory_space_id", "session_id", F.lit("none").alias("namespace"), none.alias("scope_kind"), none.alias("scope_ref")).distinct()
     asking = m.select("memory_space_id", F.concat_ws("/", F.lit("scope"), "namespace", "scope_kind", "scope_ref").alias("session_id"), "namespace", "scope_kind", "scope_ref").distinct()
     every = tables.sessions(s, d).select(*silent.columns).unionByName(silent).unionByName(asking)
-    found = distill.evidence(tables.turns(s, d), m, every)
-    return found.select("memory_space_id", "session_id", "source", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+    return tables.turns(s, d), m, every
 
 
 @query("session_max_turn", f"WITH {TURNS} SELECT memory_space_id, session_id, greatest(max(turn_index), 0) AS max_turn FROM turns GROUP BY ALL")
@@ -527,8 +597,8 @@ DEC = f"""WITH {TENS}, dec AS (SELECT memory_space_id, memory_id AS decision_id,
  CASE WHEN priority % 5 = 0 THEN [memory_id] WHEN priority % 7 = 1 THEN []::VARCHAR[] WHEN priority % 5 = 1 THEN ['m_99999999'] WHEN priority % 5 = 2 THEN ['m_99999999', coalesce(superseded_by, supersedes, memory_id)] ELSE [coalesce(superseded_by, supersedes, 'm_99999998')] END AS targets FROM memories),
 o AS (SELECT *, list_filter(targets, lambda t: t <> own_id) AS others FROM dec), u AS (SELECT decision_id, o.memory_space_id, unnest(others) AS t, generate_subscripts(others, 1) AS p FROM o),
 live AS (SELECT u.decision_id, string_agg(t, ',' ORDER BY p) AS live_targets, count(*) AS n FROM u JOIN memories m ON m.memory_id = u.t AND m.memory_space_id = u.memory_space_id GROUP BY u.decision_id),
-app AS (SELECT o.decision_id, session_id, coalesce(live_targets, '') AS live_targets, CASE WHEN action IN ('skip', 'store') THEN action WHEN len(targets) = 0 THEN 'store' WHEN len(others) = 0 THEN 'skip' WHEN own_status <> 'active' THEN 'skip' WHEN coalesce(n, 0) = 0 THEN 'store' ELSE 'merge' END AS applied,
- CASE WHEN action IN ('skip', 'store') THEN NULL WHEN len(targets) = 0 THEN 'no target given' WHEN len(others) = 0 THEN 'only target is itself' WHEN own_status <> 'active' THEN 'winner is not active' WHEN coalesce(n, 0) = 0 THEN 'no target exists' WHEN n < len(others) THEN 'some targets don''t exist' END AS note FROM o LEFT JOIN live USING (decision_id))"""
+app AS (SELECT o.decision_id, session_id, coalesce(live_targets, '') AS live_targets, CASE WHEN action IN ('skip', 'store') THEN action WHEN len(targets) > 0 AND len(others) = 0 THEN 'skip' WHEN own_status <> 'active' THEN 'skip' WHEN coalesce(n, 0) = 0 THEN 'store' ELSE 'merge' END AS applied,
+ CASE WHEN action IN ('skip', 'store') THEN NULL WHEN len(targets) > 0 AND len(others) = 0 THEN 'only target is itself' WHEN own_status <> 'active' THEN 'winner is not active' WHEN len(targets) = 0 THEN 'no target given' WHEN coalesce(n, 0) = 0 THEN 'no target exists' WHEN n < len(others) THEN 'some targets don''t exist' END AS note FROM o LEFT JOIN live USING (decision_id))"""
 
 
 def _decisions(s, d):
@@ -540,11 +610,17 @@ def _decisions(s, d):
     return distill.apply_decisions(m.select("memory_space_id", F.col("memory_id").alias("decision_id"), F.col("memory_id").alias("own_id"), "session_id", action.alias("action"), targets.alias("targets")), m)
 
 
-@query("decision_verdict", f"{DEC} SELECT decision_id, live_targets, applied, note FROM app")
+@query("decision_verdict", f"{DEC} SELECT decision_id, CASE WHEN applied = 'merge' THEN live_targets ELSE '' END AS live_targets, applied, note FROM app")
 def decision_verdict(s, d):
     return shown(_decisions(s, d).select("decision_id", "live_targets", "applied", "note"))
 
 
+@query("decision_problems", f"""{DEC} SELECT decision_id, CASE WHEN action IN ('skip', 'store') THEN '' ELSE array_to_string(targets, ',') END AS targets,
+ CASE WHEN action IN ('skip', 'store') THEN NULL WHEN len(targets) = 0 THEN action || ' requires at least one target' WHEN len(list_filter(targets, lambda t: NOT regexp_full_match(t, '([a-z]([a-z_]*[a-z])?_)?[0-7][0-9a-hjkmnp-tv-z]{{25}}'))) > 0 THEN 'a target is no id' END AS problem FROM dec""")
+def decision_problems(s, d):
+    return shown(distill.canonical_decision(_decisions(s, d).select("decision_id", "action", "targets")).select("decision_id", "targets", "problem"))
+
+
 @query("pass_summary", f"{DEC} SELECT session_id, count(*) AS extracted, count(*) FILTER (applied = 'store') AS stored, count(*) FILTER (applied = 'merge') AS merged, count(*) FILTER (applied = 'skip') AS skipped FROM app GROUP BY session_id")
 def pass_summary(s, d):
     return distill.summary(_decisions(s, d))
@@ -580,9 +656,49 @@ def persona_actions(s, d):
     return distill.persona_actions(scenes, stored).select(*distill.SCOPE, "action", "scene_count")
 
 
-@query("source_hash")
+def _leaf_sql(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({f})::VARCHAR))::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+def _tree_sql(rows: str, key: str) -> str:
+    """rows: a table of key, pos, d. The digest of each group of it, as operators.ordered defines it."""
+    levels = [f"t0 AS (SELECT {key}, pos AS a, d, 1 AS n FROM {rows})"]
+    levels += [f"t{i + 1} AS (SELECT {key}, a // {ordered.PIECE} AS a, sha256(string_agg(d, '' ORDER BY a)) AS d, sum(n)::BIGINT AS n FROM t{i} GROUP BY {key}, a // {ordered.PIECE})" for i in range(ordered.LEVELS)]
+    return ", ".join(levels) + f" SELECT {key}, n, 'v2:' || sha256(n || ':' || d) AS hash FROM t{ordered.LEVELS}"
+
+
+KEY = "memory_space_id, namespace, scope_kind, scope_ref"
+ATOM = "'- ' || memory_id || ' (' || memory_type || ', ' || confidence || '): ' || content"
+BY_SCOPE = f"(PARTITION BY {KEY} ORDER BY priority, memories.created_at DESC, memory_id"
+
+
+@query("source_hash", f"WITH {MEM}, leaves AS (SELECT {KEY}, row_number() OVER {BY_SCOPE}) - 1 AS pos, {_leaf_sql('memory_id', 'content', 'priority', 'confidence', 'epoch_us(memories.created_at)')} AS d FROM memories WHERE status = 'active'), {_tree_sql('leaves', KEY)}")
 def source_hash(s, d):
-    return distill.scene_sources(tables.memories(s, d)).select(*distill.SCOPE, "hash")
+    return distill.source_hashes(distill.scene_lines(tables.memories(s, d)))
+
+
+@query("scene_lines", f"WITH {MEM} SELECT {KEY}, row_number() OVER {BY_SCOPE}) - 1 AS position, coalesce(sum(length({ATOM}) + 1) OVER {BY_SCOPE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, memory_id, sha256({ATOM}) AS line_sha256 FROM memories WHERE status = 'active'")
+def scene_lines(s, d):
+    return distill.scene_lines(tables.memories(s, d)).select(*distill.SCOPE, "position", "start", "memory_id", F.sha2("line", 256).alias("line_sha256"))
+
+
+@query("scene_budget", f"WITH {MEM}, x AS (SELECT {KEY}, memory_id, length({ATOM}) AS n, sum(length({ATOM}) + 1) OVER {BY_SCOPE}) - 1 AS upto FROM memories WHERE status = 'active') SELECT {KEY}, count(*) AS lines, sum(n)::BIGINT AS characters FROM x WHERE upto <= 200000 GROUP BY ALL")
+def scene_budget(s, d):
+    """What of each scope a model with so many characters reads."""
+    kept = ordered.within(distill.scene_lines(tables.memories(s, d)), F.length("line"), 200_000)
+    return kept.groupBy(*distill.SCOPE).agg(F.count("*").alias("lines"), F.sum(F.length("line").cast("long")).alias("characters"))
+
+
+@query("evidence_lines", f"""WITH {TURNS}, {MEM}, line AS (SELECT *, {OWN_SESSION} AS own, '- ' || memory_type || ': ' || content AS text FROM memories),
+a AS (SELECT memory_space_id, session_id, 'turns' AS source, turn_index || '. ' || role || ': ' || content AS text, row_number() OVER (PARTITION BY memory_space_id, session_id ORDER BY turn_index) AS k FROM turns),
+b AS (SELECT memory_space_id, own AS session_id, 'session memories' AS source, text, row_number() OVER (PARTITION BY memory_space_id, own ORDER BY line.created_at DESC, memory_id) AS k FROM line WHERE own IS NOT NULL),
+c AS (SELECT memory_space_id, concat_ws('/', 'scope', namespace, scope_kind, scope_ref) AS session_id, 'scope memories' AS source, text, row_number() OVER (PARTITION BY {KEY} ORDER BY priority, line.created_at DESC, memory_id) AS k FROM line WHERE status = 'active'),
+e AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
+SELECT memory_space_id, session_id, source, k - 1 AS position, coalesce(sum(length(text) + 1) OVER (PARTITION BY memory_space_id, session_id, source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sha256(text) AS line_sha256 FROM e""")
+def evidence_lines(s, d):
+    """The evidence of evidence_text as rows."""
+    turns, m, every = _asked(s, d)
+    return distill.evidence_lines(turns, m, every).select("memory_space_id", "session_id", "source", "position", "start", F.sha2("line", 256).alias("line_sha256"))
 
 
 # ---- reads of what distillation keeps (S, ST)
@@ -608,9 +724,9 @@ def scenes_by_scope(s, d):
     return shown(reads.scenes_by_scope(_scenes(s, d), SPACE, SCOPE))
 
 
-@query("scene_by_key", f"WITH {SCENES} SELECT * REPLACE (strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at) FROM scenes WHERE {HERE} AND scene_key = 'preference'")
+@query("scene_by_key", f"WITH {SCENES} SELECT * REPLACE (strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at) FROM scenes WHERE {HERE} AND scene_key = 'constraint'")
 def scene_by_key(s, d):
-    return shown(reads.scene_by_key(_scenes(s, d), SPACE, SCOPE, "preference"))
+    return shown(reads.scene_by_key(_scenes(s, d), SPACE, SCOPE, "constraint"))
 
 
 @query("persona_by_scope", f"WITH {PERSONAS} SELECT * FROM personas WHERE {HERE}")
@@ -771,7 +887,14 @@ def machine_violations(s, d):
     return verdicts.memory_machine_violations(tables.event_log(s, d)).select("stream_id", "version", "problem")
 
 
-@query("state_machine")
+MACHINE = f"""{LOG}, c AS (SELECT stream_id AS session_id, version AS seq, CASE kind WHEN 'recorded' THEN 'start' WHEN 'superseded' THEN 'complete' WHEN 'archived' THEN 'await' WHEN 'confidence' THEN 'resume' ELSE 'turn' END AS command, version AS turn_index, (k % 3)::VARCHAR AS key, k % 2 = 0 AS force FROM log),
+step AS (SELECT DISTINCT session_id, 0 AS seq, NULL::VARCHAR AS command, false AS accepted, 'none' AS state, NULL::VARCHAR AS key, -1 AS last FROM c
+ UNION ALL SELECT session_id, seq, command, ok, CASE WHEN NOT ok OR command = 'turn' THEN state WHEN command = 'start' THEN 'running' WHEN command = 'await' THEN 'awaiting' WHEN command = 'resume' THEN 'running' ELSE 'completed' END,
+  CASE WHEN ok AND command = 'await' THEN own WHEN ok AND command = 'resume' THEN NULL ELSE key END, CASE WHEN ok AND command = 'turn' THEN turn_index ELSE last END
+ FROM (SELECT c.session_id, c.seq, c.command, c.turn_index, c.key AS own, s.state, s.key, s.last, CASE c.command WHEN 'start' THEN s.state = 'none' WHEN 'turn' THEN s.state = 'running' AND c.turn_index > s.last WHEN 'await' THEN s.state = 'running' WHEN 'complete' THEN s.state IN ('running', 'awaiting') ELSE s.state = 'awaiting' AND (c.force OR c.key IS NOT DISTINCT FROM s.key) END AS ok FROM step s JOIN c ON c.session_id = s.session_id AND c.seq = s.seq + 1))"""
+
+
+@query("state_machine", f"WITH RECURSIVE {MACHINE} SELECT session_id, seq, command, accepted, state FROM step WHERE seq > 0")
 def state_machine(s, d):
     e = tables.event_log(s, d)
     kinds = {"recorded": "start", "superseded": "complete", "archived": "await", "tags": "turn", "confidence": "resume", "merged": "turn"}
@@ -779,6 +902,28 @@ def state_machine(s, d):
     return verdicts.replay_sessions(c)
 
 
+@query("command_batch", f"""WITH RECURSIVE {LOG}, c AS (SELECT stream_id AS session_id, version AS seq, CASE WHEN kind IN ('recorded', 'tags') THEN 'await' WHEN kind = 'archived' THEN 'complete' WHEN kind = 'superseded' THEN 'fail' ELSE 'resume' END AS action, k % 7 = 0 AS force, CASE WHEN k % 3 = 0 THEN version - 2 END AS expected, 'v' || (k % 2) AS said, (k % 2)::VARCHAR AS own FROM log),
+step AS (SELECT session_id, 0 AS seq, NULL::VARCHAR AS action, NULL::VARCHAR AS verdict, 0 AS version, CASE WHEN max(seq) % 3 > 0 THEN 'running' END AS status, NULL::VARCHAR AS summary, NULL::VARCHAR AS error, NULL::VARCHAR AS reason, NULL::VARCHAR AS key, NULL::VARCHAR AS input FROM c GROUP BY session_id
+ UNION ALL SELECT session_id, seq, action, verdict, version + (verdict = 'run')::INTEGER, CASE WHEN verdict <> 'run' THEN status WHEN action = 'complete' THEN 'completed' WHEN action = 'fail' THEN 'failed' WHEN action = 'await' THEN 'awaiting' ELSE 'running' END,
+  CASE WHEN verdict = 'run' AND action = 'complete' THEN said ELSE summary END, CASE WHEN verdict = 'run' AND action = 'fail' THEN said ELSE error END, CASE WHEN verdict <> 'run' THEN reason WHEN action = 'await' THEN said END, CASE WHEN verdict <> 'run' THEN key WHEN action = 'await' THEN own END, CASE WHEN verdict <> 'run' THEN input WHEN action = 'resume' THEN said WHEN action = 'await' THEN NULL ELSE input END
+ FROM (SELECT *, CASE WHEN v NOT IN ('run', 'duplicate', 'not found') AND expected < version THEN 'rejected' ELSE v END AS verdict FROM (SELECT c.*, s.version, s.status, s.summary, s.error, s.reason, s.key, s.input, CASE WHEN s.status IS NULL THEN 'not found'
+  WHEN c.action = 'complete' THEN CASE WHEN s.status IN ('running', 'awaiting') THEN 'run' WHEN s.status = 'completed' AND s.summary = said THEN 'duplicate' ELSE 'conflict' END WHEN c.action = 'fail' THEN CASE WHEN s.status IN ('running', 'awaiting') THEN 'run' WHEN s.status = 'failed' AND s.error = said THEN 'duplicate' ELSE 'conflict' END
+  WHEN c.action = 'await' THEN CASE WHEN s.status = 'running' THEN 'run' WHEN s.status <> 'awaiting' THEN 'not running' WHEN s.reason = said AND s.key = own THEN 'duplicate' ELSE 'conflict' END
+  WHEN s.status = 'running' THEN CASE WHEN s.input IS NOT DISTINCT FROM said THEN 'duplicate' ELSE 'conflict' END WHEN s.status <> 'awaiting' THEN 'not awaiting' WHEN c.force OR s.key = own THEN 'run' ELSE 'wrong key' END AS v FROM step s JOIN c ON c.session_id = s.session_id AND c.seq = s.seq + 1)))
+SELECT session_id, seq, action, verdict, version::BIGINT AS version, status FROM step WHERE seq > 0""")
+def command_batch(s, d):
+    """Waits, resumes and ends of one batch, some by writers that are behind."""
+    e, k = tables.event_log(s, d), F.col("k")
+    kind = F.col("kind")
+    action = F.when(kind.isin("recorded", "tags"), "await").when(kind == "archived", "complete").when(kind == "superseded", "fail").otherwise("resume")
+    said, none = F.concat(F.lit("v"), (k % 2).cast("string")), F.lit(None).cast("string")
+    commands = e.select(F.lit("a").alias("memory_space_id"), F.col("stream_id").alias("session_id"), F.col("version").alias("seq"), action.alias("action"), (k % 7 == 0).alias("force"), F.when(k % 3 == 0, F.col("version") - 2).alias("expected_version"),
+        said.alias("summary"), said.alias("error_message"), said.alias("awaiting_reason"), said.alias("resume_input"), (k % 2).cast("string").alias("awaiting_correlation_key"), none.alias("model_used"), none.alias("awaiting_deadline"))
+    there = e.groupBy("stream_id").agg(F.max("version").alias("n")).filter("n % 3 > 0")
+    sessions = there.select(F.lit("a").alias("memory_space_id"), F.col("stream_id").alias("session_id"), F.lit("running").alias("status"), *[none.alias(f) for f in verdicts.SESSION_STATE if f != "status"])
+    return verdicts.apply_session_commands(commands, sessions).select("session_id", "seq", "action", "verdict", "version", "status")
+
+
 @query("embedding_delivery", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'dead-letter' WHEN event_id % 7 = 0 THEN 'retry' WHEN event_id % 5 = 0 THEN 'halt' WHEN event_id % 4 = 0 OR user_id % 6 = 0 THEN 'dead-letter' WHEN user_id % 2 = 1 THEN 'ok' WHEN event_id % 3 = 0 THEN 'retry' ELSE 'ok' END AS ack FROM events")
 def embedding_delivery(s, d):
     n, u = F.col("event_id"), F.col("user_id")
@@ -793,11 +938,17 @@ def embedding_backfill(s, d):
     return embedding.outcome_counts(embedding.embed_batch(backlog, lambda texts: [[float(len(t)), 1.0] for t in texts]))
 
 
-@query("stem_match")
+STOPPED = "[" + ", ".join(f"'{w}'" for w in sorted(text.STOP)) + "]"
+
+
+@query("stem_match", f"""WITH {MEM}, x AS (SELECT memory_id, {TOKENS} AS t FROM memories WHERE memory_space_id = '{SPACE}')
+SELECT memory_id, len(list_filter(t, lambda w: NOT list_contains({STOPPED}, w))) AS n_lexemes, len(list_filter(t, lambda w: regexp_full_match(w, '{FORMS["reed"]}'))) > 0 OR len(list_filter(t, lambda w: regexp_full_match(w, '{FORMS["thing"]}'))) > 0 AND len(list_filter(t, lambda w: w = 'idiot')) = 0 AS hit FROM x""")
 def stem_match(s, d):
     m = tables.memories(s, d).filter(predicates.in_space(SPACE))
-    st = text.stems(text.tokens(F.col("content")))
-    return m.select("memory_id", F.size(st).alias("n_stems"), text.matches(st, "loving OR test -moron").alias("hit"))
+    clauses = text.parse("reeding OR thing -idiot")
+    toks = text.tokens(F.col("content"))
+    counted = m.select("memory_id", "content", F.size(F.filter(toks, lambda t: ~t.isin(*text.STOP))).cast("long").alias("n_lexemes"))
+    return text.located(counted, text.lexemes(clauses)).select("memory_id", "n_lexemes", text.matches(F.col("at"), clauses).alias("hit"))
 
 
 @query("vector_parse", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM embeddings")

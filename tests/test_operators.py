@@ -228,6 +228,27 @@ def test_an_update_without_targets_is_stored():
     assert [a["decision"] for a in p.audit] == ["update"] and p.merged
 
 
+def test_a_retired_winner_is_skipped_before_its_targets_are_looked_at(spark):
+    m = spark.createDataFrame([("a", "own", "archived"), ("a", "t", "active")], "memory_space_id string, memory_id string, status string")
+    d = spark.createDataFrame([("1", "a", "own", "merge", []), ("2", "a", "own", "update", ["t"]), ("3", "a", "new", "merge", []), ("4", "a", "own", "store", ["t"]), ("5", "a", "new", "merge", ["new"]), ("6", "a", "new", "skip", ["t"]), ("7", "a", "new", "merge", ["t", "gone"])], "decision_id string, memory_space_id string, own_id string, action string, targets array<string>")
+    got = {r.decision_id: (r.applied, r.live_targets, r.note) for r in distill.apply_decisions(d, m).collect()}
+    assert got == {
+        "1": ("skip", [], "winner is not active"), "2": ("skip", [], "winner is not active"), "3": ("store", [], "no target given"), "4": ("store", [], None),
+        "5": ("skip", [], "only target is itself"), "6": ("skip", [], None), "7": ("merge", ["t"], "some targets don't exist"),
+    }
+    told = distill.canonical_decision(d.select("decision_id", "action", "targets")).orderBy("decision_id").collect()
+    assert [(r.targets, r.problem is not None) for r in told][:4] == [([], True), (["t"], True), ([], True), ([], False)]
+
+
+def test_the_pass_does_so_too():
+    turns, session = [{"turn_index": 1, "role": "user", "content": "a"}], {"session_id": "s"}
+    once = distill.distill_session(turns, [], None, session, distill.Models(lambda t: [{"content": "x"}], lambda a, c: {"action": "store", "targets": ["stray"]}))
+    assert once.audit[0]["targets"] == []
+    retired = once.stored[0] | {"status": "archived"}
+    again = distill.distill_session(turns, [retired], None, session, distill.Models(lambda t: [{"content": "x"}], lambda a, c: {"action": "merge", "targets": []}))
+    assert [a["decision"] for a in again.audit] == ["skip"] and not again.stored
+
+
 def test_distill_session():
     m = distill.Models(lambda t: [{"content": " likes brevity ", "atom_type": "preference", "priority": 150, "confidence": "High"}, {"content": "second", "atom_type": "fact", "confidence": "low"}], lambda a, c: {"action": "merge" if c else "store", "targets": [c[0]["memory_id"]] if c else [], "rationale": "r"})
     turns = [{"turn_index": 2, "role": "user", "content": "b"}, {"turn_index": 1, "role": "user", "content": "a"}]
