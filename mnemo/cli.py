@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -38,9 +39,13 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--candidates", choices=("scan", "recall"), default="scan")
     d.add_argument("--limit", type=int, choices=range(1, 51), metavar="1-50", default=5)
     d.add_argument("--force", action="store_true")
+    d.add_argument("--models", metavar="MODULE:NAME", help="a distill.Models to run the pass with; without one the evidence is shown")
     w = add("worker")
     w.add_argument("--backfill", action="store_true")
     w.add_argument("--timers-once", action="store_true")
+    w.add_argument("--distill", metavar="MODULE:NAME", help="a distill.Models: runs the pass for every due session of the space")
+    w.add_argument("--embed", metavar="MODULE:NAME", help="with --backfill: a function from texts to vectors, whose vectors are stored")
+    w.add_argument("--embedding-model", default="unknown")
     m = add("migrate-artifacts", tables=False)
     m.add_argument("old", type=Path)
     m.add_argument("new", type=Path)
@@ -64,6 +69,49 @@ def show_hits(rows, scores: bool) -> list[str]:
     return lines
 
 
+def named(path: str):
+    """What a MODULE:NAME names; functions that travel to the tasks must be importable there."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def run_pass(spark, args: argparse.Namespace, models: str, now: datetime, ids: list[str] | None = None, candidates: int = 5, force: bool = False):
+    from mnemo.operators import passes
+    from mnemo.plans.access import Context
+
+    if not args.space:
+        raise SystemExit("a pass runs in one space: name it with --space")
+    context = Context(args.space, "cli", frozenset({"distill", "record", "forget"}))
+    return passes.distill_sessions(spark, args.tables, context, named(models), now, ids, candidates, force)
+
+
+def show_pass(done) -> int:
+    """1 if a session failed."""
+    failed = 0
+    for r in done.toLocalIterator():
+        failed += r.error is not None
+        print(f"{r.session_id}\t{r.error or f'extracted {r.extracted}, stored {r.stored}, merged {r.merged}, skipped {r.skipped}'}")
+    return int(failed > 0)
+
+
+def backfill(spark, args: argparse.Namespace) -> None:
+    """Embeds what needs it and stores the vectors."""
+    from pyspark.sql import functions as F
+
+    from mnemo.operators import embedding, reads
+    from mnemo.sources import shared, store
+
+    memories = store.load(spark, args.tables, "memories")
+    done = embedding.embed_batch(reads.embedding_backlog(memories, args.space), named(args.embed))
+    path = shared.folder(spark, "embedded")
+    done.write.parquet(path)  # the provider is called once
+    done = spark.read.schema(done.schema).parquet(path)
+    embedding.outcome_counts(done).show()
+    stored = done.filter("outcome = 'stored'").select("memory_space_id", "memory_id")
+    changed = embedding.store(memories.join(stored, ["memory_space_id", "memory_id"], "left_semi"), done, args.embedding_model)
+    store.apply(spark, args.tables, "memories", changed, stored.limit(0).withColumn("namespace", F.lit("")))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "migrate-artifacts":
@@ -103,6 +151,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "distill":
         from mnemo.operators import distill, reads
 
+        if args.models:
+            return show_pass(run_pass(spark, args, args.models, now, [args.session], args.limit, args.force))
         turns = reads.session_turns(table("turns"), args.space, args.session)
         distill.render_turns(turns).select("text").show(truncate=False)
     elif args.command == "worker":
@@ -110,8 +160,12 @@ def main(argv: list[str] | None = None) -> int:
 
         from mnemo.operators import reads, timers
 
-        if args.backfill:
+        if args.backfill and args.embed:
+            backfill(spark, args)
+        elif args.backfill:
             reads.embedding_backlog(table("memories"), args.space).groupBy("memory_space_id").count().show()
+        if args.distill:
+            return show_pass(run_pass(spark, args, args.distill, now))
         if args.timers_once:
             timers.due(table("timers"), F.lit(now).cast("timestamp")).show()
     return 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mnemo.functions import identity
 from mnemo.operators import ordered, reads, recall
 from mnemo.operators.predicates import ExactScope, Scope
+from mnemo.sources import shared, store
 
 SCOPE = ("memory_space_id", "namespace", "scope_kind", "scope_ref")
 ATOM_TYPES = ("fact", "pattern", "preference", "constraint", "instruction")
@@ -235,6 +236,50 @@ def regenerate(actions: DataFrame, model: Callable[[str], str], column: str = "b
     return todo.mapInPandas(work, todo.schema.simpleString()[7:-1] + f",{column}:string")
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """Written, so that a model is called once for each row of it."""
+    path = shared.folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scene_rows(actions: DataFrame, scene: Callable[[str], tuple[str, str]], at: datetime) -> DataFrame:
+    """Rows of scenes for what is to be regenerated; the model gives title and body."""
+    todo = actions.filter("action = 'regenerate'").select(*SCOPE, "hash", "atom_ids", "text")
+
+    def work(batches):
+        for pdf in batches:
+            made = [scene(t) for t in pdf.text]
+            yield pdf.drop(columns="text").assign(title=[t for t, _ in made], body_md=[b for _, b in made])
+
+    made = todo.mapInPandas(work, todo.drop("text").schema.simpleString()[7:-1] + ",title:string,body_md:string")
+    now = F.lit(at).cast("timestamp")
+    own = identity.scene_id(F.col("namespace"), F.col("scope_kind"), F.col("scope_ref"))
+    return made.select("memory_space_id", own.alias("scene_id"), "namespace", "scope_kind", "scope_ref", F.lit("default").alias("scene_key"), "title", "body_md", "atom_ids", F.col("hash").alias("source_hash"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def persona_rows(actions: DataFrame, persona: Callable[[str], str], at: datetime) -> DataFrame:
+    """Rows of personas for what is to be regenerated."""
+    made, now = regenerate(actions.drop("stored_hash"), persona), F.lit(at).cast("timestamp")
+    own = identity.persona_id(F.col("namespace"), F.col("scope_kind"), F.col("scope_ref"))
+    return made.select("memory_space_id", own.alias("persona_id"), "namespace", "scope_kind", "scope_ref", "body_md", "scene_count", F.col("hash").alias("source_hash"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def sink_scenes(path: str, actions: DataFrame, scene: Callable[[str], tuple[str, str]], at: datetime) -> None:
+    """Actions on scenes applied to the stored table: one model call a scope that changed, one swap of the partitions touched."""
+    _sink(path, "scenes", "scene_id", actions, lambda a: scene_rows(a, scene, at), identity.scene_id)
+
+
+def sink_personas(path: str, actions: DataFrame, persona: Callable[[str], str], at: datetime) -> None:
+    _sink(path, "personas", "persona_id", actions, lambda a: persona_rows(a, persona, at), identity.persona_id)
+
+
+def _sink(path: str, table: str, key: str, actions: DataFrame, rows: Callable[[DataFrame], DataFrame], own: Callable[..., Column]) -> None:
+    told = _once(actions.filter("action <> 'keep'"), "actions")
+    gone = told.filter("action = 'delete'").select("memory_space_id", "namespace", own(F.col("namespace"), F.col("scope_kind"), F.col("scope_ref")).alias(key))
+    store.apply(told.sparkSession, path, table, _once(rows(told), table), gone)
+
+
 @dataclass
 class Models:
     """The four programs: extract(text) -> atoms, consolidate(atom, candidates) -> decision, scene(text) -> (title, body), persona(text) -> body."""
@@ -257,29 +302,39 @@ class Pass:
     audit: list[dict] = field(default_factory=list)
 
 
-def distill_session(turns: list[dict], memories: list[dict], mark: int | None, session: dict, models: Models, candidates: int = 5, force: bool = False) -> Pass:
-    """One session's rows (a task's worth: for applyInPandas by session, or a single call). Later atoms see what earlier ones stored. An invalid
-    extraction raises before anything is applied, and the watermark stays."""
-    top = max([0, *(t["turn_index"] for t in turns)])
-    if mark is not None and mark >= top and not force:
-        return Pass(session["session_id"], False, mark)
-    done, rows = Pass(session["session_id"], True, top), {m["memory_id"]: dict(m) for m in memories}
-    lines = [f"{t['turn_index']}. {t['role']}: {t['content']}" for t in sorted(turns, key=lambda t: t["turn_index"])] or [f"- {m['memory_type']}: {m['content']}" for m in memories]
-    atoms = models.extract("\n".join(lines))
+def checked_atoms(atoms: list[dict]) -> list[dict]:
+    """The atoms of an extraction in canonical form; one invalid atom makes it all invalid."""
+    out = []
     for a in atoms:
-        if not a["content"].strip() or a.get("atom_type", "fact").strip().lower() not in ATOM_TYPES or a.get("confidence", "medium").strip().lower() not in CONFIDENCES:
+        content, kind, sure = a["content"].strip(), a.get("atom_type", "fact").strip().lower(), a.get("confidence", "medium").strip().lower()
+        if not content or kind not in ATOM_TYPES or sure not in CONFIDENCES:
             raise ValueError(f"invalid atom: {a}")
-    for a in atoms:
-        content = a["content"].strip()
-        own = identity.type_id("memory", uuid.uuid5(identity.ATOMS, f"{session['session_id']}:{content}"))
-        active = sorted((m for m in rows.values() if m["status"] == "active"), key=lambda m: (m.get("priority", 100), -m["created_at"].timestamp() if m.get("created_at") else float("-inf"), m["memory_id"]))
-        choice = models.consolidate(a, active[: max(0, candidates)])
-        wanted = [t for t in dict.fromkeys(choice.get("targets", [])) if t != own]
+        out.append({"content": content, "atom_type": kind, "confidence": sure, "priority": max(0, min(100, a.get("priority", 100)))})
+    return out
+
+
+def atom_id(session_id: str, content: str) -> str:
+    return identity.type_id("memory", uuid.uuid5(identity.ATOMS, f"{session_id}:{content}"))
+
+
+def fold_atoms(session_id: str, atoms: list[dict], rows: dict[str, dict], consolidate: Callable[[dict, list[dict]], dict], done: Pass, candidates: int, decided: list[dict], absent: set[str] | None = None) -> set[str]:
+    """Applies atoms one after the other; later ones see what earlier ones stored and merged. rows: memories by id, changed in place. decided: what the model said before, and
+    what it says now; it is asked once an atom. Where a decision needs a memory that is neither in rows nor known to be absent, the fold stops before it and
+    gives the ids to look up (absent of None: what is not in rows is not there)."""
+    for i, a in enumerate(atoms):
+        own = atom_id(session_id, a["content"])
+        active = sorted((m for m in rows.values() if m["status"] == "active" and not m.get("elsewhere")), key=lambda m: (m.get("priority", 100), -m["created_at"].timestamp() if m.get("created_at") else float("-inf"), m["memory_id"]))
+        if i == len(decided):
+            decided.append(consolidate(a, active[: max(0, candidates)]))
+        choice = decided[i]
+        action, note, told = choice["action"], None, choice["action"]
+        asked = choice.get("targets") or [] if action in ("update", "merge") else []  # stray targets of others are cleared
+        wanted = [t for t in dict.fromkeys(asked) if t != own]
+        if absent is not None and (unknown := {t for t in wanted if t not in rows and t not in absent}):
+            return unknown
         live = [t for t in wanted if t in rows]
-        action, note = choice["action"], None
-        told = action
         if action in ("update", "merge"):
-            if choice.get("targets") and not wanted:
+            if asked and not wanted:
                 action, note = "skip", "only target is itself"
             elif own in rows and rows[own]["status"] != "active":
                 action, note = "skip", "winner is not active"
@@ -290,7 +345,7 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
             else:
                 action = "merge"
         if action in ("store", "merge"):
-            new = {"memory_id": own, "content": choice.get("content") or content, "memory_type": a.get("atom_type", "fact").strip().lower(), "priority": max(0, min(100, a.get("priority", 100))), "confidence": a.get("confidence", "medium").strip().lower(), "tags": ["distilled", "l1"], "status": "active", "supersedes": live[0] if action == "merge" else None}
+            new = {"memory_id": own, "content": choice.get("content") or a["content"], "memory_type": a["atom_type"], "priority": a["priority"], "confidence": a["confidence"], "tags": ["distilled", "l1"], "status": "active", "supersedes": live[0] if action == "merge" else None}
             rows[own] = new
             done.stored.append(new)
         if action == "merge":
@@ -298,5 +353,17 @@ def distill_session(turns: list[dict], memories: list[dict], mark: int | None, s
                 rows[t]["status"] = "merged"
                 done.merged.append({"memory_id": t, "merged_into": own})
         rationale = choice.get("rationale", "") + (f" [{note}]" if note else "")
-        done.audit.append({"candidate_content": content, "decision": told if action == "merge" else action, "targets": live if action == "merge" else [], "rationale": rationale})
+        done.audit.append({"candidate_content": a["content"], "decision": told if action == "merge" else action, "targets": live if action == "merge" else [], "rationale": rationale, "result_memory_id": own if action in ("store", "merge") else None})
+    return set()
+
+
+def distill_session(turns: list[dict], memories: list[dict], mark: int | None, session: dict, models: Models, candidates: int = 5, force: bool = False) -> Pass:
+    """One session's rows, as a single call. An invalid extraction raises before anything is applied, and the watermark stays. operators.passes runs
+    the same over tables."""
+    top = max([0, *(t["turn_index"] for t in turns)])
+    if mark is not None and mark >= top and not force:
+        return Pass(session["session_id"], False, mark)
+    done, rows = Pass(session["session_id"], True, top), {m["memory_id"]: dict(m) for m in memories}
+    lines = [f"{t['turn_index']}. {t['role']}: {t['content']}" for t in sorted(turns, key=lambda t: t["turn_index"])] or [f"- {m['memory_type']}: {m['content']}" for m in memories]
+    fold_atoms(session["session_id"], checked_atoms(models.extract("\n".join(lines))), rows, models.consolidate, done, candidates, [])
     return done

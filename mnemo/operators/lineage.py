@@ -5,35 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.operators.components import components
 from mnemo.operators.predicates import in_space
-from mnemo.sources import shared
 
 DEEPEST = 64
 
 
-def supersession_chain(memories: DataFrame, space: str, memory_id: str, columns: tuple[str, ...] = ("memory_id", "status", "supersedes", "superseded_by", "created_at"), most_rounds: int = 10_000) -> DataFrame:
-    """All memories reachable inside the space, oldest first. Edges are written once and each round's new ids are, so a round reads the newest ids and
-    the edges only and its plan doesn't grow; a chain deeper than most_rounds is an error, never a part of one."""
-    spark, root = memories.sparkSession, shared.folder(memories.sparkSession, "supersession")
+def supersession_edges(memories: DataFrame) -> DataFrame:
+    """memory_space_id, a, b: links of memories to others of their space that are there."""
+    out = memories.select("memory_space_id", F.col("memory_id").alias("a"), F.explode(F.array("supersedes", "superseded_by")).alias("b")).filter("b IS NOT NULL")
+    return out.join(memories.select("memory_space_id", F.col("memory_id").alias("b")), ["memory_space_id", "b"], "left_semi").select("memory_space_id", "a", "b")
 
-    def put(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+def supersession_components(memories: DataFrame) -> DataFrame:
+    """memory_space_id, memory_id, chain (the least id reachable in the space) of every memory that has a link; all chains of all spaces at once."""
+    node = lambda c: F.struct("memory_space_id", F.col(c).alias("memory_id"))
+    found, _ = components(supersession_edges(memories).select(node("a").alias("a"), node("b").alias("b")))
+    return found.select("node.memory_space_id", "node.memory_id", F.col("component.memory_id").alias("chain"))
+
+
+def supersession_chain(memories: DataFrame, space: str, memory_id: str, columns: tuple[str, ...] = ("memory_id", "status", "supersedes", "superseded_by", "created_at")) -> DataFrame:
+    """All memories reachable inside the space, oldest first. What links the space has are resolved in rounds that grow with the logarithm of the longest
+    chain, so a chain of any depth is whole."""
     mine = memories.filter(in_space(space))
-    # edges between rows of the space, in both directions
-    out = mine.select(F.col("memory_id").alias("a"), F.explode(F.array("supersedes", "superseded_by")).alias("b")).filter("b IS NOT NULL")
-    out = out.join(mine.select(F.col("memory_id").alias("b")), "b", "left_semi").select("a", "b")
-    edges = put("edges", out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    new = put("seen/round=0", mine.filter(F.col("memory_id") == memory_id).select("memory_id").distinct())
-    for k in range(1, most_rounds + 2):
-        seen = spark.read.schema(new.schema).parquet(*[f"{root}/seen/round={i}" for i in range(k)])
-        if new.isEmpty():
-            break
-        new = put(f"seen/round={k}", edges.join(new.withColumnRenamed("memory_id", "a"), "a").select(F.col("b").alias("memory_id")).distinct().join(seen, "memory_id", "left_anti"))
-    else:
-        raise RuntimeError(f"the chain of {memory_id} is deeper than {most_rounds}")
-    return mine.join(seen, "memory_id", "left_semi").select(*columns).orderBy("created_at", "memory_id")
+    chains = supersession_components(mine).select("memory_id", "chain")
+    own = chains.filter(F.col("memory_id") == memory_id).select("chain").distinct()
+    ids = chains.join(own, "chain", "left_semi").select("memory_id")
+    alone = mine.filter(F.col("memory_id") == memory_id).select("memory_id")
+    return mine.join(ids.unionByName(alone).distinct(), "memory_id", "left_semi").select(*columns).orderBy("created_at", "memory_id")
 
 
 def session_chain(sessions: DataFrame, space: str, session_id: str, most: int = 10_000) -> DataFrame:

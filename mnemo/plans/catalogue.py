@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from mnemo import schema
 from mnemo.functions import identity, scoring, text, vectors
-from mnemo.operators import distill, embedding, folds, lineage, maintenance, ordered, predicates, reads, recall, timers, verdicts
+from mnemo.operators import distill, embedding, folds, lineage, maintenance, ordered, passes, predicates, reads, recall, timers, verdicts
 from mnemo.operators.predicates import ExactScope, NamespaceWide, Scope
+from mnemo.plans.access import Context
 from mnemo.plans.recall_plan import RecallPlan
-from mnemo.sources import shared, tables
+from mnemo.sources import shared, store, tables
 from mnemo.sources.cells import CellIndex
 from mnemo.sources.postings import FullTextIndex
 from mnemo.streaming import projections
@@ -325,6 +327,13 @@ def supersession_chain(s, d):
     return shown(lineage.supersession_chain(tables.memories(s, d, by_tens=True), SPACE, "m_00000020"))
 
 
+@query("supersession_chains", f"""WITH RECURSIVE {TENS}, e0 AS (SELECT m.memory_space_id, m.memory_id AS a, o.memory_id AS b FROM memories m JOIN memories o ON o.memory_space_id = m.memory_space_id AND (o.memory_id = m.superseded_by OR o.memory_id = m.supersedes)),
+e AS MATERIALIZED (SELECT * FROM e0 UNION SELECT memory_space_id, b, a FROM e0), reach AS (SELECT memory_space_id, a AS memory_id, a AS root FROM e UNION SELECT r.memory_space_id, e.b, r.root FROM reach r JOIN e ON e.memory_space_id = r.memory_space_id AND e.a = r.memory_id)
+SELECT memory_space_id, memory_id, min(root) AS chain FROM reach GROUP BY ALL""")
+def supersession_chains(s, d):
+    return lineage.supersession_components(tables.memories(s, d, by_tens=True))
+
+
 @query("session_chain", f"""WITH RECURSIVE {SES}, chain AS (SELECT session_id, previous_session_id, started_at, [session_id] AS path FROM sessions WHERE memory_space_id = '{SPACE}' AND session_id = 's_00000022'
  UNION ALL SELECT s.session_id, s.previous_session_id, s.started_at, list_append(c.path, s.session_id) FROM chain c JOIN sessions s ON s.session_id = c.previous_session_id AND s.memory_space_id = '{SPACE}' WHERE NOT list_contains(c.path, s.session_id))
 SELECT session_id, previous_session_id, {at('started_at')} FROM chain""")
@@ -701,6 +710,41 @@ def evidence_lines(s, d):
     return distill.evidence_lines(turns, m, every).select("memory_space_id", "session_id", "source", "position", "start", F.sha2("line", 256).alias("line_sha256"))
 
 
+@query("scene_sink", f"WITH {MEM}, {SRC} SELECT memory_space_id, namespace, scope_kind, scope_ref, 'of ' || length(text) AS title, sha256(text) AS body_md, n AS n_atoms, CASE WHEN namespace = 'de' OR scope_ref LIKE '%1' THEN 'new' ELSE 'old' END AS written FROM src")
+def scene_sink(s, d):
+    """The stored table once actions were applied to it twice: what is stale or missing is new, what is of no scope any more is gone."""
+    root, m, old = shared.folder(s, "scene-sink"), tables.memories(s, d), _stored_scenes(s, d)
+    src = distill.scene_sources(m)
+    same = [src[c].eqNullSafe(old[c]) for c in distill.SCOPE]
+    own = identity.scene_id(F.col("namespace"), F.col("scope_kind"), F.col("scope_ref"))
+    first, text = F.lit(SINCE), F.coalesce(src["text"], F.lit("gone"))
+    held = old.join(src, same, "left").select(*[old[c] for c in distill.SCOPE], old["source_hash"], F.concat(F.lit("of "), F.length(text).cast("string")).alias("title"), F.sha2(text, 256).alias("body_md"), F.coalesce("atom_ids", F.array().cast("array<string>")).alias("atom_ids"))
+    store.save(held.withColumns({"scene_id": own, "scene_key": F.lit("default"), "created_at": first, "updated_at": first}).select(*schema.SCENES.names), root, "scenes")
+    for _ in range(2):
+        distill.sink_scenes(root, distill.scene_actions(m, store.load(s, root, "scenes")), lambda t: (f"of {len(t)}", hashlib.sha256(t.encode()).hexdigest()), NOW)
+    return store.load(s, root, "scenes").select(*distill.SCOPE, "title", "body_md", F.size("atom_ids").cast("long").alias("n_atoms"), F.when(F.col("updated_at") == F.lit(NOW), "new").otherwise("old").alias("written"))
+
+
+@query("distill_pass", f"""WITH {TURNS}, e AS (SELECT session_id, sha256(string_agg(turn_index || '. ' || role || ': ' || content, chr(10) ORDER BY turn_index)) AS atom, greatest(max(turn_index), 0) AS last_turn_index FROM turns WHERE memory_space_id = '{SPACE}' GROUP BY session_id)
+SELECT session_id, atom AS candidate_content, CASE WHEN substr(atom, 1, 1) < '8' THEN 'store' ELSE 'skip' END AS decision, last_turn_index, CASE WHEN substr(atom, 1, 1) < '8' THEN 1 ELSE 0 END AS memories FROM e""")
+def distill_pass(s, d):
+    """The runner over stored tables, with a model whose one atom is a digest of the evidence: audit, watermark and memory of every session, once the pass has run twice."""
+    root = shared.folder(s, "distill-pass")
+    for name, df in (("sessions", _sessions(s, d)), ("turns", tables.turns(s, d)), ("memories", tables.memories(s, d).withColumn("session_id", F.lit(None).cast("string")))):
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.TABLES[name] if f.name not in df.columns}
+        store.save(df.withColumns(missing).select(*[F.col(f.name).cast(f.dataType) for f in schema.TABLES[name]]), root, name)
+    atom = lambda t: [{"content": hashlib.sha256(t.encode()).hexdigest()}]
+    models = distill.Models(atom, lambda a, shown: {"action": "store" if a["content"][0] < "8" else "skip", "targets": ["stray"]})
+    context = Context(SPACE, "bench", frozenset({"distill", "record", "forget"}))
+    for force in (False, True):
+        passes.distill_sessions(s, root, context, models, NOW, force=force)
+    audit = store.load(s, root, "consolidation_decisions").select("session_id", "candidate_content", "decision", "result_memory_id")
+    marks = store.load(s, root, "l1_watermarks").select("session_id", "last_turn_index")
+    made = store.load(s, root, "memories").filter(F.array_contains("tags", "distilled")).groupBy(F.col("memory_id").alias("result_memory_id")).count()
+    told = audit.join(marks, "session_id").join(made, "result_memory_id", "left")
+    return told.select("session_id", "candidate_content", "decision", "last_turn_index", F.coalesce("count", F.lit(0)).cast("int").alias("memories"))
+
+
 # ---- reads of what distillation keeps (S, ST)
 
 SCENES = f"{MEM}, scenes AS (SELECT memory_space_id, namespace, scope_kind, scope_ref, memory_type AS scene_key, memory_id AS scene_id, agent_id AS title, content AS body_md, updated_at FROM memories WHERE status = 'active')"

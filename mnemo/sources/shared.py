@@ -17,3 +17,10 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.gettempdir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove folders that nothing will read again."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -27,50 +28,61 @@ SETS: dict[str, dict[str, str | None]] = {
 }
 
 
-def _take(now: dict[str, Any], e: dict[str, Any]) -> None:
-    """A value stays until one of a higher version comes, in whatever order they arrive."""
-    if e["memory_space_id"] != now["home"]:
-        return  # another space's
-    now["n_events"] += 1
-    for name, source in SETS.get(e["kind"], {}).items():
-        if e["version"] > now["fields"].get(name, [-1])[0]:
-            now["fields"][name] = [e["version"], e["kind"] if source is None else e[source]]
+def _new(seen: list[list[int]], v: int) -> bool:
+    """Whether a version comes for the first time; seen: the versions that came, as runs in order, so what a gap sets apart costs a run and not a version each."""
+    at = bisect.bisect_right(seen, v, key=lambda run: run[0])
+    if at and v <= seen[at - 1][1]:
+        return False
+    before, after = bool(at) and seen[at - 1][1] == v - 1, at < len(seen) and seen[at][0] == v + 1
+    if before and after:
+        seen[at - 1][1] = seen.pop(at)[1]
+    elif before:
+        seen[at - 1][1] = v
+    elif after:
+        seen[at][0] = v
+    else:
+        seen.insert(at, [v, v])
+    return True
 
 
 def _apply(now: dict[str, Any], e: dict[str, Any]) -> None:
+    """A field keeps the value of its highest version, in whatever order events arrive, for each space that they name: which of them is the stream's own, its first
+    recording tells, and that may come last."""
     v = e["version"]
-    if v <= now["low"] or v in now["late"]:
+    if not _new(now["seen"], v):
         return  # delivered again
-    now["late"].append(v)
-    while now["low"] + 1 in now["late"]:
-        now["low"] += 1
-        now["late"].remove(now["low"])
-    if now["home"] is None and e["kind"] != "recorded":
-        now["waiting"].append(e)
-        return
-    if now["home"] is None:
-        now["home"] = e["memory_space_id"]
-        for early in now["waiting"]:
-            _take(now, early)
-        now["waiting"] = []
-    _take(now, e)
+    own = now["spaces"].setdefault(json.dumps(e["memory_space_id"]), {"first": None, "n_events": 0, "fields": {}})
+    own["n_events"] += 1
+    if e["kind"] == "recorded":
+        own["first"] = v if own["first"] is None else min(v, own["first"])
+    for name, source in SETS.get(e["kind"], {}).items():
+        held = own["fields"].get(name)
+        if held is None or v > held[0]:
+            own["fields"][name] = [v, e["kind"] if source is None else e[source]]
+
+
+def _home(now: dict[str, Any]) -> tuple[str | None, dict[str, Any]] | None:
+    """The space of the first recording, with what was folded there."""
+    recorded = [(own["first"], space) for space, own in now["spaces"].items() if own["first"] is not None]
+    return (json.loads(space := min(recorded)[1]), now["spaces"][space]) if recorded else None
 
 
 def memory_projection(events: DataFrame) -> DataFrame:
-    """Events (as for folds.fold_memories, tags as text; versions of a stream count from 1) in, the row of every memory they touched out; update mode.
-    Events may come late, before their recording, or twice: each field keeps the version that set it, events wait for the recording, and the versions
-    seen are part of the state (up to the last without a gap, and those beyond)."""
+    """Events (as for folds.fold_memories, tags as text) in, the row of every memory they touched out; update mode. Events may come late, before their recording, or
+    twice: each field keeps the version that set it, for each space that events name, and the versions seen are kept as runs. So the state has the size of the
+    fields, the spaces and the gaps, however many events there are, and even if a recording never comes."""
     columns = "memory_space_id", "kind", "by", "tags", "confidence"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else {"home": None, "n_events": 0, "fields": {}, "low": 0, "late": [], "waiting": []}
+        now = json.loads(state.get[0]) if state.exists else {"seen": [], "spaces": {}}
         for rows in batches:
             for e in rows.sort_values("version").itertuples():
                 _apply(now, {"version": int(e.version)} | {c: None if pd.isna(x := getattr(e, c)) else x for c in columns})
         state.update((json.dumps(now),))
-        if now["home"] is not None:
-            value = lambda name: now["fields"].get(name, [0, None])[1]
-            yield pd.DataFrame([{"stream_id": key[0], "memory_space_id": now["home"], "status": value("status") or "active", "superseded_by": value("superseded_by"), "tags": value("tags"), "confidence": value("confidence"), "n_events": now["n_events"]}])
+        if (home := _home(now)) is not None:
+            space, own = home
+            value = lambda name: own["fields"].get(name, [0, None])[1]
+            yield pd.DataFrame([{"stream_id": key[0], "memory_space_id": space, "status": value("status") or "active", "superseded_by": value("superseded_by"), "tags": value("tags"), "confidence": value("confidence"), "n_events": own["n_events"]}])
 
     return events.groupBy("stream_id").applyInPandasWithState(step, MEMORY_OUT, "state string", "update", GroupStateTimeout.NoTimeout)
 

@@ -1,9 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemo import schema
+from mnemo.operators.components import components
 from mnemo.operators import distill, embedding, folds, lineage, maintenance, recall, timers, verdicts
 from mnemo.operators.predicates import ExactScope, NamespaceWide, Scope, candidates, legacy_target
 from mnemo.plans import access, recall_plan
@@ -202,12 +204,39 @@ def test_drain_that_cannot_end_is_an_error(spark):
         timers.drain(lambda: stuck, lambda b: b.withColumns({"outcome": F.lit("retry"), "error": F.lit("e")}), lambda d: None, F.lit(T0), most_rounds=2)
 
 
-def test_a_chain_is_whole_or_an_error(spark):
-    rows = [("s", f"m{i}", "active", f"m{i - 1}" if i else None, None, T0) for i in range(6)]
-    m = spark.createDataFrame(rows, "memory_space_id string, memory_id string, status string, supersedes string, superseded_by string, created_at timestamp")
-    assert lineage.supersession_chain(m, "s", "m0", most_rounds=6).count() == 6
-    with pytest.raises(RuntimeError):
-        lineage.supersession_chain(m, "s", "m0", most_rounds=3)
+CHAIN = "memory_space_id string, memory_id string, status string, supersedes string, superseded_by string, created_at timestamp"
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark):
+    rng = random.Random(1)
+    ids = [f"m{i:05d}" for i in range(10_000)]
+    rng.shuffle(ids)
+    rows = [("s", ids[i], "active", ids[i - 1] if i else None, None, T0) for i in range(len(ids))] + [("s", "lone", "active", None, None, T0), ("t", ids[0], "active", None, ids[1], T0), ("t", ids[1], "active", ids[0], "gone", T0)]
+    m = spark.createDataFrame(rows, CHAIN)
+    edges = lineage.supersession_edges(m).filter("memory_space_id = 's'")
+    found, rounds = components(edges)
+    assert rounds < 20 and found.count() == 10_000 and [r[0] for r in found.select("component").distinct().collect()] == ["m00000"]
+    assert lineage.supersession_chain(m, "s", ids[500]).count() == 10_000
+    assert [r.memory_id for r in lineage.supersession_chain(m, "s", "lone").collect()] == ["lone"]
+    # a link to a memory that is not there, or of another space, is none
+    assert sorted(r.memory_id for r in lineage.supersession_chain(m, "t", ids[1]).collect()) == sorted(ids[:2])
+    assert lineage.supersession_chain(m, "t", "lone").count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int"))[0].collect()}
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
 def test_admin_stands_for_no_other_permission():

@@ -56,3 +56,38 @@ def test_log_is_read_by_type(spark, tmp_path):
         stream = events.log_stream(spark, str(tmp_path / "log"), kind).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         stream.awaitTermination()
         assert spark.table(name).count() == want
+
+
+def _event(version, kind="tags", space="a", **more):
+    return {"version": version, "kind": kind, "memory_space_id": space, "by": None, "tags": f"t{version}", "confidence": f"c{version}"} | more
+
+
+def test_version_zero_late_recordings_and_repeats():
+    now = {"seen": [], "spaces": {}}
+    for e in (_event(2), _event(1, "confidence"), _event(2, tags="again"), _event(3, "superseded", by="x"), _event(3, "archived", space="b"), _event(0, "recorded")):
+        projections._apply(now, e)
+    space, own = projections._home(now)
+    assert space == "a" and own["n_events"] == 4 and now["seen"] == [[0, 3]]
+    assert {k: v[1] for k, v in own["fields"].items()} == {"tags": "t2", "confidence": "c1", "status": "superseded", "superseded_by": "x"}
+
+
+def test_state_does_not_grow_behind_a_gap_or_without_a_recording():
+    import json
+
+    now = {"seen": [], "spaces": {}}
+    for v in [*range(5000, 9000), *range(0, 4000)]:  # versions 4000 to 4999 never come, and no recording does
+        projections._apply(now, _event(v, "tags" if v % 2 else "merged"))
+    assert now["seen"] == [[0, 3999], [5000, 8999]] and projections._home(now) is None
+    assert len(json.dumps(now)) < 400
+
+
+def test_runs_of_versions():
+    import random
+
+    rng, seen, want = random.Random(3), [], set()
+    for _ in range(5000):
+        v = rng.randrange(2000)
+        assert projections._new(seen, v) == (v not in want)
+        want.add(v)
+    assert {v for lo, hi in seen for v in range(lo, hi + 1)} == want
+    assert all(a[1] + 1 < b[0] for a, b in zip(seen, seen[1:]))
