@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,24 +105,24 @@ def parse_type_id(text: str | None, prefix: str | None = None) -> uuid.UUID | No
     return uuid.UUID(int=n)
 
 
-def typed(prefix: str, value: Column) -> Column:
-    """Text UUIDs as typed ids."""
+def _bits(text: Column, digit: Column, width: int) -> Column:
+    """Characters of a text as groups of bits; digit: of a character x, its value."""
+    return F.array_join(F.transform(F.split(text, ""), lambda x: F.lpad(F.conv(digit(x).cast("string"), 10, 2), width, "0")), "")
 
-    @F.pandas_udf("string")
-    def encode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else type_id(prefix, uuid.UUID(x)))
 
-    return encode(value)
+def typed(prefix: str, value: Column) -> Column:
+    """Text UUIDs as typed ids."""
+    bits = F.concat(F.lit("00"), _bits(F.lower(F.replace(value, F.lit("-"), F.lit(""))), lambda x: F.instr(F.lit("0123456789abcdef"), x) - 1, 4))
+    each = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.substr(F.lit(BASE32), F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{prefix}_"), F.array_join(each, "")))
 
 
 def untyped(value: Column, prefix: str | None = None) -> Column:
-    """Typed ids as text UUIDs; null where they don't parse."""
-
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if (u := parse_type_id(x, prefix)) is None else str(u))
-
-    return decode(value)
+    """Typed ids as text UUIDs; null where they don't parse. With a prefix only that prefix is taken; without one any prefix or none."""
+    tail = F.regexp_extract(value, f"^{f'{prefix}_' if prefix is not None else '(?:(?:[a-z][a-z_]{0,62})?_)?'}([0-7][{BASE32}]{{25}})$", 1)
+    bits = F.substr(_bits(tail, lambda x: F.instr(F.lit(BASE32), x) - 1, 5), F.lit(3), F.lit(128))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.lower(F.conv(F.substr(bits, i * 4 + 1, F.lit(4)), 2, 16))), "")
+    return F.when(tail != "", F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def opaque_id_problem(value: Column, forbidden: str = ":#%/", longest: int = 128) -> Column:

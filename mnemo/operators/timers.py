@@ -22,6 +22,11 @@ def _timer(name: str, suffix: Column, work: str = "l1-extract") -> Column:
     return identity.uuid5(identity.SESSION_TIMERS, F.concat(F.lit(f"{work}:"), F.col("session_id"), F.lit(f":{name}"), suffix))
 
 
+def timer_id(reason: Column) -> Column:
+    """Of a session's timer: idle, final, or ramp: and the index of the turn."""
+    return identity.uuid5(identity.SESSION_TIMERS, F.concat(F.lit("l1-extract:"), F.col("session_id"), F.lit(":"), reason))
+
+
 def session_timers(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """events: session_id, kind (started, interactive, turn, completed, failed, awaiting, resumed), turn_index, at. Timers: timer_id, session_id, reason, fire_at.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from mnemo.plans.recall_plan import RecallPlan
 from mnemo.sources import shared, store, tables
 from mnemo.sources.cells import CellIndex
 from mnemo.sources.postings import FullTextIndex
-from mnemo.streaming import projections
+from mnemo.streaming import projections, queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,7 +380,13 @@ def uuid5_ids(s, d):
     return t.select("turn_id", identity.atom_uuid(F.col("session_id"), F.col("content")).alias("atom_uuid"), identity.audit_id(F.col("session_id"), F.col("turn_index"), F.col("content")).alias("audit_id"))
 
 
-@query("typeid_parse")
+_NIBBLES = "0000000100100011010001010110011110001001101010111100110111101111"
+_BASE32 = f"list_aggregate(list_transform(range(26), lambda i: substr('{identity.BASE32}', {' + '.join(f'substr(b, i * 5 + {k + 1}, 1)::INTEGER * {16 >> k}' for k in range(5))} + 1, 1)), 'string_agg', '')"
+
+
+@query("typeid_parse", f"""WITH {TURNS}, h AS (SELECT turn_id, sha1(unhex('{identity.ATOMS.hex}') || encode(session_id || ':' || content)) AS a FROM turns), u AS (SELECT turn_id, {UUID.format('a')} AS u FROM h),
+x AS (SELECT *, '00' || list_aggregate(list_transform(string_split(replace(u, '-', ''), ''), lambda x: substr('{_NIBBLES}', 4 * (strpos('0123456789abcdef', x) - 1) + 1, 4)), 'string_agg', '') AS b FROM u)
+SELECT turn_id, 'memory_' || {_BASE32} AS memory_id, u AS strict, NULL::VARCHAR AS wrong_prefix, u AS lenient FROM x""")
 def typeid_parse(s, d):
     t = uuid5_ids(s, d).select("turn_id", identity.typed("memory", F.col("atom_uuid")).alias("memory_id"))
     return t.select("turn_id", "memory_id", identity.untyped(F.col("memory_id"), "memory").alias("strict"), identity.untyped(F.col("memory_id"), "session").alias("wrong_prefix"), identity.untyped(F.col("memory_id")).alias("lenient"))
@@ -968,6 +974,29 @@ def command_batch(s, d):
     return verdicts.apply_session_commands(commands, sessions).select("session_id", "seq", "action", "verdict", "version", "status")
 
 
+HASHED = "(('0x' || substr(sha256(timer_id), 1, 6))::BIGINT)"
+
+
+@query("timer_queue", f"""WITH s AS (SELECT DISTINCT 's' || user_id AS timer_id, user_id FROM events), o AS (SELECT *, {HASHED} % 4 AS k FROM s)
+SELECT timer_id, CASE WHEN k = 0 THEN 'dead' WHEN k = 1 THEN 'dead' ELSE 'fired' END AS status, CASE k WHEN 1 THEN 9 WHEN 2 THEN 3 ELSE 1 END AS attempts, CASE k WHEN 0 THEN '[memory space a] refused' WHEN 1 THEN '[memory space a] busy' WHEN 2 THEN 'busy' END AS last_error FROM o""")
+def timer_queue(s, d):
+    """Timers scheduled twice and drained until nothing is left: some complete, some at the third attempt, some are refused, some never end but by the ceiling."""
+    ids = tables.read(s, d, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("timer_id"), F.col("ts").cast("timestamp").alias("fire_at"))
+    q = queue.Queue(s, shared.folder(s, "timers"))
+    for part in (ids.groupBy("timer_id").agg(F.min("fire_at").alias("fire_at")), ids.groupBy("timer_id").agg(F.max("fire_at").alias("fire_at"))):
+        q.schedule(part.withColumn("memory_space_id", F.lit("a")))
+    k = F.conv(F.substr(F.sha2("timer_id", 256), F.lit(1), F.lit(6)), 16, 10).cast("long") % 4
+
+    def fire(batch):
+        outcome = F.when(k == 0, "dead").when(k == 1, "retry").when((k == 2) & (F.col("attempts") < 2), "retry").otherwise("completed")
+        return batch.withColumn("outcome", outcome).withColumn("error", F.when(F.col("outcome") == "dead", "refused").when(F.col("outcome") == "retry", "busy"))
+
+    at = datetime(2030, 1, 1)
+    for n in range(10):
+        q.drain(fire, at + timedelta(hours=n))
+    return q.latest().select("timer_id", "status", "attempts", "last_error")
+
+
 @query("embedding_delivery", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'dead-letter' WHEN event_id % 7 = 0 THEN 'retry' WHEN event_id % 5 = 0 THEN 'halt' WHEN event_id % 4 = 0 OR user_id % 6 = 0 THEN 'dead-letter' WHEN user_id % 2 = 1 THEN 'ok' WHEN event_id % 3 = 0 THEN 'retry' ELSE 'ok' END AS ack FROM events")
 def embedding_delivery(s, d):
     n, u = F.col("event_id"), F.col("user_id")
@@ -975,7 +1004,7 @@ def embedding_delivery(s, d):
     return embedding.delivery(e).select("event_id", "ack")
 
 
-@query("embedding_backfill")
+@query("embedding_backfill", f"WITH {MEM} SELECT 'stored' AS outcome, count(*) AS n FROM memories WHERE status = 'active' AND (embedding IS NULL OR content_hash IS DISTINCT FROM sha256(content)) HAVING count(*) > 0")
 def embedding_backfill(s, d):
     """The backfill with a provider that hashes: counts by outcome."""
     backlog = reads.embedding_backlog(tables.memories(s, d, vectors=True))

@@ -59,6 +59,11 @@ def test_typed_ids(spark):
     assert all(identity.parse_type_id(x) is None for x in ("", None, "memory_", "memory_81h455vb4pex5vsknk084sn02q", "memory_01h455vb4pex5vsknk084sn02u", "Memory_01h455vb4pex5vsknk084sn02q"))
     df = spark.createDataFrame([(str(u),), (None,)], "u string")
     assert [r[0] for r in df.select(identity.untyped(identity.typed("memory", F.col("u")))).collect()] == [str(u), None]
+    odd = ["", None, t, "memory_", t[7:], "_" + t[7:], "a_b_" + t[7:], "Memory_" + t[7:], "memory_8" + t[8:], t + "0", t[:-1], t.replace("h", "u"), "1_" + t[7:], "x" * 64 + "_" + t[7:], "session_" + t[7:], " " + t]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    for prefix in (None, "memory", "session"):
+        got = [r[0] for r in rows.orderBy("i").select(identity.untyped(F.col("x"), prefix)).collect()]
+        assert got == [None if (v := identity.parse_type_id(x, prefix)) is None else str(v) for x in odd]
 
 
 def test_principals_and_ids(spark):
