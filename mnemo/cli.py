@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None) -> int:
         from mnemo.sources import tables
 
         if args.command == "demo":
-            hits = r.recall(tables.memories(spark, args.sf_dir), "space_test", NamespaceWide("en"), "the of", datetime(2024, 3, 1, tzinfo=UTC), "keyword")
+            hits = r.recall(tables.memories(spark, args.sf_dir), "space_test", NamespaceWide("en"), "oning ering", datetime(2024, 3, 1, tzinfo=UTC), "keyword")
             print("\n".join(show_hits(hits.collect(), True)))
         else:
             reads.recent_sessions(tables.sessions(spark, args.sf_dir), "space_test", "chat", 10).show()

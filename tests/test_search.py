@@ -109,8 +109,7 @@ def corpus(spark, inside, times):
     return table(spark, rows)
 
 
-@pytest.mark.parametrize("inside", [200, 2000])
-@pytest.mark.parametrize("times", [0, 1, 10])
+@pytest.mark.parametrize("inside,times", [(200, 1), (200, 10), (2000, 0), (2000, 1), (2000, 10)])
 def test_recall_on_the_decoy_grid(spark, tmp_path, inside, times):
     m = corpus(spark, inside, times).cache()
     index = CellIndex(spark, str(tmp_path / "cells")).build(m)
