@@ -6,7 +6,8 @@ t/(2-t) <= a/b <= (2-t)/t, so segments outside the bounds of every notice go fir
 segments within its own bounds. Notices are a parameter, a short list of literals.
 
 Defined cases: null, empty and blank texts have no segment and match nothing; equal best scores go to the name first in order; repeated rows each get
-a row; null ids pass; an empty table gives an empty result; further columns are left aside."""
+a row; null ids pass; very long texts are scanned whole, all their segments in one row; an empty table gives an empty result; further columns are
+left aside."""
 
 from __future__ import annotations
 

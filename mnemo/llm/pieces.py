@@ -6,7 +6,8 @@ The library then segments the normalised text (a copy of the model without a nor
 pieces spell the normalised text, their lengths project through that record to spans of original bytes.
 
 One pass, no shuffle; tasks hold one chunk of texts at a time. Defined cases: a null text is empty and has no tokens;
-null ids and further columns pass; rows that repeat are encoded each.
+null ids and further columns pass; rows that repeat are encoded each; a very long text is encoded whole, alone in its chunk; an empty table gives
+an empty result; nothing is ordered, so there are no ties.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ that is the key of a stored count. Keys the cache lacks are counted once per dis
 digests, but for one: the rows that stand for the missing digests fetch their texts. Copies fold in the partial
 aggregation, and a digest of a third of all rows joins by a sort-merge join, which adaptive execution splits.
 
-Defined cases: a null text is empty and has 0 tokens; null ids are kept; repeated rows each get a row; an empty
-table gives an empty result and leaves the cache as it was; further columns are left aside.
+Defined cases: a null text is empty and has 0 tokens; null ids are kept; repeated rows each get a row; a very long text is counted whole, alone in
+its chunk; of rows that tie for a digest the one with the least id stands for it; an empty table gives an empty result and leaves the cache as it
+was; further columns are left aside.
 """
 
 from __future__ import annotations
