@@ -81,3 +81,13 @@ def manifest_lines(manifest: DataFrame, files: list[str]) -> DataFrame:
     """Lines "checksum filename" whose file is among the selected ones."""
     parts = F.split(F.trim("line"), r"\s+", 2)
     return manifest.filter((F.size(parts) == 2) & F.try_element_at(parts, F.lit(2)).isin(files))
+
+
+def preconditions(counts: dict[str, tuple[DataFrame, int]], covered: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
+    """One row: for each name whether it holds, and `holds` for all together. counts: a table and how many rows it has to have; covered: rows whose distinct keys
+    (nulls count as missing) the other table has to have. Each check is one row of its own, so they are joined as such."""
+    checks = [df.agg((F.count("*") == n).alias(name)) for name, (df, n) in counts.items()]
+    for name, (rows, others, keys) in covered.items():
+        checks.append(rows.select(*keys).distinct().join(others.select(*keys), keys, "left_anti").agg((F.count("*") == 0).alias(name)))
+    one = reduce(lambda a, b: a.crossJoin(b), checks)
+    return one.withColumn("holds", reduce(lambda a, b: a & b, [F.col(n) for n in one.columns]))

@@ -15,7 +15,7 @@ from mnemo.operators import distill, embedding, folds, lineage, maintenance, ord
 from mnemo.operators.predicates import ExactScope, NamespaceWide, Scope
 from mnemo.plans.access import Context
 from mnemo.plans.recall_plan import RecallPlan
-from mnemo.sources import shared, store, tables
+from mnemo.sources import events, shared, store, tables
 from mnemo.sources.cells import CellIndex
 from mnemo.sources.postings import FullTextIndex
 from mnemo.streaming import projections, queue
@@ -845,6 +845,72 @@ def constraint_violations(s, d):
     return schema.violations(t, "turns")
 
 
+def _violations_sql(table: str, rows: str, columns: list[str]) -> str:
+    """What schema.violations tells, for a table with these columns."""
+    parts = ["SELECT 'blank_space' AS violation, count(*) AS n FROM x WHERE memory_space_id = '' OR memory_space_id IS NULL"]
+    if "scope_kind" in columns:
+        parts.append("SELECT 'half_scope', count(*) FROM x WHERE (scope_kind IS NULL) <> (scope_ref IS NULL)")
+    parts += [f"SELECT 'null_{f.name}', count(*) FROM x WHERE {f.name} IS NULL" for f in schema.TABLES[table] if not f.nullable and f.name in columns and f.name != "memory_space_id"]
+    parts += [f"SELECT 'unique_{'_'.join(k)}', coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM x GROUP BY {', '.join(k)} HAVING count(*) > 1)" for k in schema.KEYS[table]]
+    return f"{rows} {' UNION ALL '.join(parts)}"
+
+
+_MEMCOLS = [c for c in schema.MEMORIES.names if c not in ("embedding", "embedding_model", "dimensions")]
+
+
+@query("memory_constraints", _violations_sql("memories", f"WITH {MEM}, x AS (SELECT * REPLACE (CASE WHEN priority % 13 = 0 THEN 'm_x' ELSE memory_id END AS memory_id, CASE WHEN priority % 11 = 0 THEN NULL ELSE content END AS content, CASE WHEN priority % 7 = 0 THEN NULL ELSE scope_ref END AS scope_ref, CASE WHEN priority = 3 THEN '' ELSE memory_space_id END AS memory_space_id) FROM memories)", _MEMCOLS))
+def memory_constraints(s, d):
+    m, p = tables.memories(s, d), F.col("priority")
+    bent = {"memory_id": F.when(p % 13 == 0, "m_x").otherwise(F.col("memory_id")), "content": F.when(p % 11 != 0, F.col("content")), "scope_ref": F.when(p % 7 != 0, F.col("scope_ref")), "memory_space_id": F.when(p == 3, "").otherwise(F.col("memory_space_id"))}
+    return schema.violations(m.withColumns(bent), "memories")
+
+
+_SESCOLS = "memory_space_id session_id agent_id focus namespace scope_kind scope_ref previous_session_id parent_session_id delegation_depth status awaiting_correlation_key started_at".split()
+
+
+@query("session_constraints", _violations_sql("sessions", f"WITH {SES}, x AS (SELECT * REPLACE (CASE WHEN focus = 'focus_1' THEN NULL ELSE agent_id END AS agent_id, CASE WHEN focus = 'focus_2' THEN 's_x' ELSE session_id END AS session_id) FROM sessions)", _SESCOLS))
+def session_constraints(s, d):
+    focus = F.col("focus")
+    bent = {"agent_id": F.when(focus != "focus_1", F.col("agent_id")), "session_id": F.when(focus == "focus_2", "s_x").otherwise(F.col("session_id"))}
+    return schema.violations(_sessions(s, d).withColumns(bent), "sessions")
+
+
+@query("import_preconditions", f"""WITH {TURNS}, {SES}, {MEM}, a AS (SELECT count(*) = 2 AS two_spaces FROM (SELECT memory_space_id FROM memories GROUP BY 1)), b AS (SELECT count(*) = 7 AS seven_agents FROM (SELECT agent_id FROM memories GROUP BY 1)),
+c AS (SELECT NOT EXISTS (SELECT 1 FROM (SELECT memory_space_id, session_id FROM turns GROUP BY 1, 2) t LEFT JOIN sessions USING (memory_space_id, session_id) WHERE sessions.session_id IS NULL) AS turns_have_sessions),
+d AS (SELECT NOT EXISTS (SELECT 1 FROM (SELECT memory_space_id, session_id FROM turns GROUP BY 1, 2) t LEFT JOIN (SELECT * FROM sessions WHERE status <> 'failed') s USING (memory_space_id, session_id) WHERE s.session_id IS NULL) AS turns_have_sound_sessions)
+SELECT *, two_spaces AND seven_agents AND turns_have_sessions AND turns_have_sound_sessions AS holds FROM a, b, c, d""")
+def import_preconditions(s, d):
+    m, t, ses = tables.memories(s, d), tables.turns(s, d), tables.sessions(s, d)
+    key = ["memory_space_id", "session_id"]
+    return maintenance.preconditions(
+        {"two_spaces": (m.select("memory_space_id").distinct(), 2), "seven_agents": (m.select("agent_id").distinct(), 7)},
+        {"turns_have_sessions": (t, ses, key), "turns_have_sound_sessions": (t, ses.filter("status <> 'failed'"), key)},
+    )
+
+
+_FOCI = ["FocusWeeklyReflection", "FocusNoteHelp", "FocusElsewhere"]
+
+
+@query("event_decode", f"""WITH {LOG}, x AS (SELECT event_id, k, version FROM log)
+SELECT event_id, CASE k % 5 WHEN 0 THEN 'memory_recorded' WHEN 1 THEN 'memory_recorded' WHEN 2 THEN 'session_started' END AS kind, CASE k % 5 WHEN 0 THEN 'space_' || (k % 3) ELSE '{identity.LEGACY_SPACE}' END AS memory_space_id,
+ CASE k % 5 WHEN 0 THEN 'n' WHEN 1 THEN 'legacy' WHEN 2 THEN 'legacy' END AS namespace, CASE k % 5 WHEN 0 THEN 'repo' WHEN 1 THEN 'habit' END AS scope_kind, CASE k % 5 WHEN 0 THEN 'r' || k WHEN 1 THEN 'h' || k END AS scope_ref,
+ CASE WHEN k % 5 = 2 THEN CASE version % 3 WHEN 0 THEN 'weekly_reflection' WHEN 1 THEN 'note_help' ELSE 'FocusElsewhere' END END AS focus, CASE k % 5 WHEN 0 THEN k::VARCHAR WHEN 1 THEN '100' END AS priority, CASE k % 5 WHEN 3 THEN 'unknown type' WHEN 4 THEN 'no type' END AS malformed FROM x""")
+def event_decode(s, d):
+    """Payloads of the present and the older form, unknown ones and broken ones, decoded."""
+    e, k = tables.event_log(s, d), F.col("k")
+    at, text = F.lit("2024-01-01T00:00:00Z").alias("recordedAt"), k.cast("string")
+    told = lambda kind, *fields: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*fields).alias("data")))
+    scope = F.struct(F.lit("ScopeEntity").alias("tag"), F.array(F.lit("n"), F.lit("repo"), F.concat(F.lit("r"), text)).alias("contents")).alias("scope")
+    common = [F.col("stream_id").alias("memoryId"), F.lit("bob").alias("agentId"), F.lit("fact").alias("memoryType"), F.lit("c").alias("content"), F.lit("high").alias("confidence"), F.array(F.lit("t")).alias("tags"), at]
+    native = told("memory_recorded", *common, F.concat(F.lit("space_"), (k % 3).cast("string")).alias("memorySpaceId"), scope, k.alias("priority"))
+    older = told("agent_memory_recorded", *common, F.struct(F.lit("habit").alias("type"), F.concat(F.lit("h"), text).alias("id")).alias("anchor"))
+    focus = F.element_at(F.array(*map(F.lit, _FOCI)), (F.col("version") % 3 + 1).cast("int"))
+    session = told("agent_session_started", F.col("stream_id").alias("sessionId"), F.lit("bob").alias("agentId"), focus.alias("focusType"), F.lit("2024-01-01T00:00:00Z").alias("startedAt"))
+    data = F.when(k % 5 == 0, native).when(k % 5 == 1, older).when(k % 5 == 2, session).when(k % 5 == 3, told("unheard_of", F.lit("m").alias("memoryId"))).otherwise("{not json")
+    decoded = events.decode(e.select("event_id", "stream_id", "version", data.alias("data")))
+    return decoded.select("event_id", "kind", "memory_space_id", "namespace", "scope_kind", "scope_ref", "focus", F.col("priority").cast("string").alias("priority"), "malformed")
+
+
 @query("orphan_anti_join", f"WITH {TURNS}, {SES} SELECT turn_id FROM turns t WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.session_id = t.session_id AND s.memory_space_id = t.memory_space_id AND s.status <> 'failed')")
 def orphan_anti_join(s, d):
     return maintenance.orphans(tables.turns(s, d), tables.sessions(s, d).filter("status <> 'failed'"), {"session_id": "session_id", "memory_space_id": "memory_space_id"}).select("turn_id")
