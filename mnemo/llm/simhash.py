@@ -12,6 +12,8 @@ eight segments; 2**48 keys tell more fingerprints apart than any corpus has). Fi
 through all values one bit away, where two share a value exactly if they differ in at most two bits, and a value has 65 members at
 most. The ways together find every link; the cost is linear at every size.
 
+near_links() has a wider budget, for operators that confirm on the texts what it finds; its ring has two segments.
+
 Defined cases: null, empty and blank texts have no shingles and fingerprint zero, linked like any other; rows with a null id
 get a fingerprint, and the component of the other rows that have it, null if there are none; repeated rows each get a row; equal
 fingerprints are one node; long texts are whole, their shingles taken in blocks; an empty table gives an empty result; further columns are left aside."""
@@ -29,6 +31,8 @@ from mnemo.llm.components import components
 SEED = 42
 #: Shingles whose bits are spread out at once.
 BLOCK = 1 << 16
+#: Of near_links: bits in which a pair may differ, and how many nodes of a value all meet.
+WIDE, CROWD = 8, 8
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -47,13 +51,17 @@ def _hashes(text: str, width: int) -> list[int]:
 
 def _fingerprints(texts: list[str], width: int) -> np.ndarray:
     each = [_hashes(t, width) for t in texts]
-    counts = np.zeros((len(texts), 64), np.int64)
     sizes = np.array([len(h) for h in each])
-    flat = np.fromiter((x for h in each for x in h), "<u8", int(sizes.sum()))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    for at in range(0, len(flat), BLOCK):
-        bits = np.unpackbits(flat[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = owner[at : at + BLOCK]
+    return of_hashes(np.fromiter((x for h in each for x in h), "<u8", int(sizes.sum())), sizes)
+
+
+def of_hashes(flat: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Fingerprints, unsigned, of texts with so many of the hashes each, in turn; the bits of `block` hashes are spread out at once."""
+    counts = np.zeros((len(sizes), 64), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(flat), block):
+        bits = np.unpackbits(flat[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = owner[at : at + block]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         counts[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
     return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -131,6 +139,33 @@ def links(nodes: DataFrame, scratch: Scratch, budget: int = 2, segments: int = 8
     return near.unionByName(star.filter(F.size("all") > 1).select("u", F.explode("all").alias("v")).filter("u <> v")) if budget else near
 
 
+def near_links(nodes: DataFrame, scratch: Scratch, budget: int = WIDE, crowd: int = CROWD) -> DataFrame:
+    """u, v: pairs of nodes (columns node, fp; several may have one fp) that differ in at most `budget` bits: all those up to five bits, and of the others
+    those of which a half differs in two at most.
+
+    On a ring of two segments, a chain of fingerprints t bits apart begins with a half that differs in t/2 bits at most, two for a budget of five. Two halves
+    are that near exactly if they share a value one bit away from both, so each half is dealt out under 33 values of 32 bits. Where more than `crowd` nodes have a value they
+    don't all meet: each meets the least node of its crowded values that is nearest, so rows grow with the nodes. The caller needs an exact way for what is left."""
+    half = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
+    values = [half[i].bitwiseXOR(F.lit(flip).cast("bigint")) + F.lit(i << 32) for i in (0, 1) for flip in (0, *(1 << b for b in range(32)))]
+    # a few bytes of a node become 66 rows, so they are dealt out first
+    dealt = nodes.select("node", "fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    keyed = dealt.select("node", "fp", F.explode(F.array(*values)).alias("key"))
+    sizes = scratch.put("sizes", keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1"))
+    met = scratch.put("values", keyed.join(sizes.hint("merge"), "key"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("turn")))
+    few, hot = met.filter(F.col("n") <= crowd), met.filter(F.col("n") > crowd)
+    other = few.select("key", F.col("node").alias("other"), F.col("fp").alias("turn"))
+    near = few.join(other.hint("merge"), "key").filter((F.col("node") < F.col("other")) & (apart <= budget))
+    least = hot.filter("node = least").select("key", F.col("fp").alias("turn")).distinct()
+    tried = hot.filter("node <> least").join(least.hint("merge"), "key").filter(apart <= budget)
+    nearest = tried.groupBy("node").agg(F.min(F.struct(apart.alias("apart"), F.col("least").alias("v"))).alias("x"))
+    pairs = near.select(F.col("node").alias("u"), F.col("other").alias("v")).unionByName(nearest.select(F.least("node", "x.v").alias("u"), F.greatest("node", "x.v").alias("v")))
+    pairs = scratch.put("near-links", pairs.distinct())
+    scratch.drop("sizes", "values")
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, segments: int = 8, crowd: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable over links) for every row."""
     spark = docs.sparkSession

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mnemo.llm import near_copies, simhash
+from mnemo.llm.common import Scratch
 
 from .conftest import SF, texts
 
@@ -91,3 +92,69 @@ def test_ids_may_be_text(spark):
     docs = spark.createDataFrame([("a", long), ("b", long + " end"), ("c", "other")], "doc_id string, text string")
     assert sorted(r.doc_id for r in near_copies.near_dedup(docs).collect()) == ["a", "c"]
     assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} >= {("c", "c")}
+
+
+def near_pairs(texts):
+    """Index pairs with five-word Jaccard coefficients of 0.8 or more."""
+    sets = [{tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} for words in (t.split() for t in texts)]
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a != b and 5 * len(a & b) >= 4 * len(a | b)}
+
+
+def copies(n):
+    """n texts and two edited copies of each, near and less near."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for _ in range(n):
+        text = rng.choices(vocabulary, k=rng.randrange(60, 600))
+        yield " ".join(text)
+        for share in (100, 50):
+            words = list(text)
+            for _ in range(max(1, len(words) // share)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            yield " ".join(words)
+
+
+def test_simhash_alone_finds_nine_tenths_and_the_rest_comes_exactly(spark, monkeypatch):
+    """The stage goes through SimHash: without the pass by prefixes it still joins most near copies, and that pass adds all others."""
+    rows = list(enumerate(copies(60)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = near_pairs([t for _, t in rows])
+    found = near_copies.prefixes(docs, near_copies.frequent(docs)).select(F.col("doc_id").alias("node"), "fp")
+    got = {(r.u, r.v) for r in simhash.near_links(found, Scratch(spark, "t")).collect()}
+    assert len(want) > 100 and len(want & got) >= 0.9 * len(want)
+    seen = []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, scratch: seen.append(1) or real(nodes, scratch))
+    assert {r.doc_id for r in stage(docs).collect()} == brute_near(rows)
+    assert seen
+    # no keys: nothing but SimHash can join texts
+    whole = near_copies.prefixes
+    monkeypatch.setattr(near_copies, "prefixes", lambda *a: whole(*a).withColumn("keys", F.expr("cast(array() as array<bigint>)")))
+    alone = {r.doc_id for r in stage(docs).collect()}
+    assert alone >= brute_near(rows) and len(rows) - len(alone) >= 0.9 * (len(rows) - len(brute_near(rows)))
+    # no links by SimHash: nothing is lost
+    monkeypatch.undo()
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, scratch: real(nodes, scratch, -1))
+    assert {r.doc_id for r in stage(docs).collect()} == brute_near(rows)
+
+
+def test_wide_links_find_all_of_five_bits(spark):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
+    for p in list(prints):
+        for _ in range(6):
+            for b in rng.sample(range(64), rng.randint(0, 9)):
+                p ^= 1 << b
+            prints.append(p)
+
+    def found(prints, crowd):
+        rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+        got = [(r.u, r.v) for r in simhash.near_links(spark.createDataFrame(rows, "node bigint, fp bigint"), Scratch(spark, "t"), crowd=crowd).collect()]
+        assert len(got) == len(set(got)) and all((prints[i] ^ prints[j]).bit_count() <= 8 for i, j in got)
+        return set(got)
+
+    far = {(i, j): (prints[i] ^ prints[j]).bit_count() for j in range(len(prints)) for i in range(j)}
+    assert {pair for pair, bits in far.items() if bits <= 5} <= found(prints, 1000)
+    # many of one value meet in one of them
+    same = [prints[0]] * 100
+    assert found(same, 16) == {(0, i) for i in range(1, 100)}
