@@ -169,13 +169,16 @@ def replay_sessions(commands: DataFrame) -> DataFrame:
     """commands: session_id, seq, command, turn_index, key, force. Adds accepted and state, as a loop over each session's commands in order gives them.
 
     Sessions are ranged by their order over tasks, so one with a third of all commands is many pieces. Each piece is summarised as a function of the state
-    before it; a session's summaries (one a task at most) are applied in turn, which gives every piece its state, and then all pieces are replayed at once."""
+    before it; a session's summaries (one a task at most) are applied in turn, which gives every piece its state, and then all pieces are replayed at once.
+    A piece's state comes to it as a row before its commands, so nothing is joined: states are as many as sessions, too many for a broadcast. Commands without
+    a session are left aside."""
     spark = commands.sparkSession
     path = shared.folder(spark, "pieces")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = commands.select("session_id", F.col("seq").cast("int").alias("seq"), "command", F.col("turn_index").cast("long").alias("turn_index"), "key", "force")
+    slim = commands.filter("session_id IS NOT NULL").select("session_id", F.col("seq").cast("int").alias("seq"), "command", F.col("turn_index").cast("long").alias("turn_index"), "key", "force")
     slim.repartitionByRange(parts, "session_id", "seq").withColumn("piece", F.spark_partition_id()).write.parquet(path)
     told = spark.read.parquet(path)
+    fields, kinds = told.columns, ", ".join(f"{n} {kind}" for n, kind in told.dtypes)
 
     def summarise(batches):
         held, now = [], None
@@ -196,18 +199,21 @@ def replay_sessions(commands: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 if r.session_id != session:
                     session, state = r.session_id, ("none", None, -1)
-                out.append((session, r.piece, *state))
+                name, key, last = state
+                out.append((session, -1, name, last, key, False, r.piece, True))
                 state = led(state, json.loads(r.told))
-            yield pd.DataFrame(out, columns=["session_id", "piece", "_state", "_key", "_last"])
+            yield pd.DataFrame(out, columns=[*fields, "first"])
 
     def replay(batches):
         now, state, key, last = None, None, None, -1
         for pdf in batches:
             out = []
-            for piece, before, c in zip(pdf["piece"], pdf[["_state", "_key", "_last"]].astype(object).itertuples(index=False), _commands(pdf), strict=True):
-                session, seq, command, turn, own, force = c
+            for piece, first, (session, seq, command, turn, own, force) in zip(pdf["piece"], pdf["first"], _commands(pdf), strict=True):
+                if first:
+                    now, state, key, last = (session, piece), command, own, turn
+                    continue
                 if (session, piece) != now:
-                    now, (state, key, last) = (session, piece), before
+                    raise RuntimeError(f"commands of {session} without the state before them")
                 new = SESSION_MOVES.get((state, command))
                 if command == "turn" and not (turn is not None and turn > last) or command == "resume" and not (force or own == key):
                     new = None
@@ -220,8 +226,9 @@ def replay_sessions(commands: DataFrame) -> DataFrame:
 
     whole = told.repartition(parts, "session_id", "piece").sortWithinPartitions("session_id", "piece", "seq")
     summaries = whole.mapInPandas(summarise, PIECE)
-    states = summaries.repartition(parts, "session_id").sortWithinPartitions("session_id", "piece").mapInPandas(fold, "session_id string, piece int, _state string, _key string, _last bigint")
-    each = told.join(states, ["session_id", "piece"]).repartition(parts, "session_id", "piece").sortWithinPartitions("session_id", "piece", "seq")
+    states = summaries.repartition(parts, "session_id").sortWithinPartitions("session_id", "piece").mapInPandas(fold, f"{kinds}, first boolean")
+    every = states.unionByName(told.withColumn("first", F.lit(False)))
+    each = every.repartition(parts, "session_id", "piece").sortWithinPartitions("session_id", "piece", F.desc("first"), "seq")
     return each.mapInPandas(replay, "session_id string, seq int, command string, accepted boolean, state string")
 
 

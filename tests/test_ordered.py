@@ -107,6 +107,14 @@ def test_machine_in_pieces_is_the_loop(many, seed):
     assert got == sorted(loop(rows))
 
 
+def test_machine_joins_no_states(many):
+    rows = [(x, i, c, i, None, True) for x in ("a", "b", None) for i, c in enumerate(("start", "turn", "await", "turn", "resume", "complete"))]
+    replayed = verdicts.replay_sessions(many.createDataFrame(rows, COMMANDS))
+    # states are as many as the sessions, and a broadcast of them fills the driver
+    assert "Join" not in replayed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in replayed.collect()) == sorted(loop([r for r in rows if r[0]]))
+
+
 def test_summaries_compose():
     rng = random.Random(9)
     states = [("none", None, -1), ("running", None, 3), ("awaiting", "a", 5), ("awaiting", None, -1), ("awaiting", "z", 2), ("completed", None, 1), ("interactive", None, -1)]
