@@ -138,6 +138,19 @@ def test_simhash_alone_finds_nine_tenths_and_the_rest_comes_exactly(spark, monke
     assert {r.doc_id for r in stage(docs).collect()} == brute_near(rows)
 
 
+def test_what_crowded_values_leave_out_comes_by_prefixes(spark):
+    """Sixty texts of the same words, so of one fingerprint: by bits each meets one other, and still each is joined to its own near copy and to no other."""
+    rng, words, rows = random.Random(8), [f"w{i}" for i in range(60)], []
+    for i in range(30):
+        rng.shuffle(words)
+        rows += [(i, " ".join(words)), (100 + i, " ".join([*words[:-2], words[-1], words[-2]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = near_copies.prefixes(docs, near_copies.frequent(docs)).select(F.col("doc_id").alias("node"), "fp")
+    got = {(r.u, r.v) for r in simhash.near_links(found, Scratch(spark, "t")).collect()}
+    assert len(got & {(i, 100 + i) for i in range(30)}) <= 1
+    assert {r.doc_id for r in stage(docs).collect()} == brute_near(rows) == set(range(30))
+
+
 def test_wide_links_find_all_of_five_bits(spark):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
